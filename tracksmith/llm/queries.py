@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksmith.llm import mixing, pieces, quality_knn, robust, simhash
+from tracksmith.llm import kdtree_shards, lengths, mixing, pieces, quality_knn, rans, robust, simhash, toxicity
 from tracksmith.llm.text import documents, fold, labels
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,12 @@ def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    placed = kdtree_shards.kdtree_shards(documents(spark, sf_dir), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; the digest columns are derived from ids and decoded text."""
     coded = pieces.encode_decode(documents(spark, sf_dir).select("doc_id", "text"), PIECES)
@@ -29,6 +37,19 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_pieces", F.crc32(ids.cast("binary")).alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "exact")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document's toxicity; labels of held-out rows are never seen."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    known = labels(spark, sf_dir).where(fold("doc_id", 4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, toxicity.fit(docs, known))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents' ids as blocks, read the blocks back, and digest what was read."""
+    return rans.round_trip(documents(spark, sf_dir), WORD_BPE).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -42,6 +63,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length histogram of all documents with its suffix sums."""
+    return lengths.suffix_sums(lengths.length_histogram(lengths.with_length(documents(spark, sf_dir).select("text"), BYTE_BPE)))
+
+
 OP9_SQL = r"""
 with d as (
   select doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -69,10 +95,14 @@ from p
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_knn": op1_quality_knn,
+        "op3_kdtree_shards": op3_kdtree_shards,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_toxicity": op5_toxicity,
+        "op6_rans": op6_rans,
         "op7_simhash": op7_simhash,
         "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,
+        "op10_token_counts": op10_token_counts,
     }
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksmith.llm import kdtree_shards, lengths, mixing, pieces, quality_knn, rans, robust, simhash, toxicity
+from tracksmith.llm import kdtree_shards, lengths, media, mixing, pieces, quality_knn, rans, robust, simhash, toxicity
 from tracksmith.llm.text import documents, fold, labels
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,12 @@ def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among pictures of all pages; the tables hold no pictures, so the pages are drawn."""
+    found = media.image_copies(media.page_images(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return found.select(F.col("id").alias("page_id"), "class_id", "n_links", "n_points")
+
+
 def op3_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     placed = kdtree_shards.kdtree_shards(documents(spark, sf_dir), 16)
@@ -95,6 +101,7 @@ from p
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_knn": op1_quality_knn,
+        "op2_media_copies": op2_media_copies,
         "op3_kdtree_shards": op3_kdtree_shards,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_toxicity": op5_toxicity,

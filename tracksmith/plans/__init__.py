@@ -1,0 +1,5 @@
+"""Registered queries and their SQL."""
+
+from tracksmith.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -8,21 +8,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HITS_SCHEMA = T._parse_datatype_string("event_id long, x float, y float, z float, time float, energy float, label string, particle_id int, hit_id int")
-PARTICLES_SCHEMA = T._parse_datatype_string("event_id long, particle_name string, mother_id int, kin_energy double, initial_x double, initial_y double, initial_z double, final_volume string")
-CONFIGURATION_SCHEMA = T._parse_datatype_string("param_key string, param_value string")
-INFO_SCHEMA = T._parse_datatype_string("file string, num_events long, saved_events long, interacting_events long, min_energy_keV double, max_energy_keV double")
-HISTOGRAM_SCHEMA = T._parse_datatype_string("name string, bin int, lo double, hi double, center double, weight double")
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def schema(text: str) -> T.StructType:
+    """A schema of "name type" pairs, without a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in text.split(", "))])
+
+
+HITS_SCHEMA = schema("event_id long, x float, y float, z float, time float, energy float, label string, particle_id int, hit_id int")
+PARTICLES_SCHEMA = schema("event_id long, particle_name string, mother_id int, kin_energy double, initial_x double, initial_y double, initial_z double, final_volume string")
+CONFIGURATION_SCHEMA = schema("param_key string, param_value string")
+INFO_SCHEMA = schema("file string, num_events long, saved_events long, interacting_events long, min_energy_keV double, max_energy_keV double")
+HISTOGRAM_SCHEMA = schema("name string, bin int, lo double, hi double, center double, weight double")
 #: Keys of the cut-flow summary, in order (fixed format).
 SUMMARY_KEYS = ["data_type", "energy_resolution_keV"] + [f"{p}_{k}" for p in ("cut", "eff") for k in ("contained", "1trk", "radial", "trkl", "fid", "blobs", "roi", "total")]
 SUMMARY_SCHEMA = T.StructType([T.StructField(k, T.StringType() if k == "data_type" else T.DoubleType()) for k in SUMMARY_KEYS])
 
 
-def checked(df: DataFrame, schema: T.StructType) -> DataFrame:
+def checked(df: DataFrame, wanted: T.StructType) -> DataFrame:
     """df with the schema's columns, coordinates and energies as doubles; an absent column is an error at once."""
-    if missing := [f.name for f in schema if f.name not in df.columns]:
+    if missing := [f.name for f in wanted if f.name not in df.columns]:
         raise ValueError(f"columns missing: {', '.join(missing)}")
-    cols = [F.col(f.name).cast("double" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else f.dataType).alias(f.name) for f in schema]
+    cols = [F.col(f.name).cast("double" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else f.dataType).alias(f.name) for f in wanted]
     return df.select(*cols)
 
 
@@ -36,7 +44,7 @@ def read_parts(spark: SparkSession, folder: str, pattern: str = "*.parquet") ->
     """All part files of a folder as one table, with the part number of each row's file (order by it where order matters)."""
     df = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
     number = F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*(?:-[^/]*)?\.parquet", 1)
-    return df.withColumn("part", F.expr("cast(null as int)") if df.isStreaming else number.cast("int"))
+    return df.withColumn("part", number.cast("int"))
 
 
 def generation_info(configuration: DataFrame, file: str | Column = "") -> DataFrame:
@@ -54,9 +62,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, sort: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: T.StructType, pattern: str | None = None, sort: str | None = None) -> DataFrame:
     """CSV files of a path or folder with a header, optionally sorted by a column."""
-    reader = spark.read.option("header", True).schema(schema)
+    reader = spark.read.option("header", True).schema(columns)
     df = (reader.option("pathGlobFilter", pattern) if pattern else reader).csv(path)
     return df.orderBy(sort) if sort else df
 
@@ -145,7 +153,7 @@ def read_histograms(spark: SparkSession, path: str, name: str | None = None) ->
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """parameter, value rows."""
-    return read_csv(spark, path, T._parse_datatype_string("parameter string, value string"))
+    return read_csv(spark, path, schema("parameter string, value string"))
 
 
 def metadata_value(metadata: DataFrame, parameter: str, kind: str = "double"):

@@ -26,19 +26,46 @@ MAGIC = b"TRKRANS1"
 _HEAD = struct.Struct("<8sIIIIQII")
 SCALE = 20
 LOW = 1 << 31
-BLOCK_IDS = 1 << 18
-LANES = 1024
+BLOCK_IDS = 1 << 19
+LANES = 2048
 CHECK_STEPS = 128
 NULL_ID = -(1 << 63)
 END_ID = 2
-CACHE = 300_000
+#: Words that a task remembers, in each of two generations.
+WORDS = 600_000
 
-_GAPS = re.compile(r"[ \t\n\r]+")
+#: A character outside the plain alphabet: blanks, ASCII, and letters whose normal form is themselves, whose lower case one letter.
+_ODD = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
+#: How the tokenizer cuts a lowered plain text (fixed pattern of the format, for this alphabet).
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+class Words(dict):
+    """Ids of words by the library, each asked for once; a full generation ages, what is used again moves to the new one."""
+
+    def __init__(self, tokenizer, kind: np.dtype) -> None:
+        self.tokenizer, self.kind, self.old = tokenizer, kind, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > WORDS:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file. The tokenizer never joins over white space, so each stretch between blanks is
-    encoded by the library once and its ids are reused; the ids are those of the whole text."""
+    """Ids of texts by a tokenizers file, those of the whole text.
+
+    The tokenizer lowers texts, drops white space and cuts them into words, digits and runs of marks before it encodes each
+    on its own. Plain texts are cut the same way here, and the ids of each part are asked for once; any other text
+    goes to the library whole.
+    """
 
     def __init__(self, file: str, reuse: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,23 +73,21 @@ class Encoder:
 
         self.tokenizer, self.reuse = Tokenizer.from_file(file), reuse
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.words = Words(self.tokenizer, self.kind)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """uint32 ids of each whole text, little-endian; null and empty texts have none."""
-        if not self.reuse:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        split = [_GAPS.split(t) if t else [] for t in texts]
-        new = [w for w in {w for words in split for w in words} if w not in self.known]
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        """Ids of each whole text as little-endian numbers of self.kind; null and empty texts have none."""
+        self.words.age()
+        get, out = self.words.__getitem__, []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif self.reuse and "<|" not in t and not _ODD.search(t):
+                out.append(b"".join(map(get, _CUT.findall(t.lower()))))
+            else:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes())
+        return out
 
 
 @lru_cache(2)
@@ -81,7 +106,7 @@ class Tables:
         self.f = f.astype(np.uint64)
         self.c = (np.cumsum(f) - f).astype(np.uint64)
         self.limit = self.f << np.uint64(63 - SCALE)
-        self.symbol = np.repeat(np.arange(n, dtype=np.uint32), f)
+        self.symbol = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.uint32), f)
 
 
 def encode_block(ids: np.ndarray, tables: Tables, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -94,17 +119,17 @@ def encode_block(ids: np.ndarray, tables: Tables, doc_ids: list[int | None], len
     words: list[np.ndarray] = []
     marks: list[tuple[int, bytes]] = []  # words still to come when the decoder stands before a step, and its states
     sent = 0
+    freq, start, limit = tables.f[ids], tables.c[ids], tables.limit[ids]
     for t in range(steps - 1, -1, -1):
-        s = ids[t * lanes : (t + 1) * lanes]
-        m = len(s)
-        y, f = x[:m], tables.f[s]
-        over = y >= tables.limit[s]
+        at = slice(t * lanes, min((t + 1) * lanes, n))
+        y = x[: at.stop - at.start]
+        over = y >= limit[at]
         if over.any():
             words.append((y[over] & low32).astype("<u4"))
             sent += len(words[-1])
             y = np.where(over, y >> half, y)
-        q = y // f
-        x[:m] = (q << k) + (y - q * f) + tables.c[s]
+        q = y // freq[at]
+        x[: len(y)] = (q << k) + (y - q * freq[at]) + start[at]
         if t and t % CHECK_STEPS == 0:
             marks.append((sent, x.astype("<u8").tobytes()))
     stream = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
@@ -162,46 +187,57 @@ class Block:
 
     def ids(self, tables: Tables) -> np.ndarray:
         out = np.concatenate([self.section(i, tables) for i in range(len(self.marks))]) if self.n else np.zeros(0, np.uint32)
-        if zlib.crc32(out.astype("<u4").tobytes()) != self.crc:
+        if zlib.crc32(out.astype("<u4", copy=False)) != self.crc:
             raise ValueError("ids do not match their checksum")
         return out
 
 
 def sorted_ids(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """part, doc_id, local_start, n_tokens, ids (uint32, little-endian) in ascending doc_id order over parts and rows; written.
+    """part, doc_id, local_start, n_tokens, ids in ascending doc_id order over parts and rows, and each part's id counts; written.
 
     Nulls and empty texts have no ids but the end id. A null doc_id stands first. Rows with one doc_id stand in the order of
-    their texts' hashes.
+    their texts' hashes. The last row of a part holds its counts (int64 by id) and no ids: it is no document.
     """
     bounded_batches(docs.sparkSession, 512)
-    schema = "part int, doc_id long, local_start long, n_tokens long, ids binary"
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
+    schema = "part int, doc_id long, local_start long, n_tokens long, ids binary, counts binary"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, encode_texts = 0, encoder(tokenizer_file)
+        start, encode_texts, part = 0, encoder(tokenizer_file), None
+        kind = encode_texts.kind
+        counts = np.zeros(vocabulary(tokenizer_file, end_id), np.int64)
+        tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for b in batches:
             ids = [x + tail for x in encode_texts(b["text"].tolist())]
-            n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            yield pd.DataFrame({"part": b["part"], "doc_id": b["doc_id"].astype("Int64"), "local_start": start + np.cumsum(n) - n, "n_tokens": n, "ids": ids})
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
+            counts += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(counts))
+            yield pd.DataFrame({"part": b["part"], "doc_id": b["doc_id"].astype("Int64"), "local_start": start + np.cumsum(n) - n, "n_tokens": n, "ids": ids, "counts": None})
             start += int(n.sum())
+            part = b["part"].iloc[-1] if len(b) else part
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "doc_id": pd.array([None], "Int64"), "local_start": [start], "n_tokens": [0], "ids": [None], "counts": [counts.tobytes()]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return written(rows.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInPandas(encode, schema), "ids")
 
 
-def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
-    """Occurrences of every id over all documents: sums by task, then by id; the result is bounded by the vocabulary."""
+def vocabulary(tokenizer_file: str, end_id: int | None) -> int:
+    return max(encoder(tokenizer_file).size, (-1 if end_id is None else end_id) + 1)
+
+
+def id_counts(ids: DataFrame, size: int) -> np.ndarray:
+    """Occurrences of every id over all documents: the parts' counts, summed by id; the result is bounded by the vocabulary."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(vocabulary, np.int64)
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b["ids"]), "<u4"), minlength=vocabulary)
+            for raw in b["counts"]:
+                total += np.frombuffer(raw, np.int64)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
-    out = np.zeros(vocabulary, np.int64)
-    for r in ids.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(size, np.int64)
+    for r in ids.where("counts is not null").select("counts").mapInPandas(unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -214,8 +250,8 @@ def write_blocks(docs: DataFrame, tokenizer_file: str, path: str, end_id: int |
     Empty docs: no blocks.
     """
     ids = sorted_ids(docs, tokenizer_file, end_id=end_id, **columns)
-    vocabulary = max(encoder(tokenizer_file).size, (end_id or 0) + 1)
-    tables = Tables(id_counts(ids, vocabulary))
+    tables = Tables(id_counts(ids, vocabulary(tokenizer_file, end_id)))
+    kind = encoder(tokenizer_file).kind
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     # one row per part: at most as many as the shuffle had partitions
     sums = ids.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
@@ -228,8 +264,8 @@ def write_blocks(docs: DataFrame, tokenizer_file: str, path: str, end_id: int |
         part, start, expect, held, names, n = None, 0, -1, [], [], 0
 
         def block() -> pd.DataFrame:
-            values = np.frombuffer(b"".join(held), "<u4")
-            raw = encode_block(values, shared.value, names, [len(h) // 4 for h in held])
+            values = np.frombuffer(b"".join(held), kind)
+            raw = encode_block(values, shared.value, names, [len(h) // kind.itemsize for h in held])
             return pd.DataFrame({"part": [part], "start": [offsets[part] + start], "n_ids": [len(values)], "block": [raw]})
 
         for b in batches:
@@ -246,12 +282,16 @@ def write_blocks(docs: DataFrame, tokenizer_file: str, path: str, end_id: int |
         if held:
             yield block()
 
-    ids.mapInPandas(pack, "part int, start long, n_ids long, block binary").write.parquet(path)
+    docs_only = ids.where("ids is not null").select("part", "doc_id", "local_start", "n_tokens", "ids")
+    docs_only.mapInPandas(pack, "part int, start long, n_ids long, block binary").write.parquet(path)
     return tables
 
 
-def read_blocks(spark, path: str, tables: Tables) -> DataFrame:
-    """Decode blocks in parallel: doc_id, start (ids before the document), n_tokens, ids_crc32 (unsigned), ids (array of int)."""
+def read_blocks(spark, path: str, tables: Tables, with_ids: bool = True) -> DataFrame:
+    """Decode blocks in parallel: doc_id, start (ids before the document), n_tokens, ids_crc32 (unsigned), ids (array of int).
+
+    Without with_ids the ids are decoded and digested all the same, but not handed on.
+    """
     shared = spark.sparkContext.broadcast(tables)
     bounded_batches(spark, 16)
 
@@ -263,13 +303,15 @@ def read_blocks(spark, path: str, tables: Tables) -> DataFrame:
                 ends = np.cumsum(block.lengths, dtype=np.int64)
                 begins = ends - block.lengths
                 parts = [ids[a:z] for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(block.doc_ids, "Int64"), "start": start + begins, "n_tokens": ends - begins, "ids_crc32": [zlib.crc32(p.astype("<u4").tobytes()) for p in parts], "ids": [p.astype(np.int32) for p in parts]})
+                out = pd.DataFrame({"doc_id": pd.array(block.doc_ids, "Int64"), "start": start + begins, "n_tokens": ends - begins, "ids_crc32": [zlib.crc32(p) for p in parts]})
+                yield out.assign(ids=[p.astype(np.int32) for p in parts]) if with_ids else out
 
-    return spark.read.parquet(path).select("start", "block").mapInPandas(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return spark.read.parquet(path).select("start", "block").mapInPandas(unpack, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int | None = END_ID, **columns) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int | None = END_ID, with_ids: bool = True, **columns) -> DataFrame:
     """Write docs' ids under the shared folder and read them back, see write_blocks() and read_blocks()."""
     path = fresh_path(docs.sparkSession, "rans")
     tables = write_blocks(docs, tokenizer_file, path, end_id, **columns)
-    return read_blocks(docs.sparkSession, path, tables)
+    return read_blocks(docs.sparkSession, path, tables, with_ids)

@@ -24,7 +24,8 @@ CACHE = 400_000
 class Pieces:
     """The pieces and scores of a SentencePiece model file, and best segmentations under them.
 
-    encode() finds the segmentation with the greatest sum of piece scores, as the format's unigram search does; an unknown
+    encode() finds the segmentation with the greatest sum of piece scores (for a file of merge ranks this is not the library's
+    merge order, but decodes to the same text); an unknown
     character is spelled in byte pieces if the model has them, else it is the unknown piece. Of equally good segmentations
     the one whose last piece is longest is taken, at every position.
     """

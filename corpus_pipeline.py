@@ -26,8 +26,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by five-word SimHash at three bits: the one with the least id."""
-    return simhash.keep_one(docs.select(*COLUMNS), width=5)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the least id."""
+    return simhash.keep_one_similar(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,3 +198,145 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     # min_by over (id, row) is a partial aggregate: a hot group is reduced before the shuffle
     best = joined.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id")).alias("best")).select(F.col("best.doc_id").alias("__row"))
     return base.join(best, "__row", "left_semi").drop("__row")
+
+
+# ---- near copies by shingle similarity
+
+#: Bins of a text's sketch, one byte each; min-hashes of a shard key and shard keys of a text.
+BINS, KEY_HASHES, KEYS = 256, 3, 12
+#: Texts of similarity 0.8 differ in about 10 of 64 bits; a search reaches over four spreads beyond.
+WIDE_RADIUS = 22
+SIMILAR = 0.8
+#: What the sketch's share of equal bins may fall below the similarity by its own spread (0.025 at 0.8).
+SLACK = 0.025
+
+_MULTIPLIERS = np.random.default_rng(64).integers(1 << 62, 1 << 63, KEY_HASHES * KEYS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """Distinct XXH64 values of a text's word shingles (A-Z lowered); a shorter text is one shingle, one without words none."""
+    words = as_bytes(text).lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, width = b" ".join(words), min(width, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(words) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
+    """SimHash of a shingle set, its one-permutation sketch (a byte of the least hash of each bin, 0: empty), and shard keys."""
+    if not len(hashes):
+        return 0, bytes(BINS), [0] * KEYS
+    ones = np.zeros(64, np.int64)
+    least = np.full((KEYS * KEY_HASHES,), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1 << 16):
+        h = hashes[i : i + (1 << 16)]
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        mixed = h ^ (h >> np.uint64(29))
+        least = np.minimum(least, [(mixed * m).min() for m in _MULTIPLIERS])
+    fp = int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    bins = np.zeros(BINS, np.uint8)
+    at = (hashes >> np.uint64(56)).astype(np.intp)
+    first = np.flatnonzero(np.diff(at, prepend=-1))  # hashes are sorted, so the first of a bin is its least
+    bins[at[first]] = hashes[first] % np.uint64(255) + np.uint64(1)
+    keys = [xxhash.xxh64_intdigest(least[i : i + KEY_HASHES].tobytes(), i) for i in range(0, len(least), KEY_HASHES)]
+    return fp, bins.tobytes(), keys
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets from their sketches: equal bins among those that either set fills."""
+    filled = np.count_nonzero(a | b)
+    return np.count_nonzero((a == b) & (a > 0)) / filled if filled else 1.0
+
+
+def _similar_links(rows: list[tuple[int, int, bytes, bool]], inside: bool, radius: int, least: float) -> Iterator[tuple[int, int]]:
+    """Links of a block that join two of its groups: BK-tree neighbours whose sketches are similar. rows: node, fp, sketch, in the tree."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    tree, holders = BKTree(), {}
+    bins = {n: np.frombuffer(s, np.uint8) for n, _, s, _ in rows}
+    for n, fp, _, _ in (r for r in rows if r[3] and not inside):
+        tree.add(fp)
+        holders.setdefault(fp, []).append(n)
+    for n, fp, _, _ in (r for r in rows if inside or not r[3]):
+        for near in tree.near(fp, radius):
+            for m in holders[near]:
+                if root(n) != root(m) and similarity(bins[n], bins[m]) >= least:
+                    up[root(n)] = root(m)
+                    yield n, m
+        if inside:
+            tree.add(fp)
+            holders.setdefault(fp, []).append(n)
+
+
+def _search_similar(radius: int, least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            out = []
+            fps = batch["fp"].to_numpy(np.int64).view(np.uint64).tolist()
+            for key, a, b, seg, node, fp, s in zip(batch["key"], batch["a"], batch["b"], batch["seg"], batch["node"], fps, batch["sketch"], strict=True):
+                if (key, a, b) != now:
+                    out += _similar_links(held, now is not None and now[1] == now[2], radius, least)
+                    now, held = (key, a, b), []
+                held.append((node, fp, s, seg == a))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+        yield pd.DataFrame(list(_similar_links(held, now is not None and now[1] == now[2], radius, least)), columns=["u", "v"], dtype=np.int64)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = SIMILAR, radius: int = WIDE_RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (least doc_id of the row's class). Classes: texts whose sets of width-word shingles
+    have a similarity of least or more, over links.
+
+    Equal texts become one. Each text goes to the shards of KEYS keys, each of KEY_HASHES min-hashes: two texts of similarity 0.8
+    share one with probability 1 - (1 - 0.8^3)^12 = 0.9998. A shard's BK-tree of SimHashes is searched within a wide radius, and
+    neighbours are linked if their sketches agree. A hot shard is dealt into segments, each pair of segments a block of its
+    own; only links that join two groups of a block are handed on. Texts without words are one class. Null ids: as in
+    near_duplicates(). Empty: empty.
+    """
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("struct<fp: long, sketch: binary, keys: array<long>>")
+    def sketches(texts: pd.Series) -> pd.DataFrame:
+        found = [sketch(shingle_hashes(t, width)) for t in texts]
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        return pd.DataFrame({"fp": [signed(f) for f, _, _ in found], "sketch": [s for _, s, _ in found], "keys": [[signed(k) for k in ks] for _, _, ks in found]})
+
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole, F.crc32(whole.cast("binary")), F.length(whole)).alias("node"), sketches(F.col(text)).alias("s"))
+    rows = written(rows.select("doc_id", "node", "s.*"), "sketches")
+    texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")), "texts")
+    keyed = texts.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    n_seg = F.ceil(F.col("n") / F.lit(tree_size)).cast("int")
+    dealt = (
+        keyed.join(sizes, "key")
+        .withColumn("seg", F.pmod(F.xxhash64("node", "key"), n_seg).cast("int"))
+        .withColumn("t", F.explode(F.sequence(F.lit(0), n_seg - 1)))
+        .select("node", "key", F.least("seg", "t").alias("a"), F.greatest("seg", "t").alias("b"), "seg")
+    )
+    blocks = dealt.join(texts.select("node", "fp", "sketch"), "node").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+    found = connected_components(blocks.mapInPandas(_search_similar(radius, least - SLACK), "u long, v long"))
+    of = texts.select("node", "least").join(found.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = of.groupBy("component").agg(F.min("least").alias("class_id"))
+    return rows.select("doc_id", "node").join(of.join(names, "component").select("node", "class_id"), "node").select("doc_id", "class_id")
+
+
+def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each class of similar_documents(): the one with the least id (of repeated rows, one); columns stay."""
+    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
+    classes = similar_documents(base, "__row", text, **options).select(F.col("doc_id").alias("__row"), "class_id")
+    named = classes.join(base.select("__row", F.col(doc_id).alias("id")), "__row")
+    best = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__row"))["__row"].alias("__row"))
+    return base.join(best, "__row", "left_semi").drop("__row")

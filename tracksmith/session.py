@@ -60,8 +60,9 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most_rows) else df
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Keep Arrow batches of whole texts small, so that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1024, megabytes: int = 16) -> None:
+    """Keep Arrow batches small by rows and by bytes, so that a batch of long values fits a Python worker; settings only go down."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))

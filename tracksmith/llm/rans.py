@@ -12,6 +12,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,13 +27,15 @@ MAGIC = b"TRKRANS1"
 _HEAD = struct.Struct("<8sIIIIQII")
 SCALE = 20
 LOW = 1 << 31
-BLOCK_IDS = 1 << 19
-LANES = 2048
+BLOCK_IDS = 1 << 21
+LANES = 8192
 CHECK_STEPS = 128
 NULL_ID = -(1 << 63)
 END_ID = 2
+#: The tokenizer's own pattern, for all alphabets, that _CUT stands for on the plain one (fixed pattern of the format).
+_CUT_ALIKE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a task remembers, in each of two generations.
-WORDS = 600_000
+WORDS = 800_000
 
 #: A character outside the plain alphabet: blanks, ASCII, and letters whose normal form is themselves, whose lower case one letter.
 _ODD = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
@@ -40,16 +43,22 @@ _ODD = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
+#: How byte-level models write bytes as characters: printable ones as themselves, the others from 256 on (fixed rule of the format).
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b if b in _SHOWN else 256 + i - sum(s < b for s in _SHOWN) for i, b in enumerate(range(256))}
+
+
 class Words(dict):
-    """Ids of words by the library, each asked for once; a full generation ages, what is used again moves to the new one."""
+    """Ids of words by the library's model, each asked for once; a full generation ages, what is used again moves to the new one."""
 
     def __init__(self, tokenizer, kind: np.dtype) -> None:
-        self.tokenizer, self.kind, self.old = tokenizer, kind, {}
+        self.model, self.code, self.old = tokenizer.model, kind.char, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         self[word] = ids
         return ids
 
@@ -71,7 +80,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.reuse = Tokenizer.from_file(file), reuse
+        self.tokenizer = Tokenizer.from_file(file)
+        self.reuse = reuse and _CUT_ALIKE in str(self.tokenizer.pre_tokenizer)  # any other tokenizer gets whole texts
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.words = Words(self.tokenizer, self.kind)
@@ -119,7 +129,8 @@ def encode_block(ids: np.ndarray, tables: Tables, doc_ids: list[int | None], len
     words: list[np.ndarray] = []
     marks: list[tuple[int, bytes]] = []  # words still to come when the decoder stands before a step, and its states
     sent = 0
-    freq, start, limit = tables.f[ids], tables.c[ids], tables.limit[ids]
+    place = ids.astype(np.intp)
+    freq, start, limit = tables.f[place], tables.c[place], tables.limit[place]
     for t in range(steps - 1, -1, -1):
         at = slice(t * lanes, min((t + 1) * lanes, n))
         y = x[: at.stop - at.start]
@@ -134,7 +145,7 @@ def encode_block(ids: np.ndarray, tables: Tables, doc_ids: list[int | None], len
             marks.append((sent, x.astype("<u8").tobytes()))
     stream = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
     marks = [(sent - left, state) for left, state in reversed(marks)]
-    head = _HEAD.pack(MAGIC, lanes, CHECK_STEPS, len(marks), len(lengths), n, len(stream), zlib.crc32(ids.astype("<u4").tobytes()))
+    head = _HEAD.pack(MAGIC, lanes, CHECK_STEPS, len(marks), len(lengths), n, len(stream), zlib.crc32(ids.astype("<u4")))
     body = [head, np.array([NULL_ID if d is None else d for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), x.astype("<u8").tobytes()]
     body += [struct.pack("<Q", at) + state for at, state in marks] + [stream.tobytes()]
     raw = b"".join(body)
@@ -293,7 +304,7 @@ def read_blocks(spark, path: str, tables: Tables, with_ids: bool = True) -> Data
     Without with_ids the ids are decoded and digested all the same, but not handed on.
     """
     shared = spark.sparkContext.broadcast(tables)
-    bounded_batches(spark, 16)
+    bounded_batches(spark)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -466,6 +466,46 @@ def test_many_copies_meet_at_one(spark):
     assert [r[0] for r in media.image_copies(df).select("class_id").distinct().collect()] == [0]
 
 
+def brute_classes(images):
+    """Least number of each image's class and its number of links, by the link rule over all pairs of different images."""
+    points = {i: media.keypoints(v) for i, v in images.items()}
+    name, links = {i: i for i in images}, dict.fromkeys(images, 0)
+    for i in images:
+        for j in (j for j in images if j < i and min(len(points[i]), len(points[j])) >= media.LEAST_PLACES):
+            need = max(media.LEAST_PLACES, media.LEAST_SHARE * min(len(points[i]), len(points[j])))
+            if media.agreeing(points[i], points[j], media.near_pairs(points[i], points[j])) >= need:
+                links[i], links[j] = links[i] + 1, links[j] + 1
+                low, high = sorted((name[i], name[j]))
+                name = {k: low if n == high else n for k, n in name.items()}
+    return {i: (name[i], links[i]) for i in images}
+
+
+def test_copies_that_share_only_hot_entries(spark):
+    """Three passages that many strangers hold, and near copies that share these passages alone; whole and in small segments."""
+    parts = [picture(20 + i, 48) for i in range(3)]
+    images = {i: np.vstack([parts[i % 3], picture(100 + i, 160)]) for i in range(75)}
+    for i in (7, 23, 39):
+        images[i] = np.vstack([*parts, picture(200 + i, 28)])
+    df = spark.createDataFrame([(i, v.shape[1], v.shape[0], bytearray(v.tobytes())) for i, v in images.items()], "id long, width int, height int, pixels binary")
+    want = brute_classes(images)
+    assert [c for c, _ in want.values()] == [7 if i in (7, 23, 39) else i for i in images]
+    for segment in (media.SEGMENT, 4):
+        assert {r["id"]: (r["class_id"], r["n_links"]) for r in media.image_copies(df, segment).collect()} == want
+
+
+def test_links_of_many_copies_are_counted(spark):
+    """Equal keypoints under different pixels, and near copies: each is linked with all others."""
+    base = picture(4)
+    images = {i: base.copy() for i in range(30)}
+    for i in images:
+        images[i][0, i] ^= 1
+    for i in range(30, 50):
+        images[i] = base.copy()
+        images[i][60:64, i : i + 4] = 3 * i
+    df = spark.createDataFrame([(i, v.shape[1], v.shape[0], bytearray(v.tobytes())) for i, v in images.items()], "id long, width int, height int, pixels binary")
+    assert {r["id"]: (r["class_id"], r["n_links"]) for r in media.image_copies(df).collect()} == brute_classes(images) == dict.fromkeys(images, (0, 49))
+
+
 def test_turned_and_halved_keypoints_agree():
     img = np.kron(picture(5, 160, 160), np.ones((2, 2))).astype(np.uint8)
     k, t = media.keypoints(img), media.keypoints(np.ascontiguousarray(np.rot90(img)))

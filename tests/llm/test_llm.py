@@ -150,6 +150,43 @@ def test_similar_documents_against_brute_force(spark, odd, empty):
     assert simhash.similar_documents(empty).count() == 0 and simhash.keep_one_similar(empty).count() == 0
 
 
+def test_similar_documents_at_the_threshold(spark):
+    """Pairs of similarity 0.7 to 0.9: one class if and only if the shingle sets reach 0.8."""
+    rng = random.Random(14)
+    texts, want = [], []
+    for i in range(150):
+        n = rng.choice((60, 200, 1000))
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        other, sets = list(base), set(zip(*(base[k:] for k in range(5)), strict=False))
+        goal = rng.uniform(0.72, 0.88)
+        while len(sets & (now := set(zip(*(other[k:] for k in range(5)), strict=False)))) / len(sets | now) > goal:
+            other[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+        want.append(len(sets & now) / len(sets | now) >= 0.8)
+    got = {r["doc_id"]: r["class_id"] for r in simhash.similar_documents(make(spark, texts)).collect()}
+    assert 40 < sum(want) < 110
+    assert [got[2 * i] == got[2 * i + 1] for i in range(150)] == want
+
+
+def test_rejected_candidates_do_not_part_a_class(spark):
+    """Two families that are candidates of one another but not similar; each stays whole, and they stay apart."""
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    other = [*base[:345], *(f"y{i}" for i in range(55))]
+    texts = []
+    for family in (base, other):
+        for i in range(15):
+            t = list(family)
+            t[5 * i] = f"v{i}"
+            texts.append(" ".join(t))
+    sets = [shingles(t) for t in texts]
+    across = [len(a & b) / len(a | b) for a in sets[:15] for b in sets[15:]]
+    assert 0.7 < min(across) and max(across) < 0.8
+    for size in (1024, 4):
+        got = {r["doc_id"]: r["class_id"] for r in simhash.similar_documents(make(spark, texts), tree_size=size).collect()}
+        assert [got[i] for i in range(30)] == [0] * 15 + [15] * 15
+
+
 def test_sketch_similarity():
     rng = random.Random(12)
     for share in (0.5, 0.8, 0.95):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracksmith.llm.text import as_bytes
 from tracksmith.operators.components import connected_components
-from tracksmith.session import bounded_batches, written
+from tracksmith.session import bounded_batches, broadcast_if_small, written
 
 #: Fingerprints in one tree; a shard with more is dealt into segments of about this many.
 TREE_SIZE = 1024
@@ -207,8 +207,11 @@ BINS, KEY_HASHES, KEYS = 256, 3, 12
 #: Texts of similarity 0.8 differ in about 10 of 64 bits; a search reaches over four spreads beyond.
 WIDE_RADIUS = 22
 SIMILAR = 0.8
-#: What the sketch's share of equal bins may fall below the similarity by its own spread (0.025 at 0.8).
-SLACK = 0.025
+#: What the sketch's share of equal bins may fall below the similarity: four times its own spread (0.025 at 0.8). The sketch
+#: only picks candidates; the shingle sets decide. From STRONG on candidates are nearly always links.
+SLACK, STRONG = 0.1, 0.87
+#: Texts to be confirmed that are broadcast at most (two numbers each).
+BROADCAST_TEXTS = 1 << 20
 
 _MULTIPLIERS = np.random.default_rng(64).integers(1 << 62, 1 << 63, KEY_HASHES * KEYS, dtype=np.uint64) | np.uint64(1)
 
@@ -252,8 +255,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return np.count_nonzero((a == b) & (a > 0)) / filled if filled else 1.0
 
 
-def _similar_links(rows: list[tuple[int, int, bytes, bool]], inside: bool, radius: int, least: float) -> Iterator[tuple[int, int]]:
-    """Links of a block that join two of its groups: BK-tree neighbours whose sketches are similar. rows: node, fp, sketch, in the tree."""
+def exact_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct shingle hashes; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _roots():
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -262,35 +270,63 @@ def _similar_links(rows: list[tuple[int, int, bytes, bool]], inside: bool, radiu
             x = up[x]
         return x
 
+    return up, root
+
+
+def _similar_candidates(rows: list[tuple[int, int, bytes, int, bool]], inside: bool, radius: int, least: float, spanning: bool) -> Iterator[tuple[int, int]]:
+    """Candidates of a block: BK-tree neighbours of two groups whose sketches are similar. rows: node, fp, sketch, group, in the tree.
+
+    spanning: only those that join two trees of candidates, for strong ones and for all of them; else all.
+    """
+    if len({g for _, _, _, g, _ in rows}) < 2:
+        return
+    (strong, strong_root), (every, every_root) = _roots(), _roots()
     tree, holders = BKTree(), {}
-    bins = {n: np.frombuffer(s, np.uint8) for n, _, s, _ in rows}
-    for n, fp, _, _ in (r for r in rows if r[3] and not inside):
+    bins = {n: np.frombuffer(s, np.uint8) for n, _, s, _, _ in rows}
+    for n, fp, _, g, _ in (r for r in rows if r[4] and not inside):
         tree.add(fp)
-        holders.setdefault(fp, []).append(n)
-    for n, fp, _, _ in (r for r in rows if inside or not r[3]):
+        holders.setdefault(fp, []).append((n, g))
+    for n, fp, _, g, _ in (r for r in rows if inside or not r[4]):
         for near in tree.near(fp, radius):
-            for m in holders[near]:
-                if root(n) != root(m) and similarity(bins[n], bins[m]) >= least:
-                    up[root(n)] = root(m)
-                    yield n, m
+            for m, h in holders[near]:
+                if g == h or (spanning and strong_root(g) == strong_root(h)):
+                    continue
+                if (found := similarity(bins[n], bins[m])) < least:
+                    continue
+                if spanning:
+                    joined = every_root(g) == every_root(h)
+                    every[every_root(g)] = every_root(h)
+                    if found >= STRONG:
+                        strong[strong_root(g)] = strong_root(h)
+                    elif joined:
+                        continue
+                yield n, m
         if inside:
             tree.add(fp)
-            holders.setdefault(fp, []).append(n)
+            holders.setdefault(fp, []).append((n, g))
 
 
-def _search_similar(radius: int, least: float):
+def _search_similar(radius: int, least: float, spanning: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
+
+        def out() -> Iterator[pd.DataFrame]:
+            pairs = []
+            for u, v in _similar_candidates(held, now is not None and now[1] == now[2], radius, least, spanning):
+                pairs.append((min(u, v), max(u, v)))
+                if len(pairs) == 1 << 16:
+                    yield pd.DataFrame(pairs, columns=["u", "v"], dtype=np.int64)
+                    pairs = []
+            yield pd.DataFrame(pairs, columns=["u", "v"], dtype=np.int64)
+
         for batch in batches:
-            out = []
             fps = batch["fp"].to_numpy(np.int64).view(np.uint64).tolist()
-            for key, a, b, seg, node, fp, s in zip(batch["key"], batch["a"], batch["b"], batch["seg"], batch["node"], fps, batch["sketch"], strict=True):
+            for key, a, b, seg, node, fp, s, g in zip(batch["key"], batch["a"], batch["b"], batch["seg"], batch["node"], fps, batch["sketch"], batch["group"], strict=True):
                 if (key, a, b) != now:
-                    out += _similar_links(held, now is not None and now[1] == now[2], radius, least)
+                    yield from out()
                     now, held = (key, a, b), []
-                held.append((node, fp, s, seg == a))
-            yield pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
-        yield pd.DataFrame(list(_similar_links(held, now is not None and now[1] == now[2], radius, least)), columns=["u", "v"], dtype=np.int64)
+                held.append((node, fp, s, g, seg == a))
+        yield from out()
 
     return run
 
@@ -301,8 +337,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Equal texts become one. Each text goes to the shards of KEYS keys, each of KEY_HASHES min-hashes: two texts of similarity 0.8
     share one with probability 1 - (1 - 0.8^3)^12 = 0.9998. A shard's BK-tree of SimHashes is searched within a wide radius, and
-    neighbours are linked if their sketches agree. A hot shard is dealt into segments, each pair of segments a block of its
-    own; only links that join two groups of a block are handed on. Texts without words are one class. Null ids: as in
+    neighbours whose sketches agree within SLACK are candidates; whether they are linked is decided by the exact overlap of the
+    two texts' shingle sets. A hot shard is dealt into segments, each pair of segments a block of its own. Two rounds: first
+    candidates that span each block are confirmed, then all candidates between two classes that this has left. No candidate of
+    two classes goes untested; those within one class need no test. Texts without words are one class. Null ids: as in
     near_duplicates(). Empty: empty.
     """
     bounded_batches(docs.sparkSession)
@@ -326,8 +364,28 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         .withColumn("t", F.explode(F.sequence(F.lit(0), n_seg - 1)))
         .select("node", "key", F.least("seg", "t").alias("a"), F.greatest("seg", "t").alias("b"), "seg")
     )
-    blocks = dealt.join(texts.select("node", "fp", "sketch"), "node").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
-    found = connected_components(blocks.mapInPandas(_search_similar(radius, least - SLACK), "u long, v long"))
+    dealt = dealt.join(texts.select("node", "fp", "sketch"), "node")
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(whole, F.crc32(whole.cast("binary")), F.length(whole)).alias("node"))
+
+    @F.pandas_udf("boolean")
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([exact_similarity(shingle_hashes(x, width), shingle_hashes(y, width)) >= least - 1e-9 for x, y in zip(left, right, strict=True)], dtype=bool)
+
+    def confirmed(grouped: DataFrame, spanning: bool) -> DataFrame:
+        blocks = grouped.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+        pairs = written(blocks.mapInPandas(_search_similar(radius, least - SLACK, spanning), "u long, v long").distinct(), "candidates")
+        # one row of each text that a candidate needs, by node and id: a group of equal texts doesn't meet in one task
+        needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", "least"), "node")
+        needed = broadcast_if_small(written(needed.select(F.col("node").alias("of"), "least"), "needed"), BROADCAST_TEXTS)
+        read = given.join(needed, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.any_value("text").alias("text"))
+        read = written(read, "confirm")
+        side = lambda c, t: read.select(F.col("node").alias(c), F.col("text").alias(t))
+        return written(pairs.join(side("u", "tu"), "u").join(side("v", "tv"), "v").where(similar("tu", "tv")).select("u", "v"), "links")
+
+    links = confirmed(dealt.withColumn("group", F.col("node")), True)
+    first = connected_components(links).select(F.col("vertex").alias("node"), "component")
+    links = links.unionByName(confirmed(dealt.join(first, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), False))
+    found = connected_components(links)
     of = texts.select("node", "least").join(found.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = of.groupBy("component").agg(F.min("least").alias("class_id"))
     return rows.select("doc_id", "node").join(of.join(names, "component").select("node", "class_id"), "node").select("doc_id", "class_id")

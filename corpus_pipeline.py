@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. It learns from the labels outside the held-out fifth."""
     known = labels(spark, sf_dir).where(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
     model = quality_knn.fit(docs.select("doc_id", "text"), known)
-    return quality_knn.score(docs.select(*COLUMNS), model, out="__score").where("__score >= 0.3").select(*COLUMNS)
+    return quality_knn.score(docs.select(*COLUMNS), model, out="score").where("score >= 0.3").select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,13 +27,15 @@ def local_session(name: str = "tracksmith", cores: str = "*", partitions: int =
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a fresh local folder is set.
+    Only where that setting is absent a fresh local folder is set, and only on one machine: a cluster needs a shared one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     have = spark.sparkContext.getCheckpointDir()
     if not have:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         have = spark.sparkContext.getCheckpointDir()
     return have.rstrip("/")
@@ -60,7 +62,7 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most_rows) else df
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024, megabytes: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1024, megabytes: int = 4) -> None:
     """Keep Arrow batches small by rows and by bytes, so that a batch of long values fits a Python worker; settings only go down."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):
         now = int(spark.conf.get(key).rstrip("b"))

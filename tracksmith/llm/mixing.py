@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracksmith.llm.text import n_words
+from tracksmith.llm.text import n_words, own_names
 from tracksmith.session import written
 
 #: Weights of the sources in order of their names, repeated as often as needed (fixed values).
@@ -80,20 +80,41 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix as rows with docs' own columns: each row as often as its epochs say.
+    """The mix as rows with docs' own columns, which may have any names: each row as often as its epochs say.
 
     The row at a source's cut is repeated once more with its first part_words words (one such row per source at most);
-    a column n_chars, if docs have it, follows the cut text. Rows of which nothing is taken go.
+    a column n_chars, if docs have it, follows the cut text. Rows of which nothing is taken go. Rows alike in every column
+    (but maps) are one to the plan: their copies are added up and made from one of them, dealt out over all tasks.
     """
-    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    plan = mix(base, doc_id=doc_id, text=text, source=source, extra=["__row"], **options).where("taken > 0")
-    plan = plan.select("__row", "part_words", (F.col("part_words") == F.col("size")).alias("whole"), "epochs")
-    copies = F.col("epochs") + F.when(F.col("part_words") > 0, 1).otherwise(0)
-    rows = base.join(plan, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    is_cut = (F.col("__copy") > F.col("epochs")) & ~F.col("whole")
-    words = F.expr(f"regexp_extract_all(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
-    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("part_words").cast("int"), F.lit(1))), "")
-    rows = rows.withColumn(text, F.when(is_cut, cut).otherwise(F.col(text)))
+    n = own_names(docs, "name", "copies", "part", "copy")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    plain += [c.isNull() for c in plain]
+    name = F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit("name"), *plain).alias("b"))
+    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"), name.alias("name"))
+    plan = mix(given, extra=["name"], **options).where("taken > 0")
+    whole = (F.col("part_words") > 0) & (F.col("part_words") == F.col("size"))
+    cut = F.when((F.col("part_words") > 0) & ~whole, F.col("part_words"))
+    plan = plan.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("epochs") + whole.cast("long")).alias("copies"), F.max(cut).alias("part"))
+    plan = written(plan.select(F.col("name").alias(n["name"]), "n", F.col("copies").alias(n["copies"]), F.col("part").alias(n["part"])), "plan")
+
+    def copied(plan: DataFrame, alike: bool) -> DataFrame:
+        rows = docs.join(plan.drop("n"), name == F.col(n["name"]))
+        if alike:
+            many = F.sequence(F.lit(0).cast("long"), F.floor(F.col(n["copies"]) / 1000))
+            rows = rows.dropDuplicates([n["name"]]).withColumn(n["copy"], F.explode(many)).hint("rebalance")
+            rows = rows.withColumn(n["part"], F.when(F.col(n["copy"]) == 0, F.col(n["part"]))).withColumn(n["copies"], F.least(F.lit(1000).cast("long"), F.col(n["copies"]) - 1000 * F.col(n["copy"])))
+        copy = F.concat(F.array_repeat(F.lit(False), F.col(n["copies"]).cast("int")), F.when(F.col(n["part"]).isNotNull(), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+        return rows.select(*own, F.col(n["part"]), F.explode(copy).alias(n["copy"]))
+
+    rows = copied(plan.where("n = 1"), False)
+    if not (repeated := plan.where("n > 1")).isEmpty():
+        rows = rows.unionByName(copied(repeated, True))
+    here = f"`{text}`"
+    words = F.expr(f"regexp_extract_all({here}, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
+    begun = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(n["part"]).cast("int"), F.lit(1))), "")
+    is_cut = F.col(n["copy"])
+    out = {text: F.when(is_cut, begun).otherwise(F.col(here))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(is_cut, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out["n_chars"] = F.when(is_cut, F.length(begun).cast("long")).otherwise(F.col("n_chars"))
+    return rows.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])

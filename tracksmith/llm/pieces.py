@@ -6,19 +6,20 @@ import math
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracksmith.llm.text import as_bytes
+from tracksmith.llm.text import as_bytes, own_names
 from tracksmith.session import bounded_batches
 
 MARK = "▁"
 #: An unknown character scores so much less than the worst piece (fixed value of the format).
 UNKNOWN_PENALTY = 10.0
 #: Best segmentations of word-like parts that a task keeps.
-CACHE = 400_000
+CACHE = 60_000
 
 
 class Pieces:
@@ -132,7 +133,7 @@ def pieces(model_file: str) -> Pieces:
 def encode_decode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """docs with ``ids`` (array of int), ``n_pieces``, ``decoded`` (the text read back from the ids) and ``exact``.
 
-    exact: decoded equals the text as the model normalises it (and, for models that keep white space, the text itself).
+    exact: decoded equals the text itself (a model that changes white space or characters gives false there).
     Null and empty texts: no ids, decoded empty, exact. model_file is a path that the executors can read. Other columns of
     docs stay, but those four names are replaced.
     """
@@ -141,9 +142,15 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text") -> DataF
     @F.pandas_udf("struct<ids: array<int>, decoded: string>")
     def both(texts: pd.Series) -> pd.DataFrame:
         model = pieces(model_file)
-        ids = [model.encode(t) for t in texts]
-        return pd.DataFrame({"ids": ids, "decoded": [model.decode(x) for x in ids]})
+        ids, decoded = [], []
+        for t in texts:
+            found = model.encode(t)
+            ids.append(np.array(found, np.int32))
+            decoded.append(model.decode(found))
+        return pd.DataFrame({"ids": ids, "decoded": decoded})
 
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "n_pieces", "decoded", "exact")]
-    coded = docs.select(*own, both(F.col(text)).alias("__coded"))
-    return coded.select(*own, F.col("__coded.ids").alias("ids"), F.size("__coded.ids").cast("long").alias("n_pieces"), F.col("__coded.decoded").alias("decoded"), (F.col("__coded.decoded") == F.coalesce(F.col(text), F.lit(""))).alias("exact"))
+    c = own_names(docs, "coded")["coded"]
+    whole = own_names(docs, "whole")["whole"]
+    coded = docs.select(*own, F.col(f"`{text}`").alias(whole), both(F.col(f"`{text}`")).alias(c))
+    return coded.select(*own, F.col(f"{c}.ids").alias("ids"), F.size(f"{c}.ids").cast("long").alias("n_pieces"), F.col(f"{c}.decoded").alias("decoded"), (F.col(f"{c}.decoded") == F.coalesce(F.col(whole), F.lit(""))).alias("exact"))

@@ -29,7 +29,7 @@ _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 _CLASSES: dict[str, str] = {}
 #: Terms of tokens that a task has met; cleared beyond TOKEN_CACHE entries.
 _TOKENS: dict[str, tuple[int, str]] = {}
-TOKEN_CACHE = 300_000
+TOKEN_CACHE = 60_000
 
 
 def _kind(c: str) -> str:
@@ -45,7 +45,7 @@ def shape(token: str) -> str:
             return "a"
         if token.isupper():
             return "A"
-    return _RUNS.sub(r"\1", "".join(_CLASSES.get(c) or _CLASSES.setdefault(c, _kind(c)) for c in token))[:12]
+    return _RUNS.sub(r"\1", "".join(_CLASSES.get(c) or _CLASSES.setdefault(c, _kind(c)) for c in token))
 
 
 def _term(name: str) -> int:
@@ -130,31 +130,33 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> KnnMode
     """Fit on labelled rows: labels(doc_id, label) are the rows it may learn from, label null or without a document is skipped.
 
     The fit_rows labels with the least hash of their id are used (a bounded sample; their term vectors come to the driver).
-    An id labelled twice counts as its larger label. Of repeated documents with one id each row is a vector. Terms'
+    An id labelled twice counts as its larger label; of repeated documents with one id the one of least hash counts. Terms'
     document frequencies and the latent space (truncated SVD by subspace iteration from a fixed start) are part of the fit.
     """
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("struct<ids: array<int>, weights: array<float>>")
+    @F.pandas_udf("struct<ids: binary, weights: binary>")
     def terms(texts: pd.Series) -> pd.DataFrame:
         found = [document_terms(t) for t in texts]
-        return pd.DataFrame({"ids": [list(f) for f in found], "weights": [list(f.values()) for f in found]})
+        return pd.DataFrame({"ids": [np.fromiter(f, np.int32, len(f)).tobytes() for f in found], "weights": [np.fromiter(f.values(), np.float32, len(f)).tobytes() for f in found]})
 
-    # at most fit_rows rows of two numbers: the bound is proven by the limit above
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", terms("text").alias("t")).select("doc_id", "label", "t.ids", "t.weights").orderBy("doc_id", F.xxhash64("ids", "weights")).limit(2 * fit_rows).collect()
+    # at most fit_rows rows of two numbers: the bound is proven by the limit above; one row an id is left of the documents
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", terms("text").alias("t")).select("doc_id", "label", F.struct(F.xxhash64("t.ids", "t.weights").alias("h"), "t.ids", "t.weights").alias("t"))
+    rows = sample.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("t").alias("t")).orderBy("doc_id").collect()
     y = np.array([r["label"] for r in rows], float)
     x = np.zeros((len(rows), TERMS), np.float32)
     for i, r in enumerate(rows):
-        x[i, r["ids"]] = r["weights"]
+        x[i, np.frombuffer(r["t"]["ids"], np.int32)] = np.frombuffer(r["t"]["weights"], np.float32)
+    del rows
     seen = (x > 0).sum(axis=0)
-    idf = np.where(seen >= 2, np.log((len(rows) + 1) / (seen + 1)) + 0.3, 0).astype(np.float32)
+    idf = np.where(seen >= 2, np.log((len(y) + 1) / (seen + 1)) + 0.3, 0).astype(np.float32)
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rank = min(RANK, max(1, len(rows)))
+    rank = min(RANK, max(1, len(y)))
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((TERMS, rank)).astype(np.float32))[0]
     for _ in range(6):
-        q = np.linalg.qr(x.T @ (x @ q))[0] if len(rows) else q
+        q = np.linalg.qr(x.T @ (x @ q))[0] if len(y) else q
     vectors = x @ q
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return KnnModel(idf, q.astype(np.float32), vectors.astype(np.float32), y, float(y.mean()) if len(y) else 0.5)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracksmith.llm.text import SPACES, as_bytes
+from tracksmith.llm.text import SPACES, as_bytes, own_names
 from tracksmith.session import bounded_batches, written
 
 SYMBOLS = "#*$%&|<>"
@@ -196,8 +196,15 @@ def _start(vectors: DataFrame, consistency: float) -> DataFrame:
     return _step(vectors.join(written(middle, "medians"), "cell").withColumn("inverse", inverse), _bin(_distance()), consistency)
 
 
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' own columns; repeated rows are judged one by one, nulls allowed anywhere."""
-    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    judged = quality_rules(base, doc_id="__row", **options)
-    return base.join(judged.where("kept").select(F.col("doc_id").alias("__row")), "__row", "left_semi").drop("__row")
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' own columns, which may have any names; nulls are allowed anywhere.
+
+    A verdict depends on text, language and source alone, so rows are judged by a name of these (two hashes of 64 bits).
+    """
+    name = own_names(docs, "name")["name"]
+    parts = [F.col(f"`{text}`"), F.col(f"`{lang}`").cast("string"), F.col(f"`{source}`").cast("string")]
+    parts += [p.isNull() for p in parts]
+    named = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("name"), *parts).alias("b"))
+    given = docs.select(named.alias("name"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    kept = quality_rules(given, doc_id="name", **options).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, named == F.col(name), "left_semi")

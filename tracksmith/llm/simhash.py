@@ -8,15 +8,17 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracksmith.llm.text import as_bytes
+from tracksmith.llm.text import as_bytes, own_names
 from tracksmith.operators.components import connected_components
 from tracksmith.session import bounded_batches, broadcast_if_small, written
 
 #: Fingerprints in one tree; a shard with more is dealt into segments of about this many.
 TREE_SIZE = 1024
+#: Blocks of a fingerprint: for radius 3 the shards of 10 pairs of five blocks, about 26 equal bits each.
+BLOCKS = 5
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -55,83 +57,95 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", width
 class BKTree:
     """Children are keyed by their Hamming distance to the parent; a search follows only edges within the radius."""
 
-    def __init__(self) -> None:
-        self.root: tuple[int, dict] | None = None
+    def __init__(self, values=()) -> None:
+        self.values: list[int] = []
+        self.children: list[dict[int, int]] = []
+        for v in values:
+            self.add(v)
 
     def add(self, value: int) -> None:
-        if self.root is None:
-            self.root = (value, {})
-            return
-        own, children = self.root
-        while d := (own ^ value).bit_count():
-            if d not in children:
-                children[d] = (value, {})
+        """Hang a value below the last one on its way; a value that the tree holds already is not added again."""
+        at = 0
+        while at < len(self.values):
+            d = (self.values[at] ^ value).bit_count()
+            if not d:
                 return
-            own, children = children[d]
+            if d not in self.children[at]:
+                self.children[at][d] = len(self.values)
+                break
+            at = self.children[at][d]
+        self.values.append(value)
+        self.children.append({})
 
     def near(self, value: int, radius: int) -> list[int]:
-        found, todo = [], [self.root] if self.root else []
+        return [self.values[t] for t in self.near_many(np.array([value], np.uint64), radius)[1].tolist()]
+
+    def near_many(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the query, place of the tree's value) of all pairs within the radius; the queries walk the tree together."""
+        found: list[tuple[np.ndarray, int]] = []
+        todo = [(0, np.arange(len(queries)))] if self.values and len(queries) else []
         while todo:
-            own, children = todo.pop()
-            d = (own ^ value).bit_count()
-            if d <= radius:
-                found.append(own)
-            for e, child in children.items():
-                if d - radius <= e <= d + radius:
-                    todo.append(child)
-        return found
-
-
-def _spanning_links(tree_values: list[int], queries: list[int] | None, radius: int) -> Iterator[tuple[int, int]]:
-    """Links of a block that join two of its groups; the others follow from these. queries None: the tree's own values."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    tree = BKTree()
-    if queries is not None:
-        for x in tree_values:
-            tree.add(x)
-    for x in tree_values if queries is None else queries:
-        for y in tree.near(x, radius):
-            a, b = root(x), root(y)
-            if a != b:
-                up[a] = b
-                yield x, y
-        if queries is None:
-            tree.add(x)
+            at, active = todo.pop()
+            d = np.bitwise_count(queries[active] ^ np.uint64(self.values[at])).astype(np.int16)
+            if len(hit := active[d <= radius]):
+                found.append((hit, at))
+            for e, child in self.children[at].items():
+                if len(go := active[np.abs(d - e) <= radius]):
+                    todo.append((child, go))
+        if not found:
+            return np.zeros(0, np.intp), np.zeros(0, np.intp)
+        return np.concatenate([h for h, _ in found]), np.repeat([t for _, t in found], [len(h) for h, _ in found])
+
+
+def _spanning_links(tree_values: np.ndarray, queries: np.ndarray | None, radius: int) -> np.ndarray:
+    """Links (rows of two values) of a block that join two of its groups; the others follow from these. queries None: the tree's own values."""
+    tree = BKTree(tree_values.tolist())
+    asked = tree_values if queries is None else queries
+    q, t = tree.near_many(asked, radius)
+    held = np.array(tree.values, np.uint64)
+    names, at = np.unique(np.concatenate([held, asked]), return_inverse=True)
+    t, q = at[: len(held)][t], at[len(held) :][q]
+    order = np.argsort(q, kind="stable")
+    q, t = q[order], t[order]
+    label, links = np.arange(len(names)), []
+    for x, near in zip(*(np.unique(q)[:, None].ravel(), np.split(t, np.flatnonzero(np.diff(q)) + 1)), strict=True) if len(q) else ():
+        for y in near[np.unique(label[near], return_index=True)[1]].tolist():
+            if label[x] != label[y]:
+                links.append((names[x], names[y]))
+                label[label == label[y]] = label[x]
+    return np.array(links, np.uint64).reshape(-1, 2)
+
+
+def _blocks(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each block as they stream by, sorted by the columns of by."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[by].to_numpy(np.int64)
+        for part in np.split(np.arange(len(batch)), np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1):
+            rows = batch.iloc[part[0] : part[-1] + 1]
+            if held and (held[0][by].iloc[0].to_numpy(np.int64) != keys[part[0]]).any():
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held)
 
 
 def _search(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, trees, queries = None, [], []
-
-        def links() -> list[tuple[int, int]]:
-            if now is None:
-                return []
-            inside = now[-1] == now[-2]
-            return list(_spanning_links(trees, None if inside else queries, radius))
-
-        for batch in batches:
-            out = []
-            values = batch["fp"].to_numpy(np.int64).view(np.uint64).tolist()
-            for band, key, a, b, seg, value in zip(batch["band"], batch["key"], batch["a"], batch["b"], batch["seg"], values, strict=True):
-                if (at := (band, key, a, b)) != now:
-                    out += links()
-                    now, trees, queries = at, [], []
-                (trees if seg == a else queries).append(value)
-            yield _frame(out)
-        yield _frame(links())
+        for block in _blocks(batches, ["band", "key", "a", "b"]):
+            values = block["fp"].to_numpy(np.int64).view(np.uint64)
+            in_tree = (block["seg"] == block["a"]).to_numpy()
+            inside = block["a"].iloc[0] == block["b"].iloc[0]
+            yield _frame(_spanning_links(values[in_tree], None if inside else values[~in_tree], radius))
 
     return run
 
 
-def _frame(links: list[tuple[int, int]]) -> pd.DataFrame:
-    pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+def _frame(links: np.ndarray) -> pd.DataFrame:
+    pairs = links.view(np.int64)
     return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
@@ -151,11 +165,9 @@ def fingerprint_links(prints: DataFrame, radius: int = 3, blocks: int | None = N
     prints: one column ``fp`` of distinct signed longs. Each fingerprint is put into the shards of shard_masks(); a shard's
     BK-tree is searched with the shard's own fingerprints. A shard beyond tree_size is dealt into segments by hash; each pair
     of segments is a block of its own, so a hot shard spreads over many tasks and a tree's size is bounded. Exact: no cap.
-    blocks: by default radius + 1 below 2^22 fingerprints, two more beyond (more and smaller shards); results are the same.
+    blocks: more give more and smaller shards; the links are the same.
     """
-    if blocks is None:
-        blocks = radius + 1 if prints.count() < 1 << 22 else radius + 3
-    masks = shard_masks(radius, blocks)
+    masks = shard_masks(radius, blocks or max(BLOCKS, radius + 1))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -171,33 +183,49 @@ def fingerprint_links(prints: DataFrame, radius: int = 3, blocks: int | None = N
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, tree_size: int = TREE_SIZE) -> DataFrame:
-    """One row for each row of docs: doc_id, fp (long), component_id (least id reachable over links, own id included).
+    """One row for each row of docs: doc_id, node (the text's name), fp (long), component_id (least id reachable over links, own id
+    included), component (the group's least fingerprint).
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay repeated. A null id takes part but
     never names a component; a component without any id has a null component_id. Extra columns are not read. Empty: empty.
     Equal fingerprints are first merged into one, so a group of copies costs one value in the search.
     """
-    fps = written(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", width).select("doc_id", "fp"), "fingerprints")
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_name(F.col(text)).alias("node"))
+    fps = written(with_fingerprint(given, "text", "fp", width).select("doc_id", "node", "fp"), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(fingerprint_links(distinct.select("fp"), radius, tree_size=tree_size))
     roots = distinct.join(found.select(F.col("vertex").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = roots.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = roots.join(names, "component").select("fp", "component_id")
-    return fps.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = roots.join(names, "component").select("fp", "component_id", "component")
+    return fps.join(final, "fp").select("doc_id", "node", "fp", "component_id", "component")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the least id (of repeated rows, one); columns stay.
+def text_name(text: Column) -> Column:
+    """A text's name: 64 bits of hash over its bytes, crc32 and length; null as the empty text."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.xxhash64(whole, F.crc32(whole.cast("binary")), F.length(whole))
 
-    Rows of a group without any id: all but one go as well. Columns of docs may have any names.
-    """
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
-    base = written(named, "docs")
-    ids = near_duplicates(base.select(F.col("__row").alias("doc_id"), F.col(text).alias("text")), **options)
-    joined = ids.join(base.select(F.col("__row").alias("doc_id"), F.col(doc_id).alias("id")), "doc_id")
-    # min_by over (id, row) is a partial aggregate: a hot group is reduced before the shuffle
-    best = joined.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id")).alias("best")).select(F.col("best.doc_id").alias("__row"))
-    return base.join(best, "__row", "left_semi").drop("__row")
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near_duplicates(), chosen as in one_of_each()."""
+    return one_of_each(docs, near_duplicates(docs, doc_id, text, **options), doc_id, text)
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with one row of each component of classes(doc_id, node, component): the one with the least id (null ids last), of rows
+    with that id the one whose text's name is least, of rows alike in both one; columns stay and may have any names."""
+    names = own_names(docs, "id", "node")
+    best = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("best"))
+    rows = classes.groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    picked = best.select(F.col("best.doc_id").alias(names["id"]), F.col("best.node").alias(names["node"]))
+    picked = written(picked.join(rows, F.col(names["id"]).eqNullSafe(F.col("doc_id")) & (F.col(names["node"]) == F.col("node"))).select(*names.values(), "n"), "picked")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    here = (text_name(F.col(f"`{text}`")) == F.col(names["node"])) & F.col(f"`{doc_id}`").eqNullSafe(F.col(names["id"]))
+    kept = docs.join(picked.where("n = 1").drop("n"), here).select(*own)
+    repeated = picked.where("n > 1").drop("n")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated, here).dropDuplicates([*names.values()]).select(*own))
 
 
 # ---- near copies by shingle similarity
@@ -208,8 +236,8 @@ BINS, KEY_HASHES, KEYS = 256, 3, 12
 WIDE_RADIUS = 22
 SIMILAR = 0.8
 #: What the sketch's share of equal bins may fall below the similarity: four times its own spread (0.025 at 0.8). The sketch
-#: only picks candidates; the shingle sets decide. From STRONG on candidates are nearly always links.
-SLACK, STRONG = 0.1, 0.87
+#: only picks candidates; the shingle sets decide.
+SLACK = 0.1
 #: Texts to be confirmed that are broadcast at most (two numbers each).
 BROADCAST_TEXTS = 1 << 20
 
@@ -261,140 +289,126 @@ def exact_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def _roots():
-    up: dict[int, int] = {}
+def _equal_bins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """similarity() of rows of two arrays of sketches."""
+    filled = np.count_nonzero(a | b, axis=1)
+    same = np.count_nonzero((a == b) & (a > 0), axis=1)
+    return np.where(filled > 0, same / np.maximum(filled, 1), 1.0)
 
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    return up, root
+def _sketches(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS)
 
 
-def _similar_candidates(rows: list[tuple[int, int, bytes, int, bool]], inside: bool, radius: int, least: float, spanning: bool) -> Iterator[tuple[int, int]]:
-    """Candidates of a block: BK-tree neighbours of two groups whose sketches are similar. rows: node, fp, sketch, group, in the tree.
+def _search_similar(radius: int, least: float):
+    """Candidates (u, v) of each block: BK-tree neighbours of two groups whose sketches agree to least."""
 
-    spanning: only those that join two trees of candidates, for strong ones and for all of them; else all.
-    """
-    if len({g for _, _, _, g, _ in rows}) < 2:
-        return
-    (strong, strong_root), (every, every_root) = _roots(), _roots()
-    tree, holders = BKTree(), {}
-    bins = {n: np.frombuffer(s, np.uint8) for n, _, s, _, _ in rows}
-    for n, fp, _, g, _ in (r for r in rows if r[4] and not inside):
-        tree.add(fp)
-        holders.setdefault(fp, []).append((n, g))
-    for n, fp, _, g, _ in (r for r in rows if inside or not r[4]):
-        for near in tree.near(fp, radius):
-            for m, h in holders[near]:
-                if g == h or (spanning and strong_root(g) == strong_root(h)):
-                    continue
-                if (found := similarity(bins[n], bins[m])) < least:
-                    continue
-                if spanning:
-                    joined = every_root(g) == every_root(h)
-                    every[every_root(g)] = every_root(h)
-                    if found >= STRONG:
-                        strong[strong_root(g)] = strong_root(h)
-                    elif joined:
-                        continue
-                yield n, m
-        if inside:
-            tree.add(fp)
-            holders.setdefault(fp, []).append((n, g))
-
-
-def _search_similar(radius: int, least: float, spanning: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
-
-        def out() -> Iterator[pd.DataFrame]:
-            pairs = []
-            for u, v in _similar_candidates(held, now is not None and now[1] == now[2], radius, least, spanning):
-                pairs.append((min(u, v), max(u, v)))
-                if len(pairs) == 1 << 16:
-                    yield pd.DataFrame(pairs, columns=["u", "v"], dtype=np.int64)
-                    pairs = []
-            yield pd.DataFrame(pairs, columns=["u", "v"], dtype=np.int64)
-
-        for batch in batches:
-            fps = batch["fp"].to_numpy(np.int64).view(np.uint64).tolist()
-            for key, a, b, seg, node, fp, s, g in zip(batch["key"], batch["a"], batch["b"], batch["seg"], batch["node"], fps, batch["sketch"], batch["group"], strict=True):
-                if (key, a, b) != now:
-                    yield from out()
-                    now, held = (key, a, b), []
-                held.append((node, fp, s, g, seg == a))
-        yield from out()
+        for block in _blocks(batches, ["key", "a", "b"]):
+            node, group = block["node"].to_numpy(np.int64), block["group"].to_numpy(np.int64)
+            fp, bins = block["fp"].to_numpy(np.int64).view(np.uint64), _sketches(block["sketch"])
+            in_tree = np.flatnonzero(block["seg"] == block["a"])
+            asked = in_tree if block["a"].iloc[0] == block["b"].iloc[0] else np.flatnonzero(block["seg"] != block["a"])
+            # texts with one fingerprint are one value of the tree
+            values, which = np.unique(fp[in_tree], return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            first = np.searchsorted(which[order], np.arange(len(values) + 1))
+            tree = BKTree(np.random.default_rng(1).permutation(values).tolist())
+            place = np.searchsorted(values, np.array(tree.values, np.uint64))
+            q, t = tree.near_many(fp[asked], radius)
+            size = (first[1:] - first[:-1])[place[t]]
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[place[t]], size)
+            x, y = asked[np.repeat(q, size)], in_tree[order[at]]
+            x, y = (v[(group[x] != group[y]) & (node[x] != node[y])] for v in (x, y))
+            for i in range(0, len(x), 1 << 14):
+                u, v = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+                good = _equal_bins(bins[u], bins[v]) >= least
+                u, v = node[u[good]], node[v[good]]
+                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
     return run
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = SIMILAR, radius: int = WIDE_RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least doc_id of the row's class). Classes: texts whose sets of width-word shingles
-    have a similarity of least or more, over links.
+    """One row per row of docs: doc_id, node (the text's name), class_id (least doc_id of the row's class). Classes: texts whose sets
+    of width-word shingles have a similarity of least or more, over links.
 
     Equal texts become one. Each text goes to the shards of KEYS keys, each of KEY_HASHES min-hashes: two texts of similarity 0.8
-    share one with probability 1 - (1 - 0.8^3)^12 = 0.9998. A shard's BK-tree of SimHashes is searched within a wide radius, and
-    neighbours whose sketches agree within SLACK are candidates; whether they are linked is decided by the exact overlap of the
-    two texts' shingle sets. A hot shard is dealt into segments, each pair of segments a block of its own. Two rounds: first
-    candidates that span each block are confirmed, then all candidates between two classes that this has left. No candidate of
-    two classes goes untested; those within one class need no test. Texts without words are one class. Null ids: as in
-    near_duplicates(). Empty: empty.
+    share one with probability 1 - (1 - 0.8^3)^12 = 0.9998. First each text is compared with one centre of its shards, the
+    one of nearest sketch, so that a large group of copies becomes one class in two joins. Then only shards that still hold two
+    classes are searched: their BK-trees of SimHashes within a wide radius, all pairs of two classes; a hot shard is dealt into
+    segments, each pair of segments a block of its own. Sketches that agree within SLACK only make a candidate; whether it is a
+    link is decided by the exact overlap of the two texts' shingle sets. No candidate of two classes goes untested; those
+    within one class need no test. Texts without words are one class. Null ids: as in near_duplicates(). Empty: empty.
     """
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<fp: long, sketch: binary, keys: array<long>>")
     def sketches(texts: pd.Series) -> pd.DataFrame:
         found = [sketch(shingle_hashes(t, width)) for t in texts]
-        signed = lambda v: v - (1 << 64) if v >> 63 else v
-        return pd.DataFrame({"fp": [signed(f) for f, _, _ in found], "sketch": [s for _, s, _ in found], "keys": [[signed(k) for k in ks] for _, _, ks in found]})
+        fps, keys = np.array([f for f, _, _ in found], np.uint64).view(np.int64), [np.array(k, np.uint64).view(np.int64) for _, _, k in found]
+        return pd.DataFrame({"fp": fps, "sketch": [s for _, s, _ in found], "keys": keys})
 
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole, F.crc32(whole.cast("binary")), F.length(whole)).alias("node"), sketches(F.col(text)).alias("s"))
-    rows = written(rows.select("doc_id", "node", "s.*"), "sketches")
-    texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")), "texts")
-    keyed = texts.select("node", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    n_seg = F.ceil(F.col("n") / F.lit(tree_size)).cast("int")
-    dealt = (
-        keyed.join(sizes, "key")
-        .withColumn("seg", F.pmod(F.xxhash64("node", "key"), n_seg).cast("int"))
-        .withColumn("t", F.explode(F.sequence(F.lit(0), n_seg - 1)))
-        .select("node", "key", F.least("seg", "t").alias("a"), F.greatest("seg", "t").alias("b"), "seg")
-    )
-    dealt = dealt.join(texts.select("node", "fp", "sketch"), "node")
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(whole, F.crc32(whole.cast("binary")), F.length(whole)).alias("node"))
+    @F.pandas_udf("double")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series(_equal_bins(_sketches(left), _sketches(right)) if len(left) else np.zeros(0))
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([exact_similarity(shingle_hashes(x, width), shingle_hashes(y, width)) >= least - 1e-9 for x, y in zip(left, right, strict=True)], dtype=bool)
+        held: dict[str, np.ndarray] = {}
 
-    def confirmed(grouped: DataFrame, spanning: bool) -> DataFrame:
-        blocks = grouped.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
-        pairs = written(blocks.mapInPandas(_search_similar(radius, least - SLACK, spanning), "u long, v long").distinct(), "candidates")
+        def hashes(t: str) -> np.ndarray:
+            if t not in held:
+                if len(held) >= 8:  # neighbouring pairs share a text
+                    held.clear()
+                held[t] = shingle_hashes(t, width)
+            return held[t]
+
+        return pd.Series([exact_similarity(hashes(x), hashes(y)) >= least - 1e-9 for x, y in zip(left, right, strict=True)], dtype=bool)
+
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_name(F.col(text)).alias("node"))
+    rows = written(given.select("doc_id", "node", sketches("text").alias("s")).select("doc_id", "node", "s.*"), "sketches")
+    texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")), "texts")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose shingle sets are similar: exact."""
         # one row of each text that a candidate needs, by node and id: a group of equal texts doesn't meet in one task
         needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", "least"), "node")
         needed = broadcast_if_small(written(needed.select(F.col("node").alias("of"), "least"), "needed"), BROADCAST_TEXTS)
         read = given.join(needed, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.any_value("text").alias("text"))
         read = written(read, "confirm")
-        side = lambda c, t: read.select(F.col("node").alias(c), F.col("text").alias(t))
+        side = lambda c, t: read.select(F.col("node").alias(c), F.coalesce("text", F.lit("")).alias(t))
         return written(pairs.join(side("u", "tu"), "u").join(side("v", "tv"), "v").where(similar("tu", "tv")).select("u", "v"), "links")
 
-    links = confirmed(dealt.withColumn("group", F.col("node")), True)
+    keyed = texts.select("node", F.explode("keys").alias("key"))
+    centres = written(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "centres")
+    stars = keyed.join(centres, "key").where("node != centre").select("node", "centre").distinct()
+    side = texts.select(F.col("node").alias("centre"), F.col("fp").alias("fp_c"), F.col("sketch").alias("sketch_c"))
+    seen = stars.join(texts.select("node", "fp", "sketch"), "node").join(side, "centre").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_c"))) <= radius)
+    seen = seen.select("node", "centre", alike("sketch", "sketch_c").alias("alike")).where(F.col("alike") >= least - SLACK)
+    best = seen.groupBy("node").agg(F.max(F.struct("alike", "centre"))["centre"].alias("v")).select(F.col("node").alias("u"), "v")
+    links = confirmed(written(best, "stars"))
+
     first = connected_components(links).select(F.col("vertex").alias("node"), "component")
-    links = links.unionByName(confirmed(dealt.join(first, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), False))
+    grouped = texts.join(first, "node", "left").select("node", "fp", "sketch", F.coalesce("component", "node").alias("group"), F.explode("keys").alias("key"))
+    sizes = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key", "n")
+    n_seg = F.ceil(F.col("n") / F.lit(tree_size)).cast("int")
+    dealt = (
+        grouped.join(written(sizes, "mixed"), "key")
+        .withColumn("seg", F.pmod(F.xxhash64("node", "key"), n_seg).cast("int"))
+        .withColumn("t", F.explode(F.sequence(F.lit(0), n_seg - 1)))
+        .select("node", "group", "fp", "sketch", "key", F.least("seg", "t").alias("a"), F.greatest("seg", "t").alias("b"), "seg")
+    )
+    blocks = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+    pairs = written(blocks.mapInPandas(_search_similar(radius, least - SLACK), "u long, v long").distinct(), "candidates")
+    links = links.unionByName(confirmed(pairs))
+
     found = connected_components(links)
     of = texts.select("node", "least").join(found.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = of.groupBy("component").agg(F.min("least").alias("class_id"))
-    return rows.select("doc_id", "node").join(of.join(names, "component").select("node", "class_id"), "node").select("doc_id", "class_id")
+    return rows.select("doc_id", "node").join(of.join(names, "component").select("node", "class_id", "component"), "node").select("doc_id", "node", "class_id", "component")
 
 
 def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each class of similar_documents(): the one with the least id (of repeated rows, one); columns stay."""
-    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    classes = similar_documents(base, "__row", text, **options).select(F.col("doc_id").alias("__row"), "class_id")
-    named = classes.join(base.select("__row", F.col(doc_id).alias("id")), "__row")
-    best = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__row"))["__row"].alias("__row"))
-    return base.join(best, "__row", "left_semi").drop("__row")
+    """docs with one row of each class of similar_documents(), chosen as in one_of_each()."""
+    return one_of_each(docs, similar_documents(docs, doc_id, text, **options), doc_id, text)

@@ -32,3 +32,15 @@ def n_words(text: str | Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in a text; null and blank texts have 0."""
     col = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def own_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """For each name one that no column of df has (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for n in names:
+        free = f"_{n}"
+        while free.lower() in taken:
+            free = f"_{free}"
+        taken.add(free.lower())
+        out[n] = free
+    return out

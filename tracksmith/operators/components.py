@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracksmith.session import written
 
 
-def _mark(edges: DataFrame, keys: list[str]) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "u", "v"))).first())
+def _round(e: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple]:
+    """The written edges and a mark of them (number and hash), taken while they are written."""
+    seen = Observation()
+    e = written(e.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*keys, "u", "v")), F.lit(0)).alias("h")), "edges")
+    return e, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", keys: list[str] | None = None, most_rounds: int = 100) -> DataFrame:
@@ -29,13 +32,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", keys: lis
         .where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    e = written(e, "edges")
-    mark = _mark(e, keys)
+    e, mark = _round(e, keys)
     for _ in range(most_rounds):
         if mark[0] == 0:
             break
-        e = written(_small_star(_large_star(e, k), k), "edges")
-        now = _mark(e, keys)
+        e, now = _round(_small_star(_large_star(e, k), k), keys)
         if now == mark:
             break
         mark = now

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksmith.llm.text import as_bytes, own_names
@@ -322,9 +322,10 @@ def _search_similar(radius: int, least: float):
             x, y = (v[(group[x] != group[y]) & (node[x] != node[y])] for v in (x, y))
             for i in range(0, len(x), 1 << 14):
                 u, v = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
-                good = _equal_bins(bins[u], bins[v]) >= least
+                found = _equal_bins(bins[u], bins[v])
+                good = found >= least
                 u, v = node[u[good]], node[v[good]]
-                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "alike": found[good]})
 
     return run
 
@@ -337,7 +338,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     share one with probability 1 - (1 - 0.8^3)^12 = 0.9998. First each text is compared with one centre of its shards, the
     one of nearest sketch, so that a large group of copies becomes one class in two joins. Then only shards that still hold two
     classes are searched: their BK-trees of SimHashes within a wide radius, all pairs of two classes; a hot shard is dealt into
-    segments, each pair of segments a block of its own. Sketches that agree within SLACK only make a candidate; whether it is a
+    segments, each pair of segments a block of its own. Candidates are tested nearest first, in three steps. Sketches that agree within SLACK only make a candidate; whether it is a
     link is decided by the exact overlap of the two texts' shingle sets. No candidate of two classes goes untested; those
     within one class need no test. Texts without words are one class. Null ids: as in near_duplicates(). Empty: empty.
     """
@@ -353,18 +354,13 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series(_equal_bins(_sketches(left), _sketches(right)) if len(left) else np.zeros(0))
 
+    @F.pandas_udf("binary")
+    def shingle_sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, width).tobytes() for t in texts], dtype=object)
+
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        held: dict[str, np.ndarray] = {}
-
-        def hashes(t: str) -> np.ndarray:
-            if t not in held:
-                if len(held) >= 8:  # neighbouring pairs share a text
-                    held.clear()
-                held[t] = shingle_hashes(t, width)
-            return held[t]
-
-        return pd.Series([exact_similarity(hashes(x), hashes(y)) >= least - 1e-9 for x, y in zip(left, right, strict=True)], dtype=bool)
+        return pd.Series([exact_similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least - 1e-9 for x, y in zip(left, right, strict=True)], dtype=bool)
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_name(F.col(text)).alias("node"))
     rows = written(given.select("doc_id", "node", sketches("text").alias("s")).select("doc_id", "node", "s.*"), "sketches")
@@ -376,9 +372,9 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", "least"), "node")
         needed = broadcast_if_small(written(needed.select(F.col("node").alias("of"), "least"), "needed"), BROADCAST_TEXTS)
         read = given.join(needed, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.any_value("text").alias("text"))
-        read = written(read, "confirm")
-        side = lambda c, t: read.select(F.col("node").alias(c), F.coalesce("text", F.lit("")).alias(t))
-        return written(pairs.join(side("u", "tu"), "u").join(side("v", "tv"), "v").where(similar("tu", "tv")).select("u", "v"), "links")
+        read = written(read.select("node", shingle_sets("text").alias("set")), "confirm")
+        side = lambda c, t: read.select(F.col("node").alias(c), F.col("set").alias(t))
+        return written(pairs.join(side("u", "su"), "u").join(side("v", "sv"), "v").where(similar("su", "sv")).select("u", "v"), "links")
 
     keyed = texts.select("node", F.explode("keys").alias("key"))
     centres = written(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "centres")
@@ -400,8 +396,22 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         .select("node", "group", "fp", "sketch", "key", F.least("seg", "t").alias("a"), F.greatest("seg", "t").alias("b"), "seg")
     )
     blocks = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
-    pairs = written(blocks.mapInPandas(_search_similar(radius, least - SLACK), "u long, v long").distinct(), "candidates")
-    links = links.unionByName(confirmed(pairs))
+    pairs = written(blocks.mapInPandas(_search_similar(radius, least - SLACK), "u long, v long, alike double").distinct(), "candidates")
+
+    def crossing() -> DataFrame:
+        """Candidates of two classes, seen from both ends: node, its class, other, the other's class, alike."""
+        ends = connected_components(links)
+        end = lambda c, g: ends.select(F.col("vertex").alias(c), F.col("component").alias(g))
+        both = pairs.join(end("u", "cu"), "u", "left").join(end("v", "cv"), "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).where("cu != cv")
+        return both.select(F.col("u").alias("node"), "cu", F.col("v").alias("other"), "cv", "alike").unionByName(both.select(F.col("v").alias("node"), F.col("cv").alias("cu"), F.col("u").alias("other"), F.col("cu").alias("cv"), "alike"))
+
+    # nearest candidates first, since each confirmed link spares the tests between its two classes; at last all that are left
+    for most in (1, 8, None):
+        open_ = crossing()
+        if most:
+            open_ = open_.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("alike"), "other"))).where(F.col("nth") <= most)
+        nearest = open_.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+        links = written(links.unionByName(confirmed(written(nearest, "nearest"))), "links")
 
     found = connected_components(links)
     of = texts.select("node", "least").join(found.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))

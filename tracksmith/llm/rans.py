@@ -29,7 +29,7 @@ SCALE = 20
 LOW = 1 << 31
 BLOCK_IDS = 1 << 21
 LANES = 8192
-CHECK_STEPS = 128
+CHECK_STEPS = 64
 NULL_ID = -(1 << 63)
 END_ID = 2
 #: The tokenizer's own pattern, for all alphabets, that _CUT stands for on the plain one (fixed pattern of the format).
@@ -106,13 +106,16 @@ def encoder(file: str) -> Encoder:
 
 
 class Tables:
-    """Frequencies scaled to 2**SCALE, at least 1 each, so that every id can be coded; bounded by the vocabulary."""
+    """Frequencies that sum to 2**SCALE, at least 1 each, so that every id can be coded; bounded by the vocabulary."""
 
     def __init__(self, counts: np.ndarray) -> None:
+        """Counts that already sum to 2**SCALE without a zero are the frequencies themselves."""
         total, n = int(counts.sum()), len(counts)
-        room = (1 << SCALE) - n
-        f = 1 + (np.array([int(c) * room // max(1, total) for c in counts], np.int64) if total else np.zeros(n, np.int64))
-        f[int(np.argmax(f))] += (1 << SCALE) - int(f.sum())
+        f = np.asarray(counts, np.int64)
+        if total != 1 << SCALE or not f.all():
+            room = (1 << SCALE) - n
+            f = 1 + (np.array([int(c) * room // max(1, total) for c in counts], np.int64) if total else np.zeros(n, np.int64))
+            f[int(np.argmax(f))] += (1 << SCALE) - int(f.sum())
         self.f = f.astype(np.uint64)
         self.c = (np.cumsum(f) - f).astype(np.uint64)
         self.limit = self.f << np.uint64(63 - SCALE)
@@ -196,6 +199,14 @@ class Block:
             out[(t - first) * self.lanes : (t - first) * self.lanes + m] = s
         return out
 
+    def some_ids(self, tables: Tables, first: int, last: int) -> np.ndarray:
+        """Ids number first to last - 1 of the block: only the sections that hold them are decoded."""
+        first, last, size = max(0, first), min(last, self.n), self.every * self.lanes
+        if first >= last:
+            return np.zeros(0, np.uint32)
+        held = [self.section(i, tables) for i in range(first // size, (last - 1) // size + 1)]
+        return np.concatenate(held)[first - first // size * size :][: last - first]
+
     def ids(self, tables: Tables) -> np.ndarray:
         out = np.concatenate([self.section(i, tables) for i in range(len(self.marks))]) if self.n else np.zeros(0, np.uint32)
         if zlib.crc32(out.astype("<u4", copy=False)) != self.crc:
@@ -228,7 +239,7 @@ def sorted_ids(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", tex
             yield pd.DataFrame({"part": [part], "doc_id": pd.array([None], "Int64"), "local_start": [start], "n_tokens": [0], "ids": [None], "counts": [counts.tobytes()]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return written(rows.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInPandas(encode, schema), "ids")
 
 
@@ -253,15 +264,17 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def write_blocks(docs: DataFrame, tokenizer_file: str, path: str, end_id: int | None = END_ID, **columns) -> Tables:
-    """Write docs' ids as blocks under path and return the shared tables.
+def write_blocks(docs: DataFrame, tokenizer_file: str, path: str, end_id: int | None = END_ID, **columns) -> None:
+    """Write docs' ids under path: all that a reader needs.
 
-    path is a Parquet folder of (part, start, n_ids, block): start is the number of ids before the block in the whole output,
-    so a reader can seek. Blocks hold whole documents and about BLOCK_IDS ids; each can be read alone.
-    Empty docs: no blocks.
+    path/blocks is a Parquet folder of (part, start, n_ids, block): start is the number of ids before the block in the whole
+    output, so a reader can seek. Blocks hold whole documents and about BLOCK_IDS ids; each can be read alone. path/tables is
+    one row: the scale, the shared frequencies (int32 by id) and their crc32. Empty docs: no blocks.
     """
     ids = sorted_ids(docs, tokenizer_file, end_id=end_id, **columns)
     tables = Tables(id_counts(ids, vocabulary(tokenizer_file, end_id)))
+    raw = tables.f.astype("<i4").tobytes()
+    docs.sparkSession.createDataFrame([(SCALE, raw, zlib.crc32(raw))], "scale int, frequencies binary, crc32 long").write.parquet(f"{path}/tables")
     kind = encoder(tokenizer_file).kind
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     # one row per part: at most as many as the shuffle had partitions
@@ -294,16 +307,39 @@ def write_blocks(docs: DataFrame, tokenizer_file: str, path: str, end_id: int |
             yield block()
 
     docs_only = ids.where("ids is not null").select("part", "doc_id", "local_start", "n_tokens", "ids")
-    docs_only.mapInPandas(pack, "part int, start long, n_ids long, block binary").write.parquet(path)
-    return tables
+    docs_only.mapInPandas(pack, "part int, start long, n_ids long, block binary").write.parquet(f"{path}/blocks")
+
+
+def read_tables(spark, path: str) -> Tables:
+    """The shared frequencies of a folder; bounded by the vocabulary. Damage raises ValueError."""
+    row = spark.read.parquet(f"{path}/tables").first()
+    if row["scale"] != SCALE or zlib.crc32(row["frequencies"]) != row["crc32"]:
+        raise ValueError("damaged frequency table")
+    return Tables(np.frombuffer(row["frequencies"], "<i4").astype(np.int64))
+
+
+def read_range(spark, path: str, first: int, last: int) -> DataFrame:
+    """The ids number first to last - 1 of the whole output as (at long, id int): only the blocks and sections that hold them are decoded."""
+    shared = spark.sparkContext.broadcast(read_tables(spark, path))
+    bounded_batches(spark, 1)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start, raw in zip(b["start"].tolist(), b["block"], strict=True):
+                ids = Block(raw).some_ids(shared.value, first - start, last - start)
+                yield pd.DataFrame({"at": max(first, start) + np.arange(len(ids)), "id": ids.astype(np.int32)})
+
+    held = spark.read.parquet(f"{path}/blocks").where((F.col("start") < last) & (F.col("start") + F.col("n_ids") > first))
+    return held.select("start", "block").mapInPandas(unpack, "at long, id int")
 
 
-def read_blocks(spark, path: str, tables: Tables, with_ids: bool = True) -> DataFrame:
-    """Decode blocks in parallel: doc_id, start (ids before the document), n_tokens, ids_crc32 (unsigned), ids (array of int).
+def read_blocks(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """Decode the blocks of a folder in parallel: doc_id, start (ids before the document), n_tokens, ids_crc32 (unsigned), ids (array of int).
 
-    Without with_ids the ids are decoded and digested all the same, but not handed on.
+    Everything is read from the folder, so any session can. Without with_ids the ids are decoded and digested all the same,
+    but not handed on.
     """
-    shared = spark.sparkContext.broadcast(tables)
+    shared = spark.sparkContext.broadcast(read_tables(spark, path))
     bounded_batches(spark)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,11 +354,11 @@ def read_blocks(spark, path: str, tables: Tables, with_ids: bool = True) -> Data
                 yield out.assign(ids=[p.astype(np.int32) for p in parts]) if with_ids else out
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return spark.read.parquet(path).select("start", "block").mapInPandas(unpack, schema)
+    return spark.read.parquet(f"{path}/blocks").select("start", "block").mapInPandas(unpack, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int | None = END_ID, with_ids: bool = True, **columns) -> DataFrame:
     """Write docs' ids under the shared folder and read them back, see write_blocks() and read_blocks()."""
     path = fresh_path(docs.sparkSession, "rans")
-    tables = write_blocks(docs, tokenizer_file, path, end_id, **columns)
-    return read_blocks(docs.sparkSession, path, tables, with_ids)
+    write_blocks(docs, tokenizer_file, path, end_id, **columns)
+    return read_blocks(docs.sparkSession, path, with_ids)

@@ -21,9 +21,11 @@ FEATURES = ["f_word_len", "f_symbols", "f_dup_lines", "f_repeats"]
 FLOORS = [0.10, 0.30, 0.10, 0.10]
 #: Words of an average text of the cell that are mixed into the mean word length, so that short texts are not outliers by chance.
 SHRINK_WORDS = 100
+#: A cell of language and source with fewer rows borrows the estimate of its language, a language with fewer that of all rows.
 MIN_CELL = 60
 COVERED = 0.75
-STEPS = 4
+#: Concentration steps end when no estimate moves; this many at most (each step lowers the determinant, so they do end).
+MOST_STEPS = 30
 #: Tail probability of a clean text under the robust estimate.
 TAIL = 1e-5
 
@@ -112,36 +114,62 @@ def _distance(centre: str = "centre", inverse: str = "inverse") -> Column:
 
 
 def _bin(d2: Column) -> Column:
-    """Quarter-percent steps of the squared distance: about 2,800 bins over all doubles that occur."""
-    return F.when(d2 <= 1e-3, F.lit(-1)).otherwise(F.floor(F.log2(d2) * 64)).cast("int")
+    """Steps of about 1.1 % of the squared distance: about 2,800 bins over all doubles that occur. The innermost bin is first of all."""
+    return F.when(d2 <= 1e-3, F.lit(-10_000)).otherwise(F.floor(F.log2(d2) * 64)).cast("int")
 
 
 def _estimate(cell: pd.DataFrame, consistency: float) -> pd.DataFrame:
-    """Mean and inverse covariance of the covered share of a cell: bins by distance, nearest first."""
+    """Mean, inverse covariance and its log determinant of the covered share of a cell: bins by distance, nearest first; of the bin
+    where the share ends, the part that it still needs."""
     cell = cell.sort_values("bin")
     n = cell["n"].to_numpy(np.int64)
-    take = np.cumsum(n) - n < COVERED * n.sum()
-    part = cell[take]
-    m = float(part["n"].sum())
-    first = np.array([sum(map(int, part[f"s_{f}"])) for f in FEATURES], float)
-    centre = first / m
+    before = np.cumsum(n) - n
+    share = np.clip((math.ceil(COVERED * n.sum()) - before) / n, 0, 1)
+    m = float((share * n).sum())
+    total = lambda c: float((share * cell[c].to_numpy(float)).sum()) if (share % 1).any() else float(sum(map(int, cell[c][share > 0])))
+    centre = np.array([total(f"s_{f}") for f in FEATURES]) / m
     cov = np.zeros((len(FEATURES),) * 2)
     for i, j in _PAIRS:
-        cov[i, j] = cov[j, i] = sum(map(int, part[f"p_{i}_{j}"])) / m - centre[i] * centre[j]
+        cov[i, j] = cov[j, i] = total(f"p_{i}_{j}") / m - centre[i] * centre[j]
     cov = cov * consistency + np.diag((np.array(FLOORS) * UNIT) ** 2)
     inv = np.linalg.inv(cov)
-    return pd.DataFrame({"cell": [cell["cell"].iloc[0]], "centre": [centre.tolist()], "inverse": [[float(inv[i, j]) for i, j in _PAIRS]], "cell_rows": [int(n.sum())]})
+    key = {k: [cell[k].iloc[0]] for k in ("cell", "start") if k in cell}
+    return pd.DataFrame(key | {"centre": [centre.tolist()], "inverse": [[float(inv[i, j]) for i, j in _PAIRS]], "log_det": [float(np.linalg.slogdet(cov)[1])], "cell_rows": [int(n.sum())]})
 
 
-ESTIMATE = "cell string, centre array<double>, inverse array<double>, cell_rows long"
+ESTIMATE = "centre array<double>, inverse array<double>, log_det double, cell_rows long"
 
 
 def _step(vectors: DataFrame, bins: Column, consistency: float) -> DataFrame:
-    """One concentration step for every cell: sums by cell and distance bin (a small table), then the estimate of each cell."""
+    """One concentration step for every cell (and start): sums by cell and distance bin (a small table), then the estimate of each cell."""
     sums = [F.count("*").alias("n"), *[F.sum(f).alias(f"s_{f}") for f in FEATURES]]
     sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i, j in _PAIRS]
-    binned = vectors.withColumn("bin", bins).groupBy("cell", "bin").agg(*sums)
-    return written(binned.groupBy("cell").applyInPandas(lambda cell: _estimate(cell, consistency), ESTIMATE), "estimates")
+    by = [c for c in ("cell", "start") if c in vectors.columns]
+    schema = ", ".join(f"{c} {kind}" for c, kind in vectors.select(*by).dtypes) + ", " + ESTIMATE
+    binned = vectors.withColumn("bin", bins).groupBy(*by, "bin").agg(*sums)
+    return written(binned.groupBy(*by).applyInPandas(lambda cell: _estimate(cell, consistency), schema), "estimates")
+
+
+def covariance_determinants(vectors: DataFrame, consistency: float) -> DataFrame:
+    """The estimate of least determinant of each cell: cell, centre, inverse, log_det, cell_rows.
+
+    Two starts: the coordinatewise medians with the floors as spread, and the mean and covariance of all rows. Both take
+    concentration steps over all rows until no estimate moves any more; the one of lesser determinant stays.
+    """
+    middle = vectors.groupBy("cell").agg(F.array(*[F.expr(f"double(percentile_approx({f}, 0.5, 1000))") for f in FEATURES]).alias("centre"))
+    inverse = F.array(*[F.lit(1.0 / (FLOORS[i] * UNIT) ** 2 if i == j else 0.0) for i, j in _PAIRS])
+    about = vectors.join(written(middle, "medians"), "cell").withColumn("inverse", inverse).withColumn("start", F.lit(0))
+    first = _step(about, _bin(_distance()), consistency)
+    all_rows = _step(vectors.withColumn("start", F.lit(1)), F.lit(0), 1.0)
+    estimates, mark = first.unionByName(all_rows), None
+    for _ in range(MOST_STEPS):
+        estimates = _step(vectors.join(estimates, "cell"), _bin(_distance()), consistency)
+        now = estimates.agg(F.bit_xor(F.xxhash64("cell", "start", "centre", "inverse"))).first()[0]
+        if now == mark:
+            break
+        mark = now
+    best = estimates.groupBy("cell").agg(F.min(F.struct("log_det", "start", "centre", "inverse", "cell_rows")).alias("b"))
+    return best.select("cell", "b.centre", "b.inverse", "b.log_det", "b.cell_rows")
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", base: bool = True, min_cell: int = MIN_CELL, tail: float = TAIL) -> DataFrame:
@@ -151,8 +179,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     Mahalanobis distance of (log mean word length, log symbol rate, share of repeated lines, share of repeated words) from the
     cell's minimum-covariance-determinant estimate must not exceed the chi-square quantile of 1 - tail. Only vectors that
     pass the base rule are estimated from. Cells are (lang, source); those under min_cell rows are joined by language, and
-    those still under it in one rest cell. The estimate starts at the coordinatewise mean of the middle half by Manhattan
-    rank (bins about the mean), then takes STEPS concentration steps over all rows.
+    those still under it in one rest cell (a covariance needs rows). The estimates: covariance_determinants().
 
     Null text: no words, so base_failed. Null lang or source: a cell of its own. Repeated rows: a row each. Empty: empty.
     Extra columns are not read. Deterministic: the sums are over whole numbers.
@@ -174,9 +201,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     vectors = written(vectors, "vectors")
     dof = len(FEATURES)
     consistency = COVERED / chi_square_cdf(chi_square_quantile(COVERED, dof), dof + 2)
-    estimates = _start(vectors, consistency)
-    for _ in range(STEPS):
-        estimates = _step(vectors.join(estimates, "cell"), _bin(_distance()), consistency)
+    estimates = written(covariance_determinants(vectors, consistency), "estimates")
     cut = chi_square_quantile(1 - tail, dof)
     judged = (
         stats.alias("v")
@@ -189,13 +214,6 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "kept", "distance2", "cell")
 
 
-def _start(vectors: DataFrame, consistency: float) -> DataFrame:
-    """Start at each cell's coordinatewise medians and scaled floors: a concentration step about them."""
-    middle = vectors.groupBy("cell").agg(F.array(*[F.expr(f"double(percentile_approx({f}, 0.5, 1000))") for f in FEATURES]).alias("centre"))
-    inverse = F.array(*[F.lit(1.0 / (FLOORS[i] * UNIT) ** 2 if i == j else 0.0) for i, j in _PAIRS])
-    return _step(vectors.join(written(middle, "medians"), "cell").withColumn("inverse", inverse), _bin(_distance()), consistency)
-
-
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns, which may have any names; nulls are allowed anywhere.
 

@@ -445,11 +445,65 @@ def test_shards(spark, odd, empty):
 
 
 def test_shards_split_at_the_weighted_median(spark):
-    """Two shards along one dimension: the cut is where half of the bytes lie."""
+    """Two shards along one dimension: the cut is where half of the bytes lie, as near as the groups of equal texts allow (720 bytes each)."""
     df = spark.createDataFrame([(i, "x" * (i % 50), "en", "s") for i in range(1000)], "doc_id long, text string, lang string, source string")
     r = kdtree_shards.kdtree_shards(df, 2).toPandas()
     a, b = (r[r["shard"] == s] for s in (0, 1))
-    assert a["d_size"].max() <= b["d_size"].min() and abs(a["size"].sum() - b["size"].sum()) <= 60
+    assert a["d_size"].max() <= b["d_size"].min() and abs(a["size"].sum() - b["size"].sum()) <= 360
+
+
+def test_shards_against_a_brute_force_tree(spark, monkeypatch):
+    """The same cuts on sorted points in plain Python, without the tolerance; equal texts stay together, a group beyond a shard is dealt."""
+    monkeypatch.setattr(kdtree_shards, "TOLERANCE", 0.0)
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randrange(1, 60)) for _ in range(300)]
+    texts += texts[:60] * 2 + ["one large group"] * 1500
+    df = make(spark, texts, [rng.choice(["a", "common_crawl", "common_voice", None]) for _ in texts])
+    r = kdtree_shards.kdtree_shards(df, 7).toPandas()
+    split = r.groupby(["text_crc32", "size"])["shard"].nunique()
+    assert split[split > 1].index.tolist() == [(zlib.crc32(b"one large group"), 16)]
+    small = make(spark, texts[:420], [rng.choice(["a", "common_crawl", "common_voice", None]) for _ in range(420)])
+    r = kdtree_shards.kdtree_shards(small, 7).toPandas()
+    ties = {x["doc_id"]: x["tie"] for x in small.select("doc_id", F.shiftright(F.xxhash64("text"), 2).alias("tie")).collect()}
+    r["tie"] = r["doc_id"].map(ties)
+    points = r.groupby("tie").agg(w=("size", "sum"), d_source=("d_source", "first"), d_lang=("d_lang", "first"), d_size=("d_size", "first"), shard=("shard", "first")).reset_index()
+    dims = ["d_source", "d_lang", "d_size"]
+    width = {d: max(1, points[d].max() - points[d].min()) for d in dims}
+
+    def tree(part, k):
+        if k == 1:
+            return [sorted(part["tie"])]
+        dim = max(dims, key=lambda d: ((part[d].max() - part[d].min()) / width[d], -dims.index(d)))
+        part = part.sort_values([dim, "tie"])
+        want, upto = part["w"].sum() * (k // 2) / k, part["w"].cumsum().to_numpy()
+        i = int(np.searchsorted(upto, want))
+        before = upto[i - 1] if i else 0
+        i += upto[i] - want < want - before
+        return tree(part.iloc[:i], k // 2) + tree(part.iloc[i:], k - k // 2)
+
+    assert tree(points, 7) == [sorted(g["tie"]) for _, g in points.groupby("shard")]
+    leaves = kdtree_shards.kdtree_shards(small, target_bytes=5000).select("shard").distinct().count()
+    assert leaves == -(-int(r["size"].sum()) // 5000)
+
+
+def test_rans_folder_is_complete(spark, tmp_path):
+    """Another session reads documents and ranges of ids from the folder alone."""
+    rng = random.Random(22)
+    df = make(spark, [prose(rng, rng.randrange(0, 300)) for _ in range(200)] + [None])
+    path = str(tmp_path / "ids")
+    rans.write_blocks(df, WORD_BPE, path)
+    other = spark.newSession()
+    b = rans.read_blocks(other, path).toPandas().sort_values("start")
+    ids = np.concatenate(b["ids"].tolist())
+    want = [[*rans.Encoder(WORD_BPE, reuse=False).tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for _, t in sorted((r["doc_id"], r["text"]) for r in df.collect())]
+    assert ids.tolist() == [i for w in want for i in w]
+    part = rans.read_range(other, path, 1000, 1500).toPandas().sort_values("at")
+    assert part["id"].tolist() == ids[1000:1500].tolist() and part["at"].tolist() == list(range(1000, 1500))
+    n = 3 * rans.LANES * rans.CHECK_STEPS // 2
+    many = np.random.default_rng(1).integers(0, 500, n)
+    tables = rans.Tables(np.bincount(many, minlength=500))
+    block = rans.Block(rans.encode_block(many, tables, [1], [n]))
+    assert len(block.marks) == 2 and (block.some_ids(tables, n // 2, n - 7) == many[n // 2 : n - 7]).all()
 
 
 def test_lengths(spark, odd, empty):

@@ -333,13 +333,63 @@ def test_toxicity(spark, odd, empty):
 
 @pytest.mark.parametrize(
     ("clause", "want"),
-    [("i o", {""}), ("n o i", {"n"}), ("n o o o i", {""}), ("y i", {"t"}), ("y o o o o i", {""}), ("s y i", {"rt"}), ("s o o o o o i", {"r"}), ("s o n y i", {"nrt"}), ("i y i", {"", "t"}), ("o o", set())],
+    [("i o", {""}), ("n o i", {"n"}), ("n o o o i", {""}), ("y i", {"t"}), ("y o o o o i", {""}), ("s y i", {"rt"}), ("s o o o o o i", {"r"}), ("s o n y i", {"nrt"}), ("i y i", {"t"}), ("o o", set())],
 )
 def test_grammar(clause, want):
     kinds = {"i": toxicity.INSULT, "o": toxicity.OTHER, "n": toxicity.NOT, "y": toxicity.YOU, "s": toxicity.SAID}
     assert {m for _, m in toxicity.matches([kinds[c] for c in clause.split()])} == want
 
 
+def brute_clause(symbols):
+    """The grammar's rules by looking at neighbours, one rewriting of the clause after another."""
+    t, one = toxicity, []
+    for i, s in enumerate(symbols):
+        beside = any(x in (t.INSULT, t.HINT) for x in symbols[max(0, i - 2) : i])
+        one.append((t.INSULT, "") if s == t.INSULT or (s == t.HINT and beside) else (t.HINT, "") if s == t.HINT else s)
+    two, will, verb = [], None, None
+    for i, s in enumerate(one):
+        if s == t.MODALS:
+            will = i
+        if s == t.VERB:
+            if will is not None and i - will <= 3:
+                two.append((t.THREATEN, ""))
+                will = verb = None
+                continue
+            will, verb = None, i
+        if s == t.YOU and verb is not None and i - verb <= 3:
+            two.append((t.THREATEN, ""))
+            verb = None
+        two.append(s)
+    out = set()
+    for i, s in enumerate(two):
+        if isinstance(s, tuple):
+            n = "n" if t.NOT in two[max(0, i - 3) : i] else ""
+            r = "r" if t.SAID in two[:i] else ""
+            behind = two[i + 1 : i + 5]
+            later = next((k for k, x in enumerate(behind) if isinstance(x, tuple)), 4)  # a hit waits no longer than for the next one
+            out.add((s[0], n + r + ("t" if t.YOU in two[max(0, i - 4) : i] or t.YOU in behind[:later] else "")))
+    return out
+
+
+def test_grammar_against_a_brute_force_scorer():
+    """Patterns and path weights of random clauses."""
+    rng = random.Random(31)
+    weights = np.array([rng.uniform(-2, 2) for _ in toxicity.PATTERNS])
+    machine = toxicity.weighted(weights)
+    for _ in range(4000):
+        clause = rng.choices(toxicity.WORDS[:8], [6, 2, 2, 2, 1, 2, 1, 0.5], k=rng.randrange(1, 14))
+        want = brute_clause(clause) if {toxicity.INSULT, toxicity.HINT, toxicity.VERB} & set(clause) else set()
+        assert toxicity.matches(clause) == want, clause
+        if want:
+            assert machine.run([*clause, toxicity.END])[1] == pytest.approx(sum(weights[toxicity.PATTERNS.index(p)] for p in want))
+
+
+@pytest.mark.parametrize("clause, want", [("i o y", {"t"}), ("i o o o o y", {""}), ("n i o y", {"nt"})])
+def test_targets_behind_a_hit(clause, want):
+    kinds = {"i": toxicity.INSULT, "o": toxicity.OTHER, "n": toxicity.NOT, "y": toxicity.YOU}
+    assert {m for _, m in toxicity.matches([kinds[c] for c in clause.split()])} == want
+
+
 def brute_pieces(p, text):
     table = {p.names[i]: (p.sp.get_score(i), i) for i in range(len(p.names)) if not (p.sp.is_unknown(i) or p.sp.is_control(i) or p.sp.is_byte(i) or p.sp.is_unused(i))}
     best, back = [0.0] + [None] * len(text), [None] * (len(text) + 1)

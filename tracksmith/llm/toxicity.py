@@ -13,115 +13,165 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracksmith.session import bounded_batches
+from tracksmith.session import bounded_batches, written
 
 #: Labelled rows that the lexicon and the weights are fitted on at most: those with the least hash of their id.
 FIT_ROWS = 20_000
-#: Entries of the learned lexicon at most, by evidence.
-LEXICON = 20_000
-#: Evidence (log-likelihood against chance) and share of toxic documents among those that hold an entry: for an insult, and for
-#: a mere hint (an entry that clean texts hold too), whose share is a multiple of the base rate.
-STRONG_EVIDENCE, PURITY = 30.0, 0.95
-EVIDENCE, LIFT, SUPPORT = 12.0, 2.5, 5
+#: Share of toxic documents among those that hold an entry: for an insult, and for a mere hint (an entry that clean texts hold
+#: too) as a multiple of the base rate. Documents that must hold an entry.
+PURITY, LIFT, SUPPORT = 0.95, 2.5, 4
+#: Log-likelihood against chance that an entry needs beyond the logarithm of how many entries there are: of all entries of a
+#: sample, whatever its size, about exp(-1) pass by chance.
+BEYOND_CHANCE = 1.0
 PREFIXES = range(4, 9)
 
 # Words of the grammar's closed classes, English, German, French, Spanish (parameters of the grammar).
 THREAT = "kill hurt beat stab burn destroy punch shoot töte töten schlage verprügle brenne tuer frapper brûler détruire matar golpear quemar destruir".split()
 TARGET = "you your yourself he she him her they them du dich dir ihr euch er sie tu toi vous il elle ils elles tú ti usted ustedes él ella ellos".split()
+MODAL = "will shall gonna going werde wirst wird werden vais va vont voy vas vamos van".split()
 NEGATION = "not never neither nicht kein keine nie ne pas jamais nunca tampoco".split()
 REPORT = "said says called wrote quoted claimed sagte schrieb nannte zitierte dit écrit appelé cité dijo escribió llamó citó".split()
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
-# Symbols: one for each class of words; END closes a clause.
-OTHER, INSULT, HINT, THREATEN, YOU, NOT, SAID, END = range(8)
+# Symbols: one for each class of words; END closes a clause. Hits are (class, marks).
+OTHER, INSULT, HINT, VERB, MODALS, YOU, NOT, SAID, END, THREATEN = range(10)
+WORDS = (OTHER, INSULT, HINT, VERB, MODALS, YOU, NOT, SAID, END)
 HITS = (INSULT, HINT, THREATEN)
 
 
 class Transducer:
-    """A deterministic transducer with a weight per arc: arcs[state, symbol] = (next state, output symbol, weight)."""
+    """A deterministic transducer: arc(state, symbol) gives (next state, symbols written, weight). Arcs are made when first walked."""
 
-    def __init__(self, start, arcs: dict) -> None:
-        self.start, self.arcs = start, arcs
+    def __init__(self, start, rule) -> None:
+        self.start, self.rule, self.arcs = start, rule, {}
+
+    def arc(self, state, symbol):
+        found = self.arcs.get((state, symbol))
+        if found is None:
+            found = self.arcs[state, symbol] = self.rule(state, symbol)
+        return found
 
     def then(self, other: Transducer) -> Transducer:
         """Composition: other reads what this one writes; weights add up."""
-        start = (self.start, other.start)
-        arcs, todo, seen = {}, [start], {start}
-        symbols = {s for _, s in self.arcs}
-        while todo:
-            a, b = at = todo.pop()
-            for s in symbols:
-                a2, out, w = self.arcs[a, s]
-                b2, out2, w2 = other.arcs[b, out]
-                arcs[at, s] = ((a2, b2), out2, w + w2)
-                if (a2, b2) not in seen:
-                    seen.add((a2, b2))
-                    todo.append((a2, b2))
-        return Transducer(start, arcs)
-
-    def run(self, symbols: list[int]) -> tuple[list, float]:
+
+        def rule(state, symbol):
+            a, b = state
+            a, between, weight = self.arc(a, symbol)
+            out: tuple = ()
+            for x in between:
+                b, more, w = other.arc(b, x)
+                out, weight = out + more, weight + w
+            return (a, b), out, weight
+
+        return Transducer((self.start, other.start), rule)
+
+    def run(self, symbols: list) -> tuple[list, float]:
+        """What is written, and the weight of the path."""
         state, out, total = self.start, [], 0.0
         for s in symbols:
-            state, o, w = self.arcs[state, s]
-            out.append(o)
+            state, more, w = self.arc(state, s)
+            out += more
             total += w
         return out, total
 
 
-def _scope(opener: int, reach: int, mark: str, inputs: list) -> Transducer:
-    """After opener, what follows within reach words is marked; END closes the scope. Reach 0: up to the end of the clause."""
-    arcs = {}
-    far = reach or 10**6
-    states = range(reach + 1) if reach else (0, far)
-    for left in states:
-        for s in inputs:
-            kind = s[0] if isinstance(s, tuple) else s
-            if kind == END:
-                arcs[left, s] = (0, s, 0.0)
-            elif kind == opener:
-                arcs[left, s] = (far, s, 0.0)
-            else:
-                after = left if not reach else max(0, left - 1)
-                marked = (kind, (s[1] if isinstance(s, tuple) else "") + (mark if left else "")) if kind in HITS else s
-                arcs[left, s] = (after, marked, 0.0)
-    return Transducer(0, arcs)
-
-
-def _grammar() -> Transducer:
-    """Negation scope, then reported speech, then target: an insult or threat comes out with its marks (n, r, t)."""
-    negation = _scope(NOT, 3, "n", [OTHER, *HITS, YOU, NOT, SAID, END])
-    outs = {o for _, o, _ in negation.arcs.values()}
-    speech = _scope(SAID, 0, "r", list(outs))
-    outs = {o for _, o, _ in speech.arcs.values()}
-    target = _scope(YOU, 4, "t", list(outs))
-    return negation.then(speech).then(target)
-
-
-GRAMMAR = _grammar()
+def _insults(left: int, s):
+    """Writes a hit for an insult; a hint is one, and an insult if another hint or an insult stood up to two words before."""
+    if s == INSULT or (s == HINT and left):
+        return 2, ((INSULT, ""),), 0.0
+    if s == HINT:
+        return 2, ((HINT, ""),), 0.0
+    return (0 if s == END else max(0, left - 1)), (s,), 0.0
+
+
+def _threats(state: tuple[int, int], s):
+    """Writes a hit where a threat is complete: a verb of harm up to three words after 'will', or its object up to three words after it."""
+    will, verb = state
+    if s == END:
+        return (0, 0), (s,), 0.0
+    later = (max(0, will - 1), max(0, verb - 1))
+    if s == MODALS:
+        return (3, later[1]), (OTHER,), 0.0
+    if s == VERB:
+        return ((0, 0), ((THREATEN, ""),), 0.0) if will else ((0, 3), (OTHER,), 0.0)
+    if s == YOU and verb:
+        return (later[0], 0), ((THREATEN, ""), s), 0.0
+    return later, (s,), 0.0
+
+
+def _scope(opener: int, reach: int, mark: str):
+    """After opener, hits within reach words are marked; END closes the scope. Reach 0: up to the end of the clause."""
+    far = reach or 1
+
+    def rule(left: int, s):
+        if s == END:
+            return 0, (s,), 0.0
+        if s == opener:
+            return far, (s,), 0.0
+        out = (s[0], s[1] + mark) if isinstance(s, tuple) and left else s
+        return (max(0, left - 1) if reach else left), (out,), 0.0
+
+    return Transducer(0, rule)
+
+
+def _targets(state: tuple, s):
+    """Marks a hit that has a target up to four words before or behind it. A hit waits for its target, or for the end of its reach."""
+    left, waiting, reach = state
+    if s == END:
+        return (0, None, 0), ((waiting,) if waiting else ()) + (s,), 0.0
+    if s == YOU:
+        return (4, None, 0), (((waiting[0], waiting[1] + "t"),) if waiting else ()) + (s,), 0.0
+    out, after = (), max(0, left - 1)
+    if isinstance(s, tuple):
+        if left:
+            return (after, waiting, reach), ((s[0], s[1] + "t"),), 0.0
+        return (after, s, 4), ((waiting,) if waiting else ()), 0.0
+    if waiting and reach == 1:
+        out, waiting, reach = (waiting,), None, 0
+    return (after, waiting, max(0, reach - 1)), (*out, s), 0.0
+
+
+#: Insults, then threats, then the scopes of negation and reported speech, then targets: hits come out with marks n, r, t.
+GRAMMAR = Transducer(0, _insults).then(Transducer((0, 0), _threats)).then(_scope(NOT, 3, "n")).then(_scope(SAID, 0, "r")).then(Transducer((0, None, 0), _targets))
 #: Patterns of matched clauses whose weights are learned: what is said, and how.
 PATTERNS = [(k, m) for k in HITS for m in ("", "n", "r", "t", "nr", "nt", "rt", "nrt")]
 _INDEX = {p: i for i, p in enumerate(PATTERNS)}
-#: Besides, insults and hints per 100 words of the text.
-N_FEATURES = len(PATTERNS) + 2
+N_FEATURES = len(PATTERNS)
+
+
+def weighted(weights: np.ndarray) -> Transducer:
+    """The grammar composed with an acceptor whose arcs weigh each pattern the first time that a clause holds it."""
+
+    def rule(seen: frozenset, s):
+        if s == END:
+            return frozenset(), (), 0.0
+        if s in _INDEX and s not in seen:
+            return seen | {s}, (s,), float(weights[_INDEX[s]])
+        return seen, (), 0.0
+
+    return GRAMMAR.then(Transducer(frozenset(), rule))
 
 
 @dataclass
 class Lexicon:
-    """Classes of words: learned entries are whole words, or beginnings that end with *; bounded by LEXICON entries."""
+    """Classes of words: learned entries are whole words, or beginnings that end with *; bounded by the fitted sample's words."""
 
     insults: frozenset[str]
     hints: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
-        self.closed = {w: k for k, ws in ((THREATEN, THREAT), (YOU, TARGET), (NOT, NEGATION), (SAID, REPORT)) for w in ws}
+        self.closed = {w: k for k, ws in ((VERB, THREAT), (MODALS, MODAL), (YOU, TARGET), (NOT, NEGATION), (SAID, REPORT)) for w in ws}
         self.known: dict[str, int] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
     def kind(self, word: str) -> int:
         k = self.known.get(word)
         if k is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             k = self.closed.get(word, OTHER)
             for kind, held in ((INSULT, self.insults), (HINT, self.hints)):
@@ -131,40 +181,54 @@ class Lexicon:
             self.known[word] = k
         return k
 
-    def features(self, text: str | None) -> np.ndarray:
-        """Clauses of the whole text that match each pattern (log scale; a clause counts once for a pattern), and densities."""
-        out = np.zeros(N_FEATURES)
-        if not text:
-            return out
-        text = text.lower()
-        words = _WORD.findall(text)
-        if not any(self.kind(w) in HITS for w in set(words)):
-            return out
-        for clause in _CLAUSE.split(text):
-            symbols = [self.kind(w) for w in _WORD.findall(clause)]
-            for p in matches(symbols):
-                out[_INDEX[p]] += 1
-            out[-2] += symbols.count(INSULT)
-            out[-1] += symbols.count(HINT)
-        out[-2:] *= 100 / (len(words) + 50)
-        return np.log1p(out)
+    def clauses(self, text: str | None) -> Iterator[list[int]]:
+        """Symbols of the clauses that can match: those with an insult, a hint or a verb of harm. None of a text without words."""
+        kinds = self.kind
+        for clause in _CLAUSE.split((text or "").lower()):
+            symbols = list(map(kinds, _WORD.findall(clause)))
+            if not _STARTERS.isdisjoint(symbols):
+                yield symbols
+
+
+_STARTERS = frozenset((INSULT, HINT, VERB))
+#: Words whose class a task remembers.
+KNOWN = 60_000
 
 
 def matches(symbols: list[int]) -> set[tuple[int, str]]:
     """Patterns that the grammar finds in a clause."""
-    if not any(s in HITS for s in symbols):
+    if _STARTERS.isdisjoint(symbols):
         return set()
-    return {x if isinstance(x, tuple) else (x, "") for x in GRAMMAR.run([*symbols, END])[0]} & _INDEX.keys()
+    return _INDEX.keys() & GRAMMAR.run([*symbols, END])[0]
+
+
+def length_scale(text: str | None) -> float:
+    """What a text's matched clauses are divided by: the root of its length in hundreds of characters, and one."""
+    return math.sqrt(1 + len(text or "") / SCALE_CHARS)
+
+
+SCALE_CHARS = 100
 
 
 @dataclass
 class ToxicityModel:
+    """score: logistic of the bias and the weights of all matched clauses' paths, on the scale of the text's length."""
+
     lexicon: Lexicon
     weights: np.ndarray
     bias: float
 
+    def features(self, text: str | None) -> np.ndarray:
+        """Clauses of the whole text that match each pattern, on the text's scale."""
+        out = np.zeros(N_FEATURES)
+        for symbols in self.lexicon.clauses(text):
+            for p in matches(symbols):
+                out[_INDEX[p]] += 1
+        return out / length_scale(text)
+
     def score(self, texts) -> np.ndarray:
-        z = np.array([self.lexicon.features(t) @ self.weights + self.bias for t in texts], float)
+        machine = weighted(self.weights)
+        z = np.array([self.bias + sum(machine.run([*c, END])[1] for c in self.lexicon.clauses(t)) / length_scale(t) for t in texts], float)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -174,18 +238,24 @@ def entries(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
 
 
+def is_insult(share: float, e: float, n_entries: int) -> bool:
+    return share >= PURITY and e >= math.log(max(1, n_entries)) + BEYOND_CHANCE
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn the insult lexicon and the pattern weights from labels(doc_id, label): the rows it may learn from.
 
     The fit_rows labels with the least hash of their id are used (a bounded sample); null labels are skipped, an id labelled
-    twice counts as its larger label. Entries of the sample are counted by label in a partial aggregate; those that stand in
-    toxic documents far beyond chance are kept. Weights: a ridge logistic regression on the pattern counts of the sample.
+    twice counts as its larger label, of repeated documents with one id the least text counts. Entries of the sample are
+    counted by label in a partial aggregate; those that stand in toxic documents beyond chance are kept. Weights: a ridge
+    logistic regression on the pattern counts of the sample.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most fit_rows rows of two numbers
-    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
+    # at most fit_rows rows of two numbers are broadcast; one document an id is left
+    sample = written(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text")), "sample")
+    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0)).alias("toxic")).first()
     n, toxic = int(totals["n"]), int(totals["toxic"])
     if not toxic or toxic == n:
         return ToxicityModel(Lexicon(frozenset()), np.zeros(N_FEATURES), math.log((toxic + 0.5) / (n - toxic + 0.5)))
@@ -201,20 +271,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     base = toxic / n
     share = F.col("n1") / (F.col("n1") + F.col("n0"))
     evidence = F.col("n1") * F.log(share / base) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - share) / (1 - base))).otherwise(0)
-    counted = sample.select("text", "label").mapInPandas(count, "entry string, n1 long, n0 long").groupBy("entry").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    strong = (share >= PURITY) & (F.col("e") >= STRONG_EVIDENCE)
-    kept = counted.where((F.col("n1") >= SUPPORT) & (share >= F.least(F.lit(LIFT * base), F.lit(PURITY)))).withColumn("e", evidence).where(F.col("e") >= EVIDENCE)
-    kept = kept.withColumn("strong", strong).orderBy(F.desc("e"), "entry").limit(LEXICON).select("entry", "strong").collect()
-    lexicon = Lexicon(frozenset(r["entry"] for r in kept if r["strong"]), frozenset(r["entry"] for r in kept if not r["strong"]))
+    counted = written(sample.select("text", "label").mapInPandas(count, "entry string, n1 long, n0 long").groupBy("entry").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= SUPPORT), "entries")
+    n_entries = counted.count()
+    kept = counted.where((F.col("n1") >= SUPPORT) & (share >= min(LIFT * base, PURITY))).select("entry", share.alias("share"), evidence.alias("e")).where(F.col("e") >= math.log(max(1, n_entries)) + BEYOND_CHANCE).collect()
+    insults = frozenset(r["entry"] for r in kept if is_insult(r["share"], r["e"], n_entries))
+    model = ToxicityModel(Lexicon(insults, frozenset(r["entry"] for r in kept) - insults), np.zeros(N_FEATURES), 0.0)
 
     @F.pandas_udf("array<double>")
     def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([lexicon.features(t).tolist() for t in texts])
+        return pd.Series([model.features(t).tolist() for t in texts])
 
     # rows with equal features are one row with two counts: at most fit_rows rows
     rows = sample.select(features("text").alias("x"), "label").groupBy("x").agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("long")).alias("k")).orderBy("x").collect()
     weights, bias = _logistic(np.array([r["x"] for r in rows]), np.array([r["n"] for r in rows], float), np.array([r["k"] for r in rows], float))
-    return ToxicityModel(lexicon, weights, bias)
+    return ToxicityModel(model.lexicon, weights, bias)
 
 
 def _logistic(x: np.ndarray, n: np.ndarray, k: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:

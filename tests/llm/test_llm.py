@@ -658,3 +658,23 @@ def test_page_rasters():
     w, h, p = media.page_raster("<html><script>no()</script><p>Hello &amp; you</p><!-- x --><p>" + "a" * 200 + "</p></html>")
     assert (w, h, len(p)) == (media.PAGE_WIDTH, 1 + 3, media.PAGE_WIDTH * 4)
     assert media.page_raster(None) is None and media.page_raster("")[1] == 0
+
+
+def test_recall_on_drawn_pages(spark):
+    """Links among all pages against the link rule over all pairs: 0.9 of them at least, and none that the rule doesn't have."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = media.page_images(pages).collect()
+    images = {r["id"]: np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"]) for r in rows}
+    assert sum(len(media.keypoints(v)) < media.LEAST_PLACES for v in images.values()) <= 0.01 * len(images)
+    want = sum(n for _, n in brute_classes(images).values())
+    got = media.image_copies(media.page_images(pages)).agg(F.sum("n_links")).first()[0]
+    assert 0.9 * want <= got <= want and want >= 20
+
+
+def test_image_copies_of_odd_pages(spark):
+    """Null, empty, very long and repetitive pages, and repeated ids; extra columns with clashing names."""
+    long = "<p>" + "one line of words again and again " * 20000 + "</p>"
+    rows = [(1, None), (2, ""), (3, long), (3, long), (4, "<p>" + "x " * 90000 + "</p>"), (None, long + "<p>more</p>"), (5, "<b></b>")]
+    df = spark.createDataFrame([(i, h, 1, "a") for i, h in rows], "page_id long, html string, pts int, points string")
+    got = [(r["id"], r["class_id"]) for r in media.image_copies(media.page_images(df)).collect()]
+    assert sorted((x for x in got if x[0]), key=repr) == [(1, 1), (2, 2), (3, 3), (3, 3), (4, 4), (5, 2)] and (None, 3) in got

@@ -98,9 +98,9 @@ def path_histogram(samples: DataFrame, bin_width: float, keys: list[str] | None
     return s.groupBy(*keys, "n_bins", "bin").agg(F.sum("energy").alias("energy"))
 
 
-def _entropy(total: Column, e_log_e: Column) -> Column:
-    """-sum(p ln p) from the sums of e and of e ln e."""
-    return F.when(total > 0, F.log(total) - e_log_e / total + 0.0).otherwise(0.0)
+def _entropy(total: Column, e_log_e: Column, most: Column) -> Column:
+    """-sum(p ln p) from the sums of e and of e ln e; exactly 0 where one value is all."""
+    return F.when((total > 0) & (most < total), F.log(total) - e_log_e / total + 0.0).otherwise(0.0)
 
 
 def end_concentration(hist: DataFrame, region: float, bin_width: float, keys: list[str] | None = None) -> DataFrame:
@@ -115,7 +115,7 @@ def end_concentration(hist: DataFrame, region: float, bin_width: float, keys: li
         h = h.withColumn(f"e_{s}", F.when(ok, F.col("energy")))
         h = h.withColumn(f"top_{s}", F.max(f"e_{s}").over(Window.partitionBy(*keys)))
     x = F.col("energy")
-    aggs = [F.first("n_bins").alias("n_bins"), F.sum(x).alias("total"), F.sum(F.when(x > 0, x * F.log(x)).otherwise(0.0)).alias("xlx")]
+    aggs = [F.first("n_bins").alias("n_bins"), F.sum(x).alias("total"), F.max(x).alias("most"), F.sum(F.when(x > 0, x * F.log(x)).otherwise(0.0)).alias("xlx")]
     for s in inside:
         e = F.col(f"e_{s}")
         aggs += [F.coalesce(F.sum(e), F.lit(0.0)).alias(f"total_{s}"), F.coalesce(F.sum(F.when(e > 0, e * F.log(e))), F.lit(0.0)).alias(f"xlx_{s}"), F.coalesce(F.max(e), F.lit(0.0)).alias(f"max_{s}"), F.count_if(e > 0.1 * F.col(f"top_{s}")).alias(f"significant_{s}"), F.coalesce(F.get(F.sort_array(F.collect_list(e), False), F.lit(1)), F.lit(0.0)).alias(f"next_{s}")]
@@ -123,15 +123,16 @@ def end_concentration(hist: DataFrame, region: float, bin_width: float, keys: li
     for s in inside:
         g = g.withColumn(f"ratio_{s}", F.when(F.col(f"next_{s}") > 0, F.col(f"max_{s}") / F.col(f"next_{s}")).otherwise(F.lit(float("inf"))))
         g = g.withColumn(f"concentration_{s}", F.when(F.col(f"total_{s}") > 0, F.col(f"max_{s}") / F.col(f"total_{s}")).otherwise(0.0))
-        g = g.withColumn(f"entropy_{s}", _entropy(F.col(f"total_{s}"), F.col(f"xlx_{s}")))
+        g = g.withColumn(f"entropy_{s}", _entropy(F.col(f"total_{s}"), F.col(f"xlx_{s}"), F.col(f"max_{s}")))
         size = F.least(F.lit(n_end), F.col("n_bins"))
         g = g.withColumn(f"entropy_share_{s}", F.when(size > 1, F.col(f"entropy_{s}") / F.log(size)).otherwise(0.0))
-    g = g.withColumn("entropy", _entropy(F.col("total"), F.col("xlx"))).withColumn("entropy_share", F.when(F.col("n_bins") > 1, F.col("entropy") / F.log("n_bins")).otherwise(0.0))
+    g = g.withColumn("entropy", _entropy(F.col("total"), F.col("xlx"), F.col("most"))).withColumn("entropy_share", F.when(F.col("n_bins") > 1, F.col("entropy") / F.log("n_bins")).otherwise(0.0))
     both = F.col("entropy_share_start") + F.col("entropy_share_end")
     g = g.withColumn("entropy_asymmetry", F.when(both > 0, (F.col("entropy_share_end") - F.col("entropy_share_start")) / both).otherwise(0.0))
-    c1, c2, n1, n2 = (F.col(c) for c in ("concentration_start", "concentration_end", "significant_start", "significant_end"))
+    c1, c2 = (F.round(f"concentration_{x}", 9) for x in inside)
+    n1, n2 = (F.col(f"significant_{x}") for x in inside)
     at = F.when((c1 > c2) & (n1 <= n2), "start").when((c2 > c1) & (n2 <= n1), "end").when(n1 < n2, "start").when(n2 < n1, "end").otherwise("ambiguous")
-    return g.withColumn("peak_end", at).drop("xlx", "xlx_start", "xlx_end")
+    return g.withColumn("peak_end", at).drop("xlx", "xlx_start", "xlx_end", "most")
 
 
 def end_peaks(curve: DataFrame, region: float, keys: list[str] | None = None) -> DataFrame:

@@ -342,9 +342,11 @@ def g8(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tr.event_categories(tracks(spark, d)), 9)
 
 
-@register("g8_category_counts", f"with {track_sql(RADIUS)}, t as (select event_id, track_id, n_tracks, sum(energy) as energy from trk group by 1, 2, 3) select {CATEGORY} as category, count(distinct event_id) as n_events, count(*) as n_tracks, round(sum(energy), 6) as energy from t group by 1")
+@register("g8_category_counts", f"with {track_sql(RADIUS)}, t as (select event_id, track_id, n_tracks, sum(energy) as energy from trk group by 1, 2, 3) select {CATEGORY} as category, count(distinct event_id) as n_events, count(*) as n_tracks, sum(round(energy * 1e7)::bigint)::bigint / 1e7::double as energy from t group by 1")
 def g8b(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(tr.category_counts(tr.event_categories(tracks(spark, d))))
+    # energies are whole multiples of 1e-7: added up as whole numbers, so that no order of addition shows
+    whole = tr.event_categories(tracks(spark, d)).withColumn("energy", F.round(F.col("energy") * 1e7).cast("long"))
+    return tr.category_counts(whole).withColumn("energy", F.col("energy") / 1e7)
 
 
 @register(

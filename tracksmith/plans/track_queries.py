@@ -153,9 +153,24 @@ def k1(spark: SparkSession, d: str) -> DataFrame:
     return rounded(kde(spark, d), 8, s=6)
 
 
-@register("k3_maxima")
+#: The curve rounded as k1 gives it: comparisons of its points don't hang on the order of additions.
+CURVE = f"{v.HITS}, {TPATH}, {KDE}, kd8 as (select event_id, i, round(s, 6) as s, round(f, 8) as f from kd)"
+
+
+def curve(spark: SparkSession, d: str) -> DataFrame:
+    return written(k1(spark, d), "curve")
+
+
+@register(
+    "k3_maxima",
+    f"with {CURVE}, w as (select *, max(f) over e as hi, min(f) over e as lo, lag(f) over o as p, lead(f) over o as q, min(f) over (o rows between unbounded preceding and current row) as l, min(f) over (o rows between current row and unbounded following) as r, "
+    f"case when i < 3 then 'left' when i >= {GRID - 3} then 'right' else 'inside' end as side from kd8 window e as (partition by event_id), o as (partition by event_id order by i)), "
+    "x as (select *, row_number() over (partition by event_id, side order by f desc, i) as nth from w), "
+    "m as (select *, case when side = 'inside' then f - greatest(l, r) else f - lo end as prominence from x where (side = 'inside' and f > p and f > q) or (side <> 'inside' and nth = 1 and f > 0.5 * hi)) "
+    "select event_id, i, s, f, round(prominence, 8) as prominence, row_number() over (partition by event_id order by f desc, i) as rank from m where prominence > 0.1 * (hi - lo)",
+)
 def k3(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.maxima(kde(spark, d), keys=EVENT))
+    return rounded(pr.maxima(curve(spark, d), keys=EVENT), 8, s=6)
 
 
 @register("k4_peaks")
@@ -198,31 +213,65 @@ def k5b(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("entropy_start", F.col("entropy_start") + 0.0).withColumn("entropy_end", F.col("entropy_end") + 0.0)  # no negative zero
 
 
-@register("k6_end_peaks")
+ENDPEAKS = (
+    "c as (select *, max(s) over (partition by event_id) as top, lead(s) over o as s_n, lead(f) over o as f_n, lag(s) over o as s_p, lag(f) over o as f_p from kd8 window o as (partition by event_id order by i)), "
+    "t as (select event_id, 'start' as side, max(f) as h, arg_min(i, (-f, i)) as k from c where s < 15 group by 1 union all select event_id, 'end', max(f), arg_min(i, (-f, i)) from c where s > top - 15 group by 1), "
+    "j as (select t.event_id, side, h, arg_max(c.s + (h / 2 - c.f) / (c.f_n - c.f) * (c.s_n - c.s), c.i) filter (c.f < h / 2 and c.i < k) as a, arg_min(c.s_p + (h / 2 - c.f_p) / (c.f - c.f_p) * (c.s - c.s_p), c.i) filter (c.f < h / 2 and c.i > k) as b, min(c.s) as s0, max(c.s) as s1 from t join c using (event_id) group by 1, 2, 3), "
+    "ep as (select event_id, " + ", ".join(f"coalesce(max(h) filter (side = '{x}'), 0) as height_{x}, coalesce(max(coalesce(b, s1) - coalesce(a, s0)) filter (side = '{x}'), 0) as fwhm_{x}" for x in ("start", "end")) + " from j group by 1)"
+)
+
+
+@register("k6_end_peaks", f"with {CURVE}, {ENDPEAKS} select event_id, height_start, round(fwhm_start, 6) as fwhm_start, height_end, round(fwhm_end, 6) as fwhm_end from ep")
 def k6(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.end_peaks(kde(spark, d), 15.0, EVENT))
+    return rounded(pr.end_peaks(curve(spark, d), 15.0, EVENT), 8, fwhm_start=6, fwhm_end=6)
 
 
-@register("k7_asymmetries")
+_ASYM = "round(case when {0}_start + {0}_end > 0 then (greatest({0}_start, {0}_end) - least({0}_start, {0}_end)) / ({0}_start + {0}_end) else 0 end, 5) as a_{0}"
+
+
+@register("k7_asymmetries", f"with {CURVE}, {ENDPEAKS} select event_id, {_ASYM.format('height')}, {_ASYM.format('fwhm')} from ep")
 def k7(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.end_asymmetries(pr.end_peaks(kde(spark, d), 15.0, EVENT), {"a_height": ("height_start", "height_end"), "a_fwhm": ("fwhm_start", "fwhm_end")}))
+    out = pr.end_asymmetries(pr.end_peaks(curve(spark, d), 15.0, EVENT), {"a_height": ("height_start", "height_end"), "a_fwhm": ("fwhm_start", "fwhm_end")})
+    return rounded(out.select("event_id", "a_height", "a_fwhm"), 5)
 
 
-@register("k8_valley")
+@register(
+    "k8_valley",
+    f"with {CURVE}, {ENDPEAKS}, g as (select event_id, min(f) filter (s >= 15 and s <= top - 15) as m, arg_min(s, (f, s)) filter (s >= 15 and s <= top - 15) as at_, coalesce(stddev_samp(f) filter (s >= 0.25 * top and s <= 0.75 * top), 0) as flat, max(top) as top from c group by 1) "
+    "select event_id, coalesce(m, 0) as depth, round(coalesce(at_, top / 2), 6) as depth_at, round(case when m is null then 1 when m > 0 then (height_start + height_end) / (2 * m) else 'inf'::double end, 4) as peak_to_valley, round(case when m is null then 0 else flat end, 7) as flatness from g join ep using (event_id)",
+)
 def k8(spark: SparkSession, d: str) -> DataFrame:
-    c = kde(spark, d)
-    return rounded(pr.valley(c, pr.end_peaks(c, 15.0, EVENT), 15.0, EVENT))
+    c = curve(spark, d)
+    return rounded(pr.valley(c, pr.end_peaks(c, 15.0, EVENT), 15.0, EVENT), 6, depth=8, peak_to_valley=4, flatness=7)
 
 
-@register("k9_end_moments")
+@register(
+    "k9_end_moments",
+    f"with {v.HITS}, {TPATH}, a as (select event_id, s, energy, max(s) over (partition by event_id) as top from tp), b as (select event_id, 'start' as side, s as d, energy from a where s < 30 union all select event_id, 'end', top - s, energy from a where s > top - 30), "
+    "c as (select *, d - sum(d * energy) over w / sum(energy) over w as u from b window w as (partition by event_id, side)), "
+    "m as (select event_id, side, count(*) as n, sum(energy) as e, sum(energy * u * u) / sum(energy) as m2, sum(energy * pow(u, 3)) / sum(energy) as m3, sum(energy * pow(u, 4)) / sum(energy) as m4 from c group by 1, 2), "
+    "z as (select event_id, side, case when n >= 3 and e <> 0 and sqrt(m2) >= 1e-10 then m3 / pow(m2, 1.5) else 0 end as skew, case when n >= 3 and e <> 0 and sqrt(m2) >= 1e-10 then m4 / (m2 * m2) - 3 else 0 end as kurtosis from m) "
+    "select event_id, " + ", ".join(f"round(coalesce(max({c}) filter (side = '{x}'), 0), 5) + 0.0::double as {c}_{x}" for x in ("start", "end") for c in ("skew", "kurtosis")) + " from z group by 1",
+)
 def k9(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.end_moments(truth(spark, d), 30.0, EVENT), 5)
+    out = rounded(pr.end_moments(truth(spark, d), 30.0, EVENT), 5)
+    return out.select("event_id", *[(F.col(c) + 0.0).alias(c) for c in out.columns if c != "event_id"])  # no negative zero
 
 
-@register("k10_entropy")
+@register(
+    "k10_entropy",
+    f"with {v.HITS}, {TPATH}, {HPATH}, h9 as (select event_id, n_bins, bin, round(energy, 9) as energy from hb), hm as (select *, max(energy) filter (bin < 2) over (partition by event_id) as m_start, max(energy) filter (bin >= n_bins - 2) over (partition by event_id) as m_end from h9), "
+    f"g as (select event_id, any_value(n_bins) as n_bins, sum(energy) as total, max(energy) as most, sum(energy * ln(energy)) filter (energy > 0) as x_, {_end_sql('start')}, {_end_sql('end')} from hm group by 1), "
+    "e as (select *, case when total > 0 and most < total then ln(total) - x_ / total else 0 end as entropy, case when total_start > 0 and max_start < total_start then ln(total_start) - x_start / total_start else 0 end as e_s, case when total_end > 0 and max_end < total_end then ln(total_end) - x_end / total_end else 0 end as e_e, "
+    "case when total_start > 0 then round(max_start / total_start, 9) else 0 end as c1, case when total_end > 0 then round(max_end / total_end, 9) else 0 end as c2 from g), "
+    "f as (select *, case when n_bins > 1 then entropy / ln(n_bins) else 0 end as sh, case when least(2, n_bins) > 1 then e_s / ln(least(2, n_bins)) else 0 end as s_s, case when least(2, n_bins) > 1 then e_e / ln(least(2, n_bins)) else 0 end as s_e from e) "
+    "select event_id, round(entropy, 6) as entropy, round(sh, 6) as entropy_share, round(s_s, 6) as entropy_share_start, round(s_e, 6) as entropy_share_end, round(case when s_s + s_e > 0 then (s_e - s_s) / (s_s + s_e) else 0 end, 6) + 0.0::double as entropy_asymmetry, "
+    "case when c1 > c2 and significant_start <= significant_end then 'start' when c2 > c1 and significant_end <= significant_start then 'end' when significant_start < significant_end then 'start' when significant_end < significant_start then 'end' else 'ambiguous' end as peak_end from f",
+)
 def k10(spark: SparkSession, d: str) -> DataFrame:
-    g = pr.end_concentration(pr.path_histogram(truth(spark, d), 8.0, EVENT), 16.0, 8.0, EVENT)
-    return rounded(g.select("event_id", "entropy", "entropy_share", "entropy_share_start", "entropy_share_end", "entropy_asymmetry", "peak_end"))
+    g = pr.end_concentration(rounded(pr.path_histogram(truth(spark, d), 8.0, EVENT), 9), 16.0, 8.0, EVENT)
+    out = rounded(g.select("event_id", "entropy", "entropy_share", "entropy_share_start", "entropy_share_end", "entropy_asymmetry", "peak_end"))
+    return out.withColumn("entropy_asymmetry", F.col("entropy_asymmetry") + 0.0)  # no negative zero
 
 
 # ---- reconstructed tracks

@@ -160,7 +160,7 @@ def _det(m: list[list[Column]]) -> Column:
 
 
 def poly_fit(df: DataFrame, x: str, y: str, degree: int, by: list[str] | None = None) -> DataFrame:
-    """Least-squares coefficients c0.. of a polynomial, their standard errors, and n.
+    """n, and the least-squares coefficients c0.. of a polynomial with their standard errors c0_err.. (null without spare points).
 
     Power sums about the group's mean and spread of x in one aggregate; the normal equations are solved on the aggregated row.
     """
@@ -177,15 +177,32 @@ def poly_fit(df: DataFrame, x: str, y: str, degree: int, by: list[str] | None =
     sums = [F.sum(F.pow(u, F.lit(p))).alias(f"s{p}") for p in range(2 * degree + 1)] + [F.sum(F.pow(u, F.lit(p)) * F.col(y)).alias(f"t{p}") for p in range(k)]
     a = d.groupBy(*by).agg(*sums, F.sum(F.col(y) * F.col(y)).alias("yy"), F.first("__m").alias("m"), F.first(F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)).alias("s"))
     mat = [[F.col(f"s{i + j}") for j in range(k)] for i in range(k)]
-    det = _det(mat)
-    b = [_det([[F.col(f"t{i}") if j == c else mat[i][j] for j in range(k)] for i in range(k)]) / det for c in range(k)]
-    a = a.select(*by, "*", *[v.alias(f"b{i}") for i, v in enumerate(b)], det.alias("det")) if not by else a.select("*", *[v.alias(f"b{i}") for i, v in enumerate(b)], det.alias("det"))
-    # back from u = (x - m) / s to powers of x
-    coef = []
+    minor = lambda r, c: [row[:c] + row[c + 1 :] for i, row in enumerate(mat) if i != r]
+    a = a.withColumn("det", _det(mat))
+    solved = {f"b{c}": F.try_divide(_det([[F.col(f"t{i}") if j == c else mat[i][j] for j in range(k)] for i in range(k)]), F.col("det")) for c in range(k)}
+    inverse = {f"v{i}{j}": F.try_divide((-1) ** (i + j) * (_det(minor(i, j)) if k > 1 else F.lit(1.0)), F.col("det")) for i in range(k) for j in range(i, k)}
+    a = a.select("*", *[c.alias(n) for n, c in (solved | inverse).items()])
+    rss = F.col("yy") - sum((F.col(f"b{i}") * F.col(f"t{i}") for i in range(1, k)), F.col("b0") * F.col("t0"))
+    a = a.withColumn("s2", F.when(F.col("s0") > k, F.greatest(rss, F.lit(0.0)) / (F.col("s0") - k)))
+    # back from u = (x - m) / s to powers of x: row i of the change of base
+    out = []
     for i in range(k):
-        terms = [F.col(f"b{p}") * math.comb(p, i) * F.pow(-F.col("m"), F.lit(p - i)) / F.pow(F.col("s"), F.lit(p)) for p in range(i, k)]
-        coef.append(sum(terms[1:], terms[0]).alias(f"c{i}"))
-    return a.select(*by, F.col("s0").cast("long").alias("n"), *coef)
+        base = {p: math.comb(p, i) * F.pow(-F.col("m"), F.lit(p - i)) / F.pow(F.col("s"), F.lit(p)) for p in range(i, k)}
+        terms = [F.col(f"b{p}") * base[p] for p in base]
+        spread = [base[p] * base[q] * F.col(f"v{min(p, q)}{max(p, q)}") for p in base for q in base]
+        out += [sum(terms[1:], terms[0]).alias(f"c{i}"), F.sqrt(F.col("s2") * F.greatest(sum(spread[1:], spread[0]), F.lit(0.0))).alias(f"c{i}_err")]
+    return a.select(*by, F.col("s0").cast("long").alias("n"), *out)
+
+
+def student_quantile(z: float, dof: Column) -> Column:
+    """Quantile of Student's distribution from the normal one, by the expansion in 1 / dof (to 0.1 % from 5 degrees of freedom on)."""
+    return z + (z**3 + z) / (4 * dof) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * dof * dof)
+
+
+def with_intervals(fit: DataFrame, coefficients: list[str], z: float = 1.959964) -> DataFrame:
+    """A fit with ``c_low`` and ``c_high`` for each coefficient c that has a ``c_err``; z: normal quantile of the level (95 %)."""
+    t = student_quantile(z, F.greatest(F.col("n") - len(coefficients), F.lit(1)))
+    return fit.withColumns({f"{c}_{side}": F.col(c) + sign * t * F.col(f"{c}_err") for c in coefficients for side, sign in (("low", -1), ("high", 1))})
 
 
 def poly_value(x: str | Column, coefficients: list) -> Column:

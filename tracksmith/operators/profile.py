@@ -149,8 +149,8 @@ def end_peaks(curve: DataFrame, region: float, keys: list[str] | None = None) ->
     half = F.col("h") / 2
     under = F.col("f") < half
     i, k = F.col("i"), F.col("k")
-    lo = F.max(F.when(under & (i < k), F.struct("i", (F.col("s") + (half - F.col("f")) / (F.col("f_n") - F.col("f")) * (F.col("s_n") - F.col("s"))).alias("at"))))
-    hi = F.min(F.when(under & (i > k), F.struct("i", (F.col("s_p") + (half - F.col("f_p")) / (F.col("f") - F.col("f_p")) * (F.col("s") - F.col("s_p"))).alias("at"))))
+    lo = F.max(F.when(under & (i < k), F.struct("i", (F.col("s") + F.try_divide(half - F.col("f"), F.col("f_n") - F.col("f")) * (F.col("s_n") - F.col("s"))).alias("at"))))
+    hi = F.min(F.when(under & (i > k), F.struct("i", (F.col("s_p") + F.try_divide(half - F.col("f_p"), F.col("f") - F.col("f_p")) * (F.col("s") - F.col("s_p"))).alias("at"))))
     g = j.groupBy(*keys, "side", "h").agg(F.coalesce(lo["at"], F.min("s")).alias("a"), F.coalesce(hi["at"], F.max("s")).alias("b"))
     cols = []
     for s in sides:

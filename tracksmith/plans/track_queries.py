@@ -238,11 +238,11 @@ def k7(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "k8_valley",
     f"with {CURVE}, {ENDPEAKS}, g as (select event_id, min(f) filter (s >= 15 and s <= top - 15) as m, arg_min(s, (f, s)) filter (s >= 15 and s <= top - 15) as at_, coalesce(stddev_samp(f) filter (s >= 0.25 * top and s <= 0.75 * top), 0) as flat, max(top) as top from c group by 1) "
-    "select event_id, coalesce(m, 0) as depth, round(coalesce(at_, top / 2), 6) as depth_at, round(case when m is null then 1 when m > 0 then (height_start + height_end) / (2 * m) else 'inf'::double end, 4) as peak_to_valley, round(case when m is null then 0 else flat end, 7) as flatness from g join ep using (event_id)",
+    "select event_id, coalesce(m, 0) as depth, round(coalesce(at_, top / 2), 7) as depth_at, round(case when m is null then 1 when m > 0 then (height_start + height_end) / (2 * m) else 'inf'::double end, 4) as peak_to_valley, round(case when m is null then 0 else flat end, 7) as flatness from g join ep using (event_id)",
 )
 def k8(spark: SparkSession, d: str) -> DataFrame:
     c = curve(spark, d)
-    return rounded(pr.valley(c, pr.end_peaks(c, 15.0, EVENT), 15.0, EVENT), 6, depth=8, peak_to_valley=4, flatness=7)
+    return rounded(pr.valley(c, pr.end_peaks(c, 15.0, EVENT), 15.0, EVENT), 7, depth=8, peak_to_valley=4)
 
 
 @register(
@@ -491,9 +491,27 @@ def h6(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out)
 
 
-@register("h13_poly_fit")
+def _quadratic_sql() -> str:
+    """Normal equations of a quadratic in u = (x - m) / s by label, solved by cofactors, with errors and 95 % intervals."""
+    cof = lambda i, j: "(s{} * s{} - s{} * s{})".format(*(lambda r, c: (r[0] + c[0], r[1] + c[1], r[0] + c[1], r[1] + c[0]))([x for x in range(3) if x != i], [x for x in range(3) if x != j]))
+    inv = lambda i, j: f"({'-' if (i + j) % 2 else ''}{cof(i, j)} / det)"
+    b = ", ".join(f"{' + '.join(f'{inv(i, j)} * t{j}' for j in range(3))} as b{i}" for i in range(3))
+    v_ = ", ".join(f"{inv(i, j)} as v{i}{j}" for i in range(3) for j in range(i, 3))
+    base = {0: {0: "1", 1: "(-m / s)", 2: "(m * m / (s * s))"}, 1: {1: "(1 / s)", 2: "(-2 * m / (s * s))"}, 2: {2: "(1 / (s * s))"}}
+    c = ", ".join(f"{' + '.join(f'b{p} * {w}' for p, w in base[i].items())} as c{i}, sqrt(s2 * ({' + '.join(f'{w} * {w2} * v{min(p, q)}{max(p, q)}' for p, w in base[i].items() for q, w2 in base[i].items())})) as c{i}_err" for i in range(3))
+    t = "(1.959964 + (pow(1.959964, 3) + 1.959964) / (4.0 * (n - 3)) + (5 * pow(1.959964, 5) + 16 * pow(1.959964, 3) + 3 * 1.959964) / (96.0 * (n - 3) * (n - 3)))"
+    out = ", ".join(f"round(c{i}, 6) as c{i}, round(c{i}_err, 6) as c{i}_err, round(c{i} - {t} * c{i}_err, 6) as c{i}_low, round(c{i} + {t} * c{i}_err, 6) as c{i}_high" for i in range(3))
+    return (
+        f"with {v.HITS}, q as (select label, avg(x) as m, stddev_pop(x) as s from hits group by 1), u as (select label, m, s, (x - m) / s as u, energy as y from hits join q using (label)), "
+        "p as (select label, any_value(m) as m, any_value(s) as s, count(*)::double as s0, sum(u) as s1, sum(u * u) as s2, sum(pow(u, 3)) as s3, sum(pow(u, 4)) as s4, sum(y) as t0, sum(u * y) as t1, sum(u * u * y) as t2, sum(y * y) as yy from u group by 1), "
+        f"d as (select *, s0 * {cof(0, 0)} - s1 * {cof(0, 1)} + s2 * {cof(0, 2)} as det from p), g as (select label, m, s, s0, yy, t0, t1, t2, {b}, {v_} from d), "
+        f"r as (select *, (yy - b0 * t0 - b1 * t1 - b2 * t2) / (s0 - 3) as s2 from g), e as (select label, s0::bigint as n, {c} from r) select label, n, {out} from e"
+    )
+
+
+@register("h13_poly_fit", _quadratic_sql())
 def h13(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(hi.poly_fit(v.hits(spark, d), "x", "energy", 2, ["label"]), 6)
+    return rounded(hi.with_intervals(hi.poly_fit(v.hits(spark, d), "x", "energy", 2, ["label"]), ["c0", "c1", "c2"]))
 
 
 @register("h14_fit_profile")

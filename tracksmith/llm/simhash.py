@@ -338,7 +338,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     share one with probability 1 - (1 - 0.8^3)^12 = 0.9998. First each text is compared with one centre of its shards, the
     one of nearest sketch, so that a large group of copies becomes one class in two joins. Then only shards that still hold two
     classes are searched: their BK-trees of SimHashes within a wide radius, all pairs of two classes; a hot shard is dealt into
-    segments, each pair of segments a block of its own. Candidates are tested nearest first, in three steps. Sketches that agree within SLACK only make a candidate; whether it is a
+    segments, each pair of segments a block of its own. Candidates are tested nearest first, in two steps. Sketches that agree within SLACK only make a candidate; whether it is a
     link is decided by the exact overlap of the two texts' shingle sets. No candidate of two classes goes untested; those
     within one class need no test. Texts without words are one class. Null ids: as in near_duplicates(). Empty: empty.
     """
@@ -385,8 +385,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     best = seen.groupBy("node").agg(F.max(F.struct("alike", "centre"))["centre"].alias("v")).select(F.col("node").alias("u"), "v")
     links = confirmed(written(best, "stars"))
 
-    first = connected_components(links).select(F.col("vertex").alias("node"), "component")
-    grouped = texts.join(first, "node", "left").select("node", "fp", "sketch", F.coalesce("component", "node").alias("group"), F.explode("keys").alias("key"))
+    ends = written(connected_components(links), "classes")
+    grouped = texts.join(ends.select(F.col("vertex").alias("node"), "component"), "node", "left").select("node", "fp", "sketch", F.coalesce("component", "node").alias("group"), F.explode("keys").alias("key"))
     sizes = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key", "n")
     n_seg = F.ceil(F.col("n") / F.lit(tree_size)).cast("int")
     dealt = (
@@ -399,21 +399,22 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     pairs = written(blocks.mapInPandas(_search_similar(radius, least - SLACK), "u long, v long, alike double").distinct(), "candidates")
 
     def crossing() -> DataFrame:
-        """Candidates of two classes, seen from both ends: node, its class, other, the other's class, alike."""
-        ends = connected_components(links)
+        """Candidates of two classes, seen from both ends: node, other, alike."""
         end = lambda c, g: ends.select(F.col("vertex").alias(c), F.col("component").alias(g))
-        both = pairs.join(end("u", "cu"), "u", "left").join(end("v", "cv"), "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).where("cu != cv")
-        return both.select(F.col("u").alias("node"), "cu", F.col("v").alias("other"), "cv", "alike").unionByName(both.select(F.col("v").alias("node"), F.col("cv").alias("cu"), F.col("u").alias("other"), F.col("cu").alias("cv"), "alike"))
+        both = pairs.join(end("u", "cu"), "u", "left").join(end("v", "cv"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+        return both.select(F.col("u").alias("node"), F.col("v").alias("other"), "alike").unionByName(both.select(F.col("v").alias("node"), F.col("u").alias("other"), "alike"))
 
     # nearest candidates first, since each confirmed link spares the tests between its two classes; at last all that are left
-    for most in (1, 8, None):
+    for most in (4, None):
         open_ = crossing()
         if most:
             open_ = open_.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("alike"), "other"))).where(F.col("nth") <= most)
-        nearest = open_.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-        links = written(links.unionByName(confirmed(written(nearest, "nearest"))), "links")
+        new = confirmed(written(open_.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "nearest"))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            ends = written(connected_components(links), "classes")
 
-    found = connected_components(links)
+    found = ends
     of = texts.select("node", "least").join(found.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = of.groupBy("component").agg(F.min("least").alias("class_id"))
     return rows.select("doc_id", "node").join(of.join(names, "component").select("node", "class_id", "component"), "node").select("doc_id", "node", "class_id", "component")

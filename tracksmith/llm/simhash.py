@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracksmith.llm.text import as_bytes, own_names
@@ -238,7 +238,9 @@ SIMILAR = 0.8
 #: What the sketch's share of equal bins may fall below the similarity: four times its own spread (0.025 at 0.8). The sketch
 #: only picks candidates; the shingle sets decide.
 SLACK = 0.1
-#: Texts to be confirmed that are broadcast at most (two numbers each).
+#: Bytes of shingle sets in one segment of a shard.
+SEGMENT_BYTES = 16 << 20
+#: Texts whose sets are needed that are broadcast at most (two numbers each).
 BROADCAST_TEXTS = 1 << 20
 
 _MULTIPLIERS = np.random.default_rng(64).integers(1 << 62, 1 << 63, KEY_HASHES * KEYS, dtype=np.uint64) | np.uint64(1)
@@ -301,35 +303,63 @@ def _sketches(column: pd.Series) -> np.ndarray:
 
 
 def _search_similar(radius: int, least: float):
-    """Candidates (u, v) of each block: BK-tree neighbours of two groups whose sketches agree to least."""
+    """Links (u, v) of each block that join two of its groups: exact, enough to span what the block links.
+
+    Candidates are BK-tree neighbours of two groups whose sizes allow the similarity and whose sketches come near it. Two texts
+    that share several keys are a candidate in the shard of the first of these alone. Candidates are tested by their whole shingle
+    sets, nearest sketches first; two texts that a link has brought together need no test.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _blocks(batches, ["key", "a", "b"]):
-            node, group = block["node"].to_numpy(np.int64), block["group"].to_numpy(np.int64)
+            node, key = block["node"].to_numpy(np.int64), block["key"].iloc[0]
             fp, bins = block["fp"].to_numpy(np.int64).view(np.uint64), _sketches(block["sketch"])
-            in_tree = np.flatnonzero(block["seg"] == block["a"])
-            asked = in_tree if block["a"].iloc[0] == block["b"].iloc[0] else np.flatnonzero(block["seg"] != block["a"])
-            # texts with one fingerprint are one value of the tree
-            values, which = np.unique(fp[in_tree], return_inverse=True)
-            order = np.argsort(which, kind="stable")
-            first = np.searchsorted(which[order], np.arange(len(values) + 1))
-            tree = BKTree(np.random.default_rng(1).permutation(values).tolist())
-            place = np.searchsorted(values, np.array(tree.values, np.uint64))
-            q, t = tree.near_many(fp[asked], radius)
-            size = (first[1:] - first[:-1])[place[t]]
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[place[t]], size)
-            x, y = asked[np.repeat(q, size)], in_tree[order[at]]
-            x, y = (v[(group[x] != group[y]) & (node[x] != node[y])] for v in (x, y))
+            keys = np.array(block["keys"].tolist(), np.int64).reshape(len(block), -1)
+            sets = [np.frombuffer(v, np.uint64) for v in block["set"]]
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            label = np.unique(block["group"].to_numpy(np.int64), return_inverse=True)[1]
+            x, y = _neighbours(fp, (block["seg"] == block["a"]).to_numpy(), block["a"].iloc[0] == block["b"].iloc[0], radius)
+            pairs = [(np.zeros(0, np.intp), np.zeros(0, np.intp), np.zeros(0))]
             for i in range(0, len(x), 1 << 14):
                 u, v = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+                good = (label[u] != label[v]) & (np.minimum(size[u], size[v]) >= least * np.maximum(size[u], size[v]) - 1e-6)
+                u, v = u[good], v[good]
+                same = keys[u] == keys[v]
+                good = keys[u, same.argmax(axis=1)] == key
+                u, v = u[good], v[good]
                 found = _equal_bins(bins[u], bins[v])
-                good = found >= least
-                u, v = node[u[good]], node[v[good]]
-                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "alike": found[good]})
+                good = found >= least - SLACK
+                pairs.append((u[good], v[good], found[good]))
+            x, y, found = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            order = np.argsort(-found, kind="stable")
+            links = []
+            for u, v in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                if label[u] != label[v] and exact_similarity(sets[u], sets[v]) >= least - 1e-9:
+                    links.append((node[u], node[v]))
+                    label[label == label[v]] = label[u]
+            yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["u", "v"])
 
     return run
 
 
+def _neighbours(fp: np.ndarray, in_tree: np.ndarray, inside: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of a block's texts whose fingerprints lie within the radius, each pair once: of the tree's texts and the
+    others, or if inside of the tree's own."""
+    held = np.flatnonzero(in_tree)
+    asked = held if inside else np.flatnonzero(~in_tree)
+    # texts with one fingerprint are one value of the tree
+    values, which = np.unique(fp[held], return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    first = np.searchsorted(which[order], np.arange(len(values) + 1))
+    tree = BKTree(np.random.default_rng(1).permutation(values).tolist())
+    place = np.searchsorted(values, np.array(tree.values, np.uint64))
+    q, t = tree.near_many(fp[asked], radius)
+    size = (first[1:] - first[:-1])[place[t]]
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[place[t]], size)
+    x, y = asked[np.repeat(q, size)], held[order[at]]
+    return (x[x < y], y[x < y]) if inside else (x, y)
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = SIMILAR, radius: int = WIDE_RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """One row per row of docs: doc_id, node (the text's name), class_id (least doc_id of the row's class). Classes: texts whose sets
     of width-word shingles have a similarity of least or more, over links.
@@ -337,18 +367,20 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Equal texts become one. Each text goes to the shards of KEYS keys, each of KEY_HASHES min-hashes: two texts of similarity 0.8
     share one with probability 1 - (1 - 0.8^3)^12 = 0.9998. First each text is compared with one centre of its shards, the
     one of nearest sketch, so that a large group of copies becomes one class in two joins. Then only shards that still hold two
-    classes are searched: their BK-trees of SimHashes within a wide radius, all pairs of two classes; a hot shard is dealt into
-    segments, each pair of segments a block of its own. Candidates are tested nearest first, in two steps. Sketches that agree within SLACK only make a candidate; whether it is a
-    link is decided by the exact overlap of the two texts' shingle sets. No candidate of two classes goes untested; those
-    within one class need no test. Texts without words are one class. Null ids: as in near_duplicates(). Empty: empty.
+    classes are searched: their BK-trees of SimHashes within a wide radius, all pairs of two classes; a shard beyond tree_size
+    texts or SEGMENT_BYTES of shingle sets is dealt into segments, each pair of segments a block of its own. Sketches that agree
+    within SLACK only make a candidate; the block, which holds the texts' whole shingle sets, decides by their exact overlap. No
+    candidate of two classes goes untested; those within one class need no test, so a block of n texts makes fewer than n links.
+    Texts without words are one class. Null ids: as in near_duplicates(). Empty: empty.
     """
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("struct<fp: long, sketch: binary, keys: array<long>>")
+    @F.pandas_udf("struct<fp: long, sketch: binary, keys: array<long>, size: long>")
     def sketches(texts: pd.Series) -> pd.DataFrame:
-        found = [sketch(shingle_hashes(t, width)) for t in texts]
+        hashes = [shingle_hashes(t, width) for t in texts]
+        found = [sketch(h) for h in hashes]
         fps, keys = np.array([f for f, _, _ in found], np.uint64).view(np.int64), [np.array(k, np.uint64).view(np.int64) for _, _, k in found]
-        return pd.DataFrame({"fp": fps, "sketch": [s for _, s, _ in found], "keys": keys})
+        return pd.DataFrame({"fp": fps, "sketch": [s for _, s, _ in found], "keys": keys, "size": list(map(len, hashes))})
 
     @F.pandas_udf("double")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -364,17 +396,14 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_name(F.col(text)).alias("node"))
     rows = written(given.select("doc_id", "node", sketches("text").alias("s")).select("doc_id", "node", "s.*"), "sketches")
-    texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")), "texts")
+    texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"), F.any_value("size").alias("size")), "texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose shingle sets are similar: exact."""
-        # one row of each text that a candidate needs, by node and id: a group of equal texts doesn't meet in one task
-        needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", "least"), "node")
-        needed = broadcast_if_small(written(needed.select(F.col("node").alias("of"), "least"), "needed"), BROADCAST_TEXTS)
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Shingle sets (node, set) of some texts; each is read from one row, so that a group of equal texts doesn't meet in one task."""
+        needed = nodes.distinct().join(texts.select("node", "least"), "node").select(F.col("node").alias("of"), "least")
+        needed = broadcast_if_small(written(needed, "needed"), BROADCAST_TEXTS)
         read = given.join(needed, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.any_value("text").alias("text"))
-        read = written(read.select("node", shingle_sets("text").alias("set")), "confirm")
-        side = lambda c, t: read.select(F.col("node").alias(c), F.col("set").alias(t))
-        return written(pairs.join(side("u", "su"), "u").join(side("v", "sv"), "v").where(similar("su", "sv")).select("u", "v"), "links")
+        return written(read.select("node", shingle_sets("text").alias("set")), "sets")
 
     keyed = texts.select("node", F.explode("keys").alias("key"))
     centres = written(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "centres")
@@ -383,39 +412,28 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     seen = stars.join(texts.select("node", "fp", "sketch"), "node").join(side, "centre").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_c"))) <= radius)
     seen = seen.select("node", "centre", alike("sketch", "sketch_c").alias("alike")).where(F.col("alike") >= least - SLACK)
     best = seen.groupBy("node").agg(F.max(F.struct("alike", "centre"))["centre"].alias("v")).select(F.col("node").alias("u"), "v")
-    links = confirmed(written(best, "stars"))
+    best = written(best, "stars")
+    sets = sets_of(best.select(F.explode(F.array("u", "v")).alias("node")))
+    side = lambda c, t: sets.select(F.col("node").alias(c), F.col("set").alias(t))
+    links = written(best.join(side("u", "su"), "u").join(side("v", "sv"), "v").where(similar("su", "sv")).select("u", "v"), "links")
 
     ends = written(connected_components(links), "classes")
-    grouped = texts.join(ends.select(F.col("vertex").alias("node"), "component"), "node", "left").select("node", "fp", "sketch", F.coalesce("component", "node").alias("group"), F.explode("keys").alias("key"))
-    sizes = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key", "n")
-    n_seg = F.ceil(F.col("n") / F.lit(tree_size)).cast("int")
+    grouped = texts.join(ends.select(F.col("vertex").alias("node"), "component"), "node", "left").select("node", F.coalesce("component", "node").alias("group"), "size", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = grouped.groupBy("key").agg(F.count("*").alias("n"), F.sum(8 * F.col("size") + 512).alias("bytes"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi")
+    sizes = sizes.select("key", F.ceil(F.greatest(F.col("n") / F.lit(tree_size), F.col("bytes") / F.lit(SEGMENT_BYTES))).cast("int").alias("n_seg"))
+    members = written(grouped.join(written(sizes, "mixed"), "key").select("node", "group", "key", "n_seg"), "members")
+    held = written(texts.select("node", "fp", "sketch", "keys").join(sets_of(members.select("node")), "node"), "held")
     dealt = (
-        grouped.join(written(sizes, "mixed"), "key")
-        .withColumn("seg", F.pmod(F.xxhash64("node", "key"), n_seg).cast("int"))
-        .withColumn("t", F.explode(F.sequence(F.lit(0), n_seg - 1)))
-        .select("node", "group", "fp", "sketch", "key", F.least("seg", "t").alias("a"), F.greatest("seg", "t").alias("b"), "seg")
+        members.withColumn("seg", F.pmod(F.xxhash64("node", "key"), "n_seg").cast("int"))
+        .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_seg") - 1)))
+        .select("node", "group", "key", F.least("seg", "t").alias("a"), F.greatest("seg", "t").alias("b"), "seg")
     )
-    blocks = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
-    pairs = written(blocks.mapInPandas(_search_similar(radius, least - SLACK), "u long, v long, alike double").distinct(), "candidates")
-
-    def crossing() -> DataFrame:
-        """Candidates of two classes, seen from both ends: node, other, alike."""
-        end = lambda c, g: ends.select(F.col("vertex").alias(c), F.col("component").alias(g))
-        both = pairs.join(end("u", "cu"), "u", "left").join(end("v", "cv"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
-        return both.select(F.col("u").alias("node"), F.col("v").alias("other"), "alike").unionByName(both.select(F.col("v").alias("node"), F.col("u").alias("other"), "alike"))
-
-    # nearest candidates first, since each confirmed link spares the tests between its two classes; at last all that are left
-    for most in (4, None):
-        open_ = crossing()
-        if most:
-            open_ = open_.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("alike"), "other"))).where(F.col("nth") <= most)
-        new = confirmed(written(open_.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "nearest"))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            ends = written(connected_components(links), "classes")
-
-    found = ends
-    of = texts.select("node", "least").join(found.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    blocks = dealt.join(held, "node").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+    new = written(blocks.mapInPandas(_search_similar(radius, least), "u long, v long").distinct(), "found")
+    if not new.isEmpty():
+        ends = written(connected_components(links.unionByName(new)), "classes")
+
+    of = texts.select("node", "least").join(ends.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = of.groupBy("component").agg(F.min("least").alias("class_id"))
     return rows.select("doc_id", "node").join(of.join(names, "component").select("node", "class_id", "component"), "node").select("doc_id", "node", "class_id", "component")
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -168,7 +169,7 @@ def test_similar_documents_at_the_threshold(spark):
     assert [got[2 * i] == got[2 * i + 1] for i in range(150)] == want
 
 
-def test_rejected_candidates_do_not_part_a_class(spark):
+def test_rejected_candidates_do_not_part_a_class(spark, monkeypatch):
     """Two families that are candidates of one another but not similar; each stays whole, and they stay apart."""
     rng = random.Random(15)
     base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
@@ -182,11 +183,26 @@ def test_rejected_candidates_do_not_part_a_class(spark):
     sets = [shingles(t) for t in texts]
     across = [len(a & b) / len(a | b) for a in sets[:15] for b in sets[15:]]
     assert 0.7 < min(across) and max(across) < 0.8
-    for size in (1024, 4):
+    for size, most in ((1024, 1 << 24), (4, 1 << 24), (1024, 20_000)):  # one block, segments by texts, segments by bytes
+        monkeypatch.setattr(simhash, "SEGMENT_BYTES", most)
         got = {r["doc_id"]: r["class_id"] for r in simhash.similar_documents(make(spark, texts), tree_size=size).collect()}
         assert [got[i] for i in range(30)] == [0] * 15 + [15] * 15
 
 
+def test_a_block_yields_spanning_links_of_its_own_pairs():
+    """One block of ten near copies of two groups: one link between the groups, and none for pairs that meet in an earlier shard."""
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*base[:290], f"v{i}"]) for i in range(10)]
+    sets = [simhash.shingle_hashes(t) for t in texts]
+    found = [simhash.sketch(h) for h in sets]
+    for key, links in ((7, 1), (8, 0)):
+        block = pd.DataFrame({
+            "node": range(10), "group": [i % 2 for i in range(10)], "key": key, "a": 0, "b": 0, "seg": 0, "fp": np.array([f for f, _, _ in found], np.uint64).view(np.int64),
+            "sketch": [s for _, s, _ in found], "keys": [np.array([7, 8], np.int64)] * 10, "set": [h.tobytes() for h in sets],
+        })
+        assert sum(map(len, simhash._search_similar(22, 0.8)(iter([block])))) == links
+
+
 def test_sketch_similarity():
     rng = random.Random(12)
     for share in (0.5, 0.8, 0.95):

@@ -1,3 +1,4 @@
+import random
 """Literal cases with known answers."""
 
 import math
@@ -125,3 +126,24 @@ def test_components_are_label_free(spark):
     got = {r["vertex"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200, 201: 200, 202: 200}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_nearest_in_growing_cells(spark):
+    """Growing cells give the rows of all pairs: clustered, flat, equal and lone points, nulls, fewer than k, an empty table."""
+    rng = random.Random(5)
+    rows = [(e, i, *(rng.choice((0.0, 100.0)) + rng.random() * e * 10 for _ in "xyz")) for e in range(1, 4) for i in range(20 * e)]
+    rows += [(4, i, float(i // 2), 0.0, 0.0) for i in range(9)] + [(5, i, 1.0, 1.0, 1.0) for i in range(3)] + [(6, 0, 1.0, 1.0, 1.0), (7, 0, None, 1.0, 1.0), (7, 1, 1.0, 1.0, 1.0), (None, 0, 1.0, 1.0, 1.0)]
+    p = spark.createDataFrame(rows, "event_id int, voxel_id int, x double, y double, z double")
+    want = {}
+    for k in (1, 3):
+        want[k] = set()
+        for e, i, *a in rows:
+            if e is None or None in a:
+                continue
+            near = sorted((math.sqrt(sum((s - t) * (s - t) for s, t in zip(a, b, strict=True))), j) for f, j, *b in rows if f == e and j != i and None not in b)
+            want[k] |= {(e, i, j) for _, j in near[:k]}
+    q, t = p.withColumnRenamed("voxel_id", "src"), p.withColumnRenamed("voxel_id", "dst")
+    for k, few in ((1, 0), (3, 0), (1, 30), (3, 64)):
+        got = [(r["event_id"], r["src"], r["dst"]) for r in vx.nearest(q, t, k, ["event_id"], True, few).collect()]
+        assert len(got) == len(set(got)) and set(got) == want[k]
+    assert vx.nearest(q.where("false"), t.where("false"), 1, ["event_id"], True, 0).count() == 0

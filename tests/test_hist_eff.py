@@ -84,3 +84,14 @@ def test_cut_flow(spark):
     h = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 1.0), (1, 1.0, 0.0, 6.0, 1.0), (2, 90.0, 0.0, 5.0, 2.0)], "event_id long, x double, y double, z double, energy double")
     r = ef.event_selection(h, 50.0, 2, (-10.0, 0.0), (1.0, 10.0), (1900.0, 2100.0), 10.0).first()
     assert (r["n_events"], r["n_radial"], r["n_length"], r["n_z"]) == (2, 1, 1, 1) and r["n_roi"] == pytest.approx(1) and r["eff_total"] == pytest.approx(0.5)
+
+
+def test_beta_quantile_of_few_and_many():
+    """The interval's quantiles against the binomial tail sum, and for a number of events that no array could hold."""
+    from math import comb
+
+    for n, k, p in ((1, 1, 0.2), (10, 3, 0.15865), (10, 10, 0.84), (200, 192, 0.5)):
+        x = ef._beta_quantile(p, k, n - k + 1)
+        assert sum(comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(k, n + 1)) == pytest.approx(p, abs=1e-9)
+    low = ef._beta_quantile(0.15865, 3e8, 7e8 + 1)
+    assert low == pytest.approx(0.3 - (0.3 * 0.7 / 1e9) ** 0.5, abs=1e-6)

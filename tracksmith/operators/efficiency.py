@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,20 +84,33 @@ def efficiency_with_error(df: DataFrame, x: str, cuts: list[float], by: list[str
     return e.withColumn("efficiency", F.round("efficiency", 4)).withColumn("error", F.round("error", 4))
 
 
-def _beta_quantile(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Quantiles of Beta(a, b) for whole a + b by bisection on the binomial tail sum."""
-    lo, hi = np.zeros_like(p), np.ones_like(p)
-    lg = np.vectorize(__import__("math").lgamma)
-    n = int((a + b - 1).max(initial=0))
-    j = np.arange(n + 1)[:, None]
-    total = (a + b - 1)[None, :]
-    inside = (j >= a[None, :]) & (j <= total)
-    coef = np.where(inside, lg(total + 1) - lg(np.minimum(j, total) + 1) - lg(np.maximum(total - j, 0) + 1), -np.inf)
+def _beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by its continued fraction, about sqrt(max(a, b)) terms."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(1 - x, b, a)
+    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x) - math.log(a)
+    tiny, m = 1e-300, 0
+    c, f = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    d = f
+    while True:
+        m += 1
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            d, c = 1 / ((1 + term * d) or tiny), (1 + term / c) or tiny
+            f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            return min(1.0, math.exp(log_front) * f)
+
+
+def _beta_quantile(p: float, a: float, b: float) -> float:
+    """Quantile of Beta(a, b) by bisection, in memory that doesn't grow with a and b."""
+    lo, hi = 0.0, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        with np.errstate(divide="ignore"):
-            tail = np.exp(coef + j * np.log(mid) + np.maximum(total - j, 0) * np.log1p(-mid)).sum(0)
-        lo, hi = np.where(tail < p, mid, lo), np.where(tail < p, hi, mid)
+        lo, hi = (mid, hi) if _beta_share(mid, a, b) < p else (lo, mid)
     return (lo + hi) / 2
 
 
@@ -109,11 +123,10 @@ def binomial_interval(counted: DataFrame, k: str = "n_pass", n: str = "n", level
         kk, nn = ks.to_numpy(float), ns.to_numpy(float)
         low, high = np.zeros(len(kk)), np.ones(len(kk))
         for i, (a, m) in enumerate(zip(kk, nn, strict=True)):
-            one = lambda v: np.array([float(v)])
             if m > 0 and a > 0:
-                low[i] = _beta_quantile(one(tail), one(a), one(m - a + 1))[0]
+                low[i] = _beta_quantile(tail, a, m - a + 1)
             if m > 0 and a < m:
-                high[i] = _beta_quantile(one(1 - tail), one(a + 1), one(m - a))[0]
+                high[i] = _beta_quantile(1 - tail, a + 1, m - a)
         return pd.DataFrame({"low": low, "high": high})
 
     return counted.withColumn("__i", limits(k, n)).select(*counted.columns, "__i.low", "__i.high")

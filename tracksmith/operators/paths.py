@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracksmith.functions.graph import RULES, Graph
 from tracksmith.operators.tracks import TRACK, degrees, track_links
-from tracksmith.operators.voxels import distance
+from tracksmith.operators.voxels import distance, nearest, within
 
 WALK = "struct<start: int, end: int, path: array<int>, confidence: double, length: double>"
 
@@ -106,21 +106,19 @@ def path_length(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def central_path(points: DataFrame, tracks: DataFrame, radius: float, keys: list[str] | None = None) -> DataFrame:
     """For each path voxel the energy-weighted centroid of the track's voxels within radius: keys, step, x, y, z, energy_sum, s."""
     keys = keys or TRACK
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    near = points.alias("a").join(tracks.alias("b"), on).where(distance("a", "b") <= radius)
-    e = F.sum("b.energy")
-    mean = [F.when(e != 0, F.sum(F.col(f"b.{c}") * F.col("b.energy")) / e).otherwise(F.avg(f"b.{c}")).alias(c) for c in "xyz"]
-    return with_arc_length(near.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.step").alias("step")).agg(*mean, e.alias("energy_sum")), keys)
+    near = within(points.select(*keys, "step", "x", "y", "z"), tracks.select(*keys, "x", "y", "z", "energy"), radius, keys)
+    e = F.sum("t.energy")
+    mean = [F.when(e != 0, F.sum(F.col(f"t.{c}") * F.col("t.energy")) / e).otherwise(F.avg(f"t.{c}")).alias(c) for c in "xyz"]
+    return with_arc_length(near.groupBy(*[F.col(f"q.{k}").alias(k) for k in keys], F.col("q.step").alias("step")).agg(*mean, e.alias("energy_sum")), keys)
 
 
 def project_to_path(tracks: DataFrame, points: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every voxel with its nearest path point (first of equals): keys, voxel_id, energy, step, s, dist."""
     keys = keys or TRACK
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    j = tracks.alias("a").join(points.alias("b"), on)
-    best = F.min(F.struct(distance("a", "b").alias("dist"), F.col("b.step").alias("step"), F.col("b.s").alias("s"))).alias("m")
-    out = j.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.voxel_id").alias("voxel_id")).agg(F.first("a.energy").alias("energy"), best)
-    return out.select(*keys, "voxel_id", "energy", "m.step", "m.s", "m.dist")
+    found = nearest(tracks.select(*keys, F.col("voxel_id").alias("src"), "x", "y", "z"), points.select(*keys, F.col("step").alias("dst"), "x", "y", "z"), 1, keys)
+    found = found.select(*keys, F.col("src").alias("voxel_id"), F.col("dst").alias("step"), "dist")
+    out = tracks.select(*keys, "voxel_id", "energy").join(found, [*keys, "voxel_id"]).join(points.select(*keys, "step", "s"), [*keys, "step"])
+    return out.select(*keys, "voxel_id", "energy", "step", "s", "dist")
 
 
 # ---- truth

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksmith.operators.components import connected_components
-from tracksmith.operators.voxels import closest_distance, near_pairs, voxel_distances
+from tracksmith.operators.voxels import closest_distance, near_pairs, nearest
 
 EVENT = ["event_id"]
 TRACK = ["event_id", "track_id"]
@@ -24,10 +24,13 @@ def radius_links(voxels: DataFrame, max_distance: float, keys: list[str] | None
 def knn_links(voxels: DataFrame, k: int, max_distance: float | None = None, mutual: bool = False, keys: list[str] | None = None) -> DataFrame:
     """Undirected links of each voxel to its k nearest (by distance, then voxel_id) in the event; mutual: only if both agree."""
     keys = keys or EVENT
-    pairs = voxel_distances(voxels, max_distance, keys)
-    both = pairs.select(*keys, "src", "dst", "dist").unionByName(pairs.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "src").orderBy("dist", "dst"))
-    near = both.withColumn("rank", rank).where(F.col("rank") <= k)
+    if max_distance is None:
+        near = nearest(voxels.withColumnRenamed("voxel_id", "src"), voxels.withColumnRenamed("voxel_id", "dst"), k, keys, True)
+    else:
+        pairs = near_pairs(voxels, max_distance, keys)
+        both = pairs.select(*keys, "src", "dst", "dist").unionByName(pairs.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
+        rank = F.row_number().over(Window.partitionBy(*keys, "src").orderBy("dist", "dst"))
+        near = both.withColumn("rank", rank).where(F.col("rank") <= k)
     sides = near.select(*keys, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "dist")
     return sides.groupBy(*keys, "src", "dst").agg(F.min("dist").alias("dist"), F.count("*").alias("n")).where(F.col("n") >= (2 if mutual else 1)).drop("n")
 
@@ -129,10 +132,9 @@ def satellites(tracks: DataFrame) -> DataFrame:
 
 def satellite_distance(tracks: DataFrame) -> DataFrame:
     """Least voxel distance of each other track of an event to its main track (rank 1)."""
-    main = tracks.where("track_id = 1").select("event_id", "x", "y", "z")
-    rest = tracks.where("track_id > 1").select("event_id", "track_id", "x", "y", "z")
-    d = F.sqrt(sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"), F.lit(0.0)))
-    return rest.alias("a").join(main.alias("b"), F.col("a.event_id") == F.col("b.event_id")).groupBy("a.event_id", "track_id").agg(F.min(d).alias("dist"))
+    main = tracks.where("track_id = 1").select("event_id", F.col("voxel_id").alias("dst"), "x", "y", "z")
+    rest = tracks.where("track_id > 1").select("event_id", F.struct("track_id", "voxel_id").alias("src"), "x", "y", "z")
+    return nearest(rest, main, 1, EVENT).groupBy("event_id", F.col("src.track_id").alias("track_id")).agg(F.min("dist").alias("dist"))
 
 
 def track_extent(tracks: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tracksmith.operators.relational import ELECTRONS_PER_MEV
+from tracksmith.session import written
 
 
 def distance(a: str, b: str) -> Column:
@@ -65,7 +67,7 @@ def near_pairs(points: DataFrame, radius: float, keys: list[str] | None = None,
 
 
 def voxel_distances(points: DataFrame, max_distance: float | None = None, keys: list[str] | None = None) -> DataFrame:
-    """All pair distances of each event, up to max_distance. Without it an event's pairs are all made: events are bounded."""
+    """All pair distances of each event, up to max_distance. Without it an event's pairs are all made: that is the result asked for."""
     if max_distance is not None:
         return near_pairs(points, max_distance, keys)
     keys = keys or ["event_id"]
@@ -74,9 +76,88 @@ def voxel_distances(points: DataFrame, max_distance: float | None = None, keys:
     return p.alias("a").join(p.alias("b"), on).select(*[F.col(f"a.{k}") for k in keys], F.col("a.voxel_id").alias("src"), F.col("b.voxel_id").alias("dst"), distance("a", "b").alias("dist"))
 
 
+def _cells(side: Column) -> list[Column]:
+    return [F.floor(F.col(c) / (side * (1 + 1e-9))).alias(f"c{c}") for c in "xyz"]
+
+
+def _neighbour_cells(df: DataFrame) -> DataFrame:
+    """Each row once for its cell and each of the 26 around it."""
+    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("xyz", s, strict=True)]) for s in product((-1, 0, 1), repeat=3)])
+    moved = {f"c{c}": F.col(f"c{c}") + F.col(f"s.d{c}") for c in "xyz"}
+    return df.withColumn("s", F.explode(steps)).withColumns(moved).drop("s")
+
+
+def within(queries: DataFrame, targets: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """Rows (q, t, dist) of queries and targets with equal keys at most radius apart, q and t being structs of their columns.
+
+    The side with queries is sent to its cell and the 26 around it: an equi-join on keys and cell. A null coordinate meets nothing.
+    """
+    cell = _cells(F.lit(radius if radius > 0 else 1.0))
+    pack = lambda df, name: df.select(*keys, "x", "y", "z", F.struct(*df.columns).alias(name), *cell)
+    q, t = _neighbour_cells(pack(queries, "q")), pack(targets, "t")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "cx", "cy", "cz"]]
+    return q.alias("a").join(t.alias("b"), on).select("q", "t", distance("a", "b").alias("dist")).where(F.col("dist") <= radius)
+
+
+#: Keys with at most this many targets join each query with all of them; beyond it queries look in growing cells.
+FEW_TARGETS = 64
+
+
+def nearest(queries: DataFrame, targets: DataFrame, k: int, keys: list[str], distinct_ids: bool = False, few: int = FEW_TARGETS) -> DataFrame:
+    """keys, src, dst, dist: the k targets nearest to each query (by distance, then dst) under equal keys.
+
+    queries has keys, src, x, y, z; targets has keys, dst, x, y, z. With distinct_ids a target whose dst is the query's src doesn't count.
+    Queries without a target are left out; those with fewer than k get all there are. Rows with a null coordinate take no part.
+
+    Keys with at most few targets are one equi-join on the keys. The others are searched in growing cells: each key starts with a cell that holds about k targets if they lie evenly, a query sees its cell and the 26
+    around it, and is settled by k targets within one cell's side. Only unsettled queries go on, with cells of twice the side, until a
+    side spans all points of the key. So the rounds grow with the logarithm of a key's points, and no key's pairs are all made.
+    """
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    queries, targets = queries.select(*keys, "src", "x", "y", "z").where(whole), targets.select(*keys, "dst", "x", "y", "z").where(whole)
+    both = targets.select(*keys, "x", "y", "z", F.lit(1).alias("one")).unionByName(queries.select(*keys, "x", "y", "z", F.lit(0).alias("one")))
+    span = [F.max(c) - F.min(c) for c in "xyz"]
+    longest, diagonal = F.greatest(*span), F.sqrt(span[0] * span[0] + span[1] * span[1] + span[2] * span[2])
+    side = longest / F.ceil(F.cbrt(F.greatest(F.sum("one"), F.lit(1)) / float(k)))
+    box = written(both.groupBy(*keys).agg(F.when(longest > 0, side).otherwise(1.0).alias("side"), diagonal.alias("diagonal"), F.sum("one").alias("n")).where(F.col("n") > few).drop("n"), "boxes")
+    crowded = not box.isEmpty()
+    a, b = (df.join(box.select(*keys), keys, "left_anti") if crowded else df for df in (queries, targets))
+    pairs = a.alias("a").join(b.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]).select(*[F.col(f"a.{c}") for c in keys], "a.src", "b.dst", distance("a", "b").alias("dist"))
+    if distinct_ids:
+        pairs = pairs.where("src != dst")
+    if k == 1:
+        direct = pairs.groupBy(*keys, "src").agg(F.min(F.struct("dist", "dst")).alias("m")).select(*keys, "src", "m.dst", "m.dist")
+    else:
+        direct = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "src").orderBy("dist", "dst"))).where(F.col("rank") <= k).drop("rank")
+    if not crowded:
+        return direct
+    rest, done, width = queries.join(box, keys), [direct], 1.0
+    targets = targets.join(box.drop("diagonal"), keys)
+    while True:
+        cell = _cells(F.col("side") * width)
+        a, b = _neighbour_cells(rest.select("*", *cell)), targets.select("*", *cell)
+        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "cx", "cy", "cz"]]
+        pairs = a.alias("a").join(b.alias("b"), on).select(*[F.col(f"a.{c}") for c in keys], "a.src", "b.dst", distance("a", "b").alias("dist"), (F.col("a.side") * width).alias("reach"), "a.diagonal")
+        pairs = pairs.where((F.col("dist") <= F.col("reach")) & (F.col("src") != F.col("dst") if distinct_ids else F.lit(True)))
+        one = Window.partitionBy(*keys, "src")
+        settled = (F.count("*").over(one) >= k) | (F.col("reach") >= F.col("diagonal"))
+        seen = pairs.withColumn("settled", settled).where("settled").withColumn("rank", F.row_number().over(one.orderBy("dist", "dst"))).where(F.col("rank") <= k)
+        seen = written(seen.select(*keys, "src", "dst", "dist"), "near")
+        done.append(seen)
+        count = Observation()
+        left = rest.where(F.col("side") * width < F.col("diagonal")).join(seen.select(*keys, "src").distinct(), [*keys, "src"], "left_anti")
+        rest = written(left.observe(count, F.count("*").alias("n")), "unsettled")
+        if not count.get["n"]:
+            return reduce(DataFrame.unionByName, done)
+        width *= 2
+
+
 def closest_distance(points: DataFrame, max_distance: float | None = None, keys: list[str] | None = None) -> DataFrame:
     """keys, voxel_id, dist to the nearest other voxel of the event; voxels without one (within max_distance) are left out."""
     keys = keys or ["event_id"]
+    if max_distance is None:
+        found = nearest(points.withColumnRenamed("voxel_id", "src"), points.withColumnRenamed("voxel_id", "dst"), 1, keys, True)
+        return found.select(*keys, F.col("src").alias("voxel_id"), "dist")
     pairs = voxel_distances(points, max_distance, keys)
     both = pairs.select(*keys, F.explode(F.array("src", "dst")).alias("voxel_id"), "dist")
     return both.groupBy(*keys, "voxel_id").agg(F.min("dist").alias("dist"))

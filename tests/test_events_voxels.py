@@ -1,7 +1,7 @@
-import random
 """Literal cases with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F

@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksmith.llm import kdtree_shards, lengths, media, mixing, pieces, quality_knn, rans, robust, simhash, toxicity
+from tracksmith.llm import centroids, kdtree_shards, lengths, media, mixing, packing, pieces, prefix_trie, quality_knn, rans, robust, simhash, toxicity
 from tracksmith.llm.text import documents, fold, labels
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_histogram(lengths.with_length(documents(spark, sf_dir).select("text"), BYTE_BPE)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document."""
+    return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE_JSON, BYTE_BPE, 1024, with_ids=False)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after ten rounds."""
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP9_SQL = r"""
 with d as (
   select doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -110,8 +126,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_packing": op12_packing,
+        "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op9_mixing": OP9_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op13_centroids": centroids.oracle_sql()}

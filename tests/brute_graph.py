@@ -1,4 +1,4 @@
-"""Searches in one small track graph: what runs per row when a path is needed."""
+"""Brute force of path searches and end rules in one small graph, for the tests. Scores and lengths are compared at 1e-9."""
 
 from __future__ import annotations
 
@@ -127,7 +127,7 @@ def best_pair(g: Graph, candidates: Iterable[int], score: Callable[[int, int, li
             continue
         length = g.length(path)
         value = score(a, b, path, length)
-        if value is not None and value > best:
+        if value is not None and (value := round(value, 9)) > best:
             best, found = value, Ends(a, b, path, 0.0, length)
     return found
 
@@ -137,7 +137,7 @@ def by_distance(g: Graph, confidence: float) -> Ends:
     pool = range(g.n) if g.n <= 50 else dict.fromkeys(g.outermost())
     far, pair = 0.0, (0, min(1, g.n - 1))
     for a, b in combinations(pool, 2):
-        if (d := g.gap(a, b)) > far:
+        if (d := round(g.gap(a, b), 9)) > far:
             far, pair = d, (a, b)
     path = g.path(*pair)
     return Ends(*pair, path, confidence, g.length(path))
@@ -165,7 +165,7 @@ def by_curvature(g: Graph) -> Ends:
     if g.n < 3:
         return by_distance(g, 0.7)
     c = g.curvature()
-    order = np.argsort(c, kind="stable")[:6].tolist()
+    order = np.argsort(np.round(c, 9), kind="stable")[:6].tolist()
     bonus = lambda a, b: 2 / (c[a] + c[b] + 1e-6)
     found = best_pair(g, order, lambda a, b, path, length: length + bonus(a, b) if g.gap(a, b) >= 2 else None)
     if not found:
@@ -224,9 +224,9 @@ def by_edge_energy(g: Graph, floor: float = 1e-6, alpha: float = 1.0, beta: floa
     e = g.energy
     floor = max(floor, 1e-6 * max(float(e.max()), 1e-12))
     cost = lambda a, b: g.gap(a, b) ** alpha / (0.5 * (e[a] + e[b]) + floor) ** beta
-    u = int(np.argmax(g.weighted_tree(0, cost)[0]))
+    u = int(np.argmax(np.round(g.weighted_tree(0, cost)[0], 9)))
     dist, parent = g.weighted_tree(u, cost)
-    w = int(np.argmax(dist))
+    w = int(np.argmax(np.round(dist, 9)))
     path = g.path(u, w, parent)
     if not path:
         return Ends(u, w, [], 0.0, 0.0)
@@ -266,24 +266,24 @@ def combined(g: Graph, use_energy: bool = True, use_edge_energy: bool = True, us
         if topo.confidence >= 0.8:
             return topo
         bent = by_curvature(g)
-        return bent if bent.length > 1.1 * topo.length else topo
+        return bent if bent.length > 1.1 * topo.length + 1e-9 else topo
     hot = None
     for wanted, rule in ((use_edge_energy, by_edge_energy), (use_energy, by_energy)):
         if wanted:
             hot = rule(g)
-            if hot.confidence >= 0.85 or hot.length > 1.1 * topo.length:
+            if hot.confidence >= 0.85 or hot.length > 1.1 * topo.length + 1e-9:
                 return hot
     wide = by_space(g)
-    if wide.length > 1.2 * topo.length:
+    if wide.length > 1.2 * topo.length + 1e-9:
         return wide
     ranked = [hot] if use_energy else []
     ranked += [wide, by_curvature(g), topo]
-    most = max(r.length for r in ranked)
-    if use_spanning_tree and (tree := by_spanning_tree(g)).length >= most:
+    most = max(round(r.length, 9) for r in ranked)
+    if use_spanning_tree and round((tree := by_spanning_tree(g)).length, 9) >= most:
         return tree
     # equal lengths: energy, space, topology, then straightness
     order = [*ranked[:-2], topo, ranked[-2]]
-    return next(r for r in order if r.length == most)
+    return next(r for r in order if round(r.length, 9) == most)
 
 
 RULES: dict[str, Callable[[Graph], Ends]] = {

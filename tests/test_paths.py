@@ -1,99 +1,48 @@
-"""Ends and paths of small graphs, spheres, truth paths and profiles."""
+"""Spheres, truth paths and profiles."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracksmith.functions import graph as g
 from tracksmith.operators import blobs as bl
+from tracksmith.operators import ends as en
 from tracksmith.operators import paths as pa
 from tracksmith.operators import profile as pr
 from tracksmith.operators import tracks as tr
 
 
-def make(xyz, links, energy=None):
-    return g.Graph(np.array(xyz, float), np.ones(len(xyz)) if energy is None else np.array(energy, float), links)
-
-
-LINE = make([(i, 0, 0) for i in range(4)], [(0, 1), (1, 2), (2, 3)])
-SQUARE = make([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0)], [(0, 1), (1, 2), (2, 3), (3, 0)], [0.2] * 4)
-TURN = make([(0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0), (3, 1, 0), (3, 2, 0)], [(i, i + 1) for i in range(5)])
-
-
-def test_line_ends():
-    r = g.combined(LINE)
-    assert {r.start, r.end} == {0, 3} and r.length == 3 and r.confidence == pytest.approx(0.95) and r.path == [0, 1, 2, 3]
-
-
-def test_y_shape_takes_the_longest_pair():
-    y = make([(0, 0, 0), (1, 0, 0), (2, 1, 0), (3, -3, 0)], [(0, 1), (1, 2), (1, 3)])
-    r = g.by_topology(y)
-    assert 3 in {r.start, r.end} and {r.start, r.end} < {0, 2, 3}
-
-
-def test_square_falls_back_to_distance():
-    r = g.combined(SQUARE)
-    assert ({r.start, r.end}, r.confidence, r.length) == ({0, 2}, 0.6, 2)
-    assert g.Graph.curvature(SQUARE) == pytest.approx([1, 1, 1, 1])
-
-
-def test_sharp_turn():
-    r = g.combined(TURN)
-    c = TURN.curvature()
-    assert {r.start, r.end} == {0, 5} and r.length == 5 and c[0] == c[5] == 0 and c[3] > 0.5
-
-
-def test_single_voxel_and_all_rules():
-    one = make([(1, 2, 3)], [])
-    for name, rule in g.RULES.items():
-        r = rule(one)
-        assert (r.start, r.end, r.length) == (0, 0, 0), name
-    for graph in (LINE, SQUARE, TURN):
-        for name, rule in g.RULES.items():
-            r = rule(graph)
-            assert 0 <= r.confidence <= 1 and (not r.path or {r.path[0], r.path[-1]} == {r.start, r.end}), name
-
-
-def test_weighted_path_prefers_energy():
-    d = make([(0, 0, 0), (1, 1, 0), (1, -1, 0), (2, 0, 0)], [(0, 1), (1, 3), (0, 2), (2, 3)], [1, 0.01, 5, 1])
-    _, parent = d.weighted_tree(0, lambda a, b: d.gap(a, b) / (0.5 * (d.energy[a] + d.energy[b])))
-    assert d.path(0, 3, parent) == [0, 2, 3]
-    assert sum(map(len, SQUARE.spanning_tree().near)) == 6
-
-
 @pytest.fixture(scope="module")
 def line6(spark):
     vox = spark.createDataFrame([(1, float(i), 0.0, 0.0, 0.1 * (i + 1), i + 1) for i in range(6)], "event_id long, x double, y double, z double, energy double, voxel_id int")
     links = tr.radius_links(vox, 1.1)
     t = tr.make_tracks(vox, links)
-    return t, links, pa.walk_tracks(t, links)
+    return t, *en.find_ends(t, links)
 
 
 @pytest.mark.parametrize(("radius", "small", "large"), [(0.5, 0.1, 0.6), (1.1, 0.3, 1.1), (10.0, 2.1, 2.1), (0.0, 0.1, 0.6)])
 def test_spheres(line6, radius, small, large):
-    t, _, w = line6
+    t, w, _ = line6
     r = bl.sphere_energies(w, t, radius).first()
     assert r["blob1_energy"] == pytest.approx(large) and r["blob2_energy"] == pytest.approx(small)
 
 
 def test_walk_and_arc_length(line6):
-    t, links, w = line6
-    p = pa.path_points(w, t).orderBy("step").collect()
+    t, w, steps = line6
+    p = pa.path_points(steps, t).orderBy("step").collect()
     assert [r["s"] for r in p] == [0, 1, 2, 3, 4, 5]
-    assert pa.path_length(pa.path_points(w, t)).first()["length"] == 5
-    assert pa.shortest_paths(t, links, w.select("event_id", "track_id", "start", "end"), weighted=True).first()["length"] == 5
-    r = bl.end_voxel_energies(pa.path_points(w, t), 10).first()
+    assert pa.path_length(pa.path_points(steps, t)).first()["length"] == 5
+    r = bl.end_voxel_energies(pa.path_points(steps, t), 10).first()
     assert (r["count"], pytest.approx(r["blob1_energy"]), pytest.approx(r["blob2_energy"])) == (3, 1.5, 0.6)
     v = bl.variable_spheres(w, t, 1.0, 1.0, 10.0).first()
     assert (v["start_radius"], v["end_radius"]) == (6.0, 5.0) and len(v["blob1_history"]) == 6
-    assert bl.skeleton_coverage(pa.project_to_path(t, pa.path_points(w, t)), 0.5).first()["coverage"] == pytest.approx(1)
+    assert bl.skeleton_coverage(pa.project_to_path(t, pa.path_points(steps, t)), 0.5).first()["coverage"] == pytest.approx(1)
 
 
 def test_blob_order_ties_go_to_the_start(spark):
     vox = spark.createDataFrame([(1, float(i), 0.0, 0.0, 1.0, i + 1) for i in range(4)], "event_id long, x double, y double, z double, energy double, voxel_id int")
     links = tr.radius_links(vox, 1.1)
     t = tr.make_tracks(vox, links)
-    r = bl.sphere_energies(pa.walk_tracks(t, links), t, 1.0).first()
+    r = bl.sphere_energies(en.find_ends(t, links)[0], t, 1.0).first()
     assert r["blob1_cx"] == r["start_cx"]
 
 

@@ -1,18 +1,33 @@
-"""Connected components of an edge table by alternating star contraction."""
+"""Connected components of an edge table by contraction: settled components leave, what is left gets smaller each round."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracksmith.session import written
 
+#: Up to so many rows one key may hold them all: a task of narrow rows of this number is an ordinary one.
+ORDINARY = 1 << 20
+#: Beyond that, a key with over 1 / HEAVY of the rows is heavy: at most HEAVY keys, so their rows of a unique table are broadcast.
+HEAVY = 16_384
 
-def _round(e: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple]:
-    """The written edges and a mark of them (number and hash), taken while they are written."""
+
+def counted(df: DataFrame, name: str, flag: str | None = None) -> tuple[DataFrame, int]:
+    """df written to the shared folder, and its number of rows (of those with the flag), counted while they are written."""
     seen = Observation()
-    e = written(e.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*keys, "u", "v")), F.lit(0)).alias("h")), "edges")
-    return e, (seen.get["n"], seen.get["h"])
+    out = written(df.observe(seen, (F.count_if(flag) if flag else F.count("*")).alias("n")), name)
+    return out, seen.get["n"]
+
+
+def unique_join(left: DataFrame, right: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
+    """left (of n rows, some keys hot) with right (one row per key). Rows of heavy keys meet a broadcast, all others a join."""
+    if n <= ORDINARY:
+        return left.join(right, on, how)
+    heavy = left.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > max(ORDINARY // 16, n // HEAVY)).select(*on, F.lit(True).alias("__hot"))
+    marked = left.join(F.broadcast(heavy), on, "left")
+    hot = marked.where("__hot").drop("__hot").join(F.broadcast(right.join(heavy.drop("__hot"), on, "left_semi")), on, how)
+    return marked.where("__hot is null").drop("__hot").join(right, on, how).unionByName(hot)
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", keys: list[str] | None = None, most_rounds: int = 100) -> DataFrame:
@@ -22,47 +37,41 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", keys: lis
     Self edges and repeated edges are allowed; edges with a null end are ignored.
     Returns keys, ``vertex``, ``component``. Vertices without edges don't appear; an empty table gives an empty table.
 
-    Each round is a large-star and a small-star step (O(log n) rounds in practice), two aggregates and two equi-joins
-    over the edges still left; the round's edges are written to the shared folder, so no lineage builds up.
+    A round lets each vertex follow the first of itself and its neighbours in a hashed order of its own, and that one's choice in turn;
+    edges are rewritten to what their ends follow. An edge whose ends follow the same vertex is gone, so a settled component takes
+    no further part, and the order by hash leaves about half of the vertices or fewer in any graph, long chains included.
+    At the end the rounds' tables are composed, each far smaller than the one before. A vertex of any degree is an aggregate
+    with partial sums, and unique_join() splits it where its edges are rewritten.
     """
     keys = keys or []
-    k = [F.col(c) for c in keys]
-    e = (
-        edges.select(*k, F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-        .where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
-    )
-    e, mark = _round(e, keys)
-    for _ in range(most_rounds):
-        if mark[0] == 0:
-            break
-        e, now = _round(_small_star(_large_star(e, k), k), keys)
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = e.select(*k, F.col("v").alias("vertex"), F.col("v").alias("component"))
-    return e.select(*k, F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots).groupBy(*k, "vertex").agg(F.min("component").alias("component"))
-
-
-def _both(e: DataFrame, k: list[Column]) -> DataFrame:
-    return e.select(*k, "u", "v").unionByName(e.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _with_least(e: DataFrame, k: list[Column]) -> DataFrame:
-    names = [*e.select(*k).columns, "u"]
-    least = e.groupBy(*names).agg(F.min("v").alias("m"))
-    return e.join(least, names)
-
-
-def _large_star(e: DataFrame, k: list[Column]) -> DataFrame:
-    """Each vertex u hangs its larger neighbours on the least of itself and its neighbours."""
-    full = _with_least(_both(e, k), k).withColumn("m", F.least("m", "u")).where("v > u")
-    return full.select(*k, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(e: DataFrame, k: list[Column]) -> DataFrame:
-    """Each vertex u hangs itself and its smaller neighbours on the least of them; edges have u > v."""
-    full = _with_least(e, k)
-    return full.select(*k, F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(full.select(*k, "u", F.col("m").alias("v"))).distinct()
+    e = edges.select(*keys, F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct()
+    e, n = counted(e, "edges")
+    rounds: list[tuple[DataFrame, int]] = []
+    while n:
+        if len(rounds) == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        follow, size = counted(_follow(e, keys, len(rounds)), "follow")
+        ahead = follow.select(*keys, F.col("vertex").alias("label"), F.col("label").alias("next"))
+        rounds.append((unique_join(follow, ahead, [*keys, "label"], size).select(*keys, "vertex", F.col("next").alias("label")), size))
+        labels = rounds[-1][0]
+        for end in ("u", "v"):
+            e = unique_join(e, labels.select(*keys, F.col("vertex").alias(end), F.col("label").alias(f"__{end}")), [*keys, end], n)
+        e = e.select(*keys, F.greatest("__u", "__v").alias("u"), F.least("__u", "__v").alias("v")).where("u != v").distinct()
+        e, n = counted(e, "edges")
+    if not rounds:
+        return e.select(*keys, F.col("u").alias("vertex"), F.col("v").alias("component"))
+    found, _ = rounds[-1]
+    for labels, size in reversed(rounds[:-1]):
+        later = found.select(*keys, F.col("vertex").alias("label"), F.col("label").alias("last"))
+        found = unique_join(labels, later, [*keys, "label"], size, "left").select(*keys, "vertex", F.coalesce("last", "label").alias("label"))
+    found, size = counted(found, "labels")
+    least = found.groupBy(*keys, "label").agg(F.min("vertex").alias("component"))
+    return unique_join(found, least, [*keys, "label"], size).select(*keys, "vertex", "component")
+
+
+def _follow(e: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """keys, vertex, label: of each vertex and its neighbours the first in the round's hashed order."""
+    both = e.select(*keys, F.col("u").alias("vertex"), F.col("v").alias("near")).unionByName(e.select(*keys, F.col("v").alias("vertex"), F.col("u").alias("near")))
+    rank = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("id"))
+    least = both.groupBy(*keys, "vertex").agg(F.min(rank("near")).alias("m"))
+    return least.select(*keys, "vertex", F.least("m", rank("vertex"))["id"].alias("label"))

@@ -1,71 +1,13 @@
-"""Track ends, paths, projections, and the comparison with truth."""
+"""Points along paths, projections, and the comparison of track ends with truth. Walks and steps come from ends.find_ends()."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracksmith.functions.graph import RULES, Graph
-from tracksmith.operators.tracks import TRACK, degrees, track_links
+from tracksmith.operators.tracks import TRACK, degrees
 from tracksmith.operators.voxels import distance, nearest, within
 
-WALK = "struct<start: int, end: int, path: array<int>, confidence: double, length: double>"
-
-
-def track_rows(tracks: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per track: TRACK, vox (array of voxel_id, x, y, z, energy in id order), edges (array of src, dst)."""
-    v = tracks.groupBy(*TRACK).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("voxel_id", "int"), ("x", "double"), ("y", "double"), ("z", "double"), ("energy", "double"))]))).alias("vox"))
-    e = track_links(tracks, links).groupBy(*TRACK).agg(F.sort_array(F.collect_list(F.struct(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")))).alias("edges"))
-    return v.join(e, TRACK, "left")
-
-
-def graph_of(vox, edges) -> tuple[Graph, list[int]]:
-    """The graph of one row of track_rows() and its voxel ids by position."""
-    ids = [r["voxel_id"] for r in vox]
-    at = {v: i for i, v in enumerate(ids)}
-    xyz = np.array([(r["x"], r["y"], r["z"]) for r in vox], float)
-    links = [] if edges is None else [(at[r["src"]], at[r["dst"]]) for r in edges]
-    return Graph(xyz, np.array([r["energy"] for r in vox], float), links), ids
-
-
-def walk_tracks(tracks: DataFrame, links: DataFrame, method: str = "combined") -> DataFrame:
-    """TRACK, start, end, path (voxel ids), confidence, length of each track, by one of the rules in RULES.
-
-    The searches run row by row in Arrow batches, parallel over tracks; one track is bounded.
-    """
-    rule = RULES[method]
-
-    @F.pandas_udf(WALK)
-    def find(vox: pd.Series, edges: pd.Series) -> pd.DataFrame:
-        out = []
-        for v, e in zip(vox, edges, strict=True):
-            g, ids = graph_of(v, e)
-            r = rule(g)
-            out.append((ids[r.start], ids[r.end], [ids[i] for i in r.path], r.confidence, r.length))
-        return pd.DataFrame(out, columns=["start", "end", "path", "confidence", "length"])
-
-    return track_rows(tracks, links).select(*TRACK, find("vox", "edges").alias("w")).select(*TRACK, "w.*")
-
-
-def shortest_paths(tracks: DataFrame, links: DataFrame, ends: DataFrame, weighted: bool = False, alpha: float = 1.0, beta: float = 1.0, floor: float = 1e-6) -> DataFrame:
-    """TRACK, path, length between the given ends (TRACK, start, end): fewest links, or least energy-weighted cost. None: empty."""
-
-    @F.pandas_udf("struct<path: array<int>, length: double>")
-    def find(vox: pd.Series, edges: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
-        out = []
-        for v, e, a, b in zip(vox, edges, start, end, strict=True):
-            g, ids = graph_of(v, e)
-            a, b = ids.index(a), ids.index(b)
-            cost = lambda i, j, g=g: g.gap(i, j) ** alpha / (0.5 * (g.energy[i] + g.energy[j]) + floor) ** beta
-            path = g.path(a, b, g.weighted_tree(a, cost)[1] if weighted else None)
-            out.append(([ids[i] for i in path], g.length(path)))
-        return pd.DataFrame(out, columns=["path", "length"])
-
-    return track_rows(tracks, links).join(ends, TRACK).select(*TRACK, find("vox", "edges", F.col("start").cast("int"), F.col("end").cast("int")).alias("p")).select(*TRACK, "p.*")
-
-
 def vertex_curvature(tracks: DataFrame, links: DataFrame) -> DataFrame:
     """event_id, voxel_id, curvature: mean of 1 - |cos| over pairs of neighbours, as joins of links with links."""
     d = degrees(tracks, links)
@@ -83,12 +25,11 @@ def vertex_curvature(tracks: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("event_id", "voxel_id", F.when(F.col("degree") < 2, 0.0).otherwise(F.coalesce("c", (F.col("degree") > 2).cast("double"))).alias("curvature"))
 
 
-def path_points(walks: DataFrame, tracks: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys, step (from 1), voxel_id, x, y, z, energy, s: the path's voxels in order with their arc length."""
+def path_points(steps: DataFrame, tracks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, step (from 1), voxel_id, x, y, z, energy, s: the steps (keys, step, voxel_id, s) with their voxels."""
     keys = keys or TRACK
-    steps = walks.select(*keys, F.posexplode("path").alias("step", "voxel_id")).withColumn("step", F.col("step") + 1)
-    points = steps.join(tracks.select(*keys, "voxel_id", "x", "y", "z", "energy"), [*keys, "voxel_id"])
-    return with_arc_length(points, keys)
+    points = steps.select(*keys, "step", "voxel_id", "s").join(tracks.select(*keys, "voxel_id", "x", "y", "z", "energy"), [*keys, "voxel_id"])
+    return points.select(*keys, "step", "voxel_id", "x", "y", "z", "energy", "s")
 
 
 def with_arc_length(points: DataFrame, keys: list[str], order: str = "step") -> DataFrame:

@@ -46,19 +46,26 @@ def cylindrical_boxes(df: DataFrame, n_phi: int, dz: float, keys: list[str] | No
     return boxed.groupBy(*keys, "iphi", "iz").agg(F.sum("edep").alias("ebox"), (F.sum(F.col("rho") * F.col("edep")) / F.sum("edep")).alias("rbox"), F.count("*").alias("nb"))
 
 
-def near_pairs(points: DataFrame, radius: float, keys: list[str] | None = None, payload: list[str] | None = None) -> DataFrame:
+#: Events with at most this many points are one cell, so that each point is there once; beyond it points look in their cells.
+FEW_POINTS = 64
+
+
+def near_pairs(points: DataFrame, radius: float, keys: list[str] | None = None, payload: list[str] | None = None, few: int = FEW_POINTS) -> DataFrame:
     """Pairs of points of one event with distance <= radius, each once: keys, src < dst (voxel_id), dist.
 
     A bucketed range join: cells a hair larger than the radius; one side keeps its cell, the other is sent to its cell and the
-    13 forward neighbours, so the join is an equi-join on event and cell. Skew inside an event spreads over its cells.
+    13 forward neighbours, so the join is an equi-join on event and cell. Skew inside an event spreads over its cells. An event of few
+    points is one cell, to which nothing is sent twice.
     """
     keys = keys or ["event_id"]
     side = radius * (1 + 1e-9) if radius > 0 else 1.0
     payload = payload or []
-    cell = [F.floor(F.col(c) / side).alias(f"c{c}") for c in "xyz"]
-    base = points.select(*keys, "voxel_id", "x", "y", "z", *payload, *cell)
+    crowded = points.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > few).select(*keys, F.lit(True).alias("__crowded"))
+    base = points.select(*keys, "voxel_id", "x", "y", "z", *payload).join(crowded, keys, "left").withColumn("__crowded", F.col("__crowded").isNotNull())
+    base = base.withColumns({f"c{c}": F.when(F.col("__crowded"), F.floor(F.col(c) / side)).otherwise(0) for c in "xyz"})
     forward = [s for s in product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
-    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("xyz", s, strict=True)]) for s in forward])
+    step = lambda s: F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("xyz", s, strict=True)])
+    steps = F.when(F.col("__crowded"), F.array(*[step(s) for s in forward])).otherwise(F.array(step((0, 0, 0))))
     sent = base.withColumn("s", F.explode(steps)).select(*keys, "voxel_id", "x", "y", "z", *payload, *[(F.col(f"c{c}") - F.col(f"s.d{c}")).alias(f"c{c}") for c in "xyz"], F.expr("s.dx = 0 and s.dy = 0 and s.dz = 0").alias("same"))
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "cx", "cy", "cz"]]
     pairs = base.alias("a").join(sent.alias("b"), on).withColumn("dist", distance("a", "b")).where((F.col("dist") <= radius) & (~F.col("b.same") | (F.col("a.voxel_id") < F.col("b.voxel_id"))))

@@ -1,4 +1,4 @@
-"""Registered queries on paths, blobs, profiles and whole chains. Path searches have no SQL form; what stands on truth paths has."""
+"""Registered queries on paths, blobs, profiles and whole chains, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from tracksmith.operators import blobs as bl
 from tracksmith.operators import efficiency as ef
+from tracksmith.operators import ends as en
 from tracksmith.operators import events as ev
 from tracksmith.operators import hist as hi
 from tracksmith.operators import paths as pa
 from tracksmith.operators import profile as pr
 from tracksmith.operators import relational as rel
+from tracksmith.operators import searches as se
 from tracksmith.operators import tracks as tr
 from tracksmith.operators import voxels as vx
+from tracksmith.plans import walk_sql as ws
 from tracksmith.plans.queries import RADIUS, register, rounded, track_sql, tracks, voxel_sql, voxels
 from tracksmith.session import written
 from tracksmith.sources import views as v
@@ -278,96 +281,120 @@ def k10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    vox = voxels(spark, d)
-    links = tr.radius_links(vox, RADIUS)
-    return written(tr.make_tracks(vox, links), "tracks"), written(links, "links")  # both are read several times
+    vox = written(voxels(spark, d), "voxels")  # all three are read several times
+    links = written(tr.radius_links(vox, RADIUS), "links")
+    return written(tr.make_tracks(vox, links), "tracks"), links
 
 
 def _walk_query(method: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return rounded(pa.walk_tracks(*_tracks(spark, d), method))
+        """The ends of every track with its way, a row per step (one row without a step where the rule finds no way)."""
+        ends, ways = en.find_ends(*_tracks(spark, d), method)
+        return rounded(ends.join(ways, tr.TRACK, "left"))
 
     return run
 
 
-for _n, _m in (("t4_ends_topology", "topology"), ("t6_ends_curvature", "curvature"), ("t7_ends_spatial", "spatial"), ("t8_ends_energy", "energy"), ("t9_ends_distance", "distance"), ("t10_ends_edge_energy", "edge_energy"), ("t11_ends_mst", "mst"), ("t12_ends_combined", "combined"), ("t13_walk_mst", "combined_mst")):
-    register(_n)(_walk_query(_m))
+def _walk_sql(method: str) -> str:
+    return f"with {ws.walks(method)} select wk.event_id, wk.track_id, wk.s as start, wk.e as \"end\", round(confidence, 6) as confidence, round(length, 6) as length, step, voxel_id, round(st.s, 6) as s from wk left join wk_st st on st.event_id = wk.event_id and st.track_id = wk.track_id"
+
+
+for _n, _m in {
+    "t4_ends_topology": "topology", "t6_ends_curvature": "curvature", "t7_ends_spatial": "spatial", "t8_ends_energy": "energy", "t9_ends_distance": "distance",
+    "t10_ends_edge_energy": "edge_energy", "t11_ends_mst": "mst", "t12_ends_combined": "combined", "t13_walk_mst": "combined_mst",
+}.items():
+    register(_n, _walk_sql(_m))(_walk_query(_m))
 
 
-def _walked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _walked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tracks, links, walks and their steps."""
     t, links = _tracks(spark, d)
-    return t, links, written(pa.walk_tracks(t, links), "walks")
+    return t, links, *en.find_ends(t, links)
+
+
+def _firsts(t: DataFrame) -> DataFrame:
+    """TRACK, start, end: the least and the greatest voxel of each track."""
+    return t.groupBy(*tr.TRACK).agg(F.min("voxel_id").alias("start"), F.max("voxel_id").alias("end"))
+
 
+_BETWEEN = "f as (select event_id, track_id, min(voxel_id) as s, max(voxel_id) as e from vd group by 1, 2), wy as (select f.event_id, f.track_id, path from f join {0} t on t.event_id = f.event_id and t.root = f.s and t.v = f.e)"
+_ONE_WAY = ws.steps_of("wy") + " select event_id, track_id, step, voxel_id, round(s, 6) as s from wy_st"
 
-@register("t1_shortest_path")
+
+@register("t1_shortest_path", f"with {ws.BASE}, {ws.BF}, {_BETWEEN.format('bf')}, {_ONE_WAY}")
 def t1(spark: SparkSession, d: str) -> DataFrame:
-    t, links, w = _walked(spark, d)
-    return rounded(pa.shortest_paths(t, links, w.select(*tr.TRACK, "start", "end")))
+    """The way of fewest links from the least to the greatest voxel of each track."""
+    t, links = _tracks(spark, d)
+    return rounded(se.shortest_ways(t, links, _firsts(t)))
 
 
-@register("t3_weighted_path")
+@register("t3_weighted_path", f"with {ws.BASE}, pl as (select *, gap / (0.5 * (eu + ev) + 1e-6) as w from ed), {ws.cost_trees('wt', 'pl')}, {_BETWEEN.format('wt')}, {_ONE_WAY}")
 def t3(spark: SparkSession, d: str) -> DataFrame:
-    t, links, w = _walked(spark, d)
-    return rounded(pa.shortest_paths(t, links, w.select(*tr.TRACK, "start", "end"), weighted=True))
+    """The way of least cost from the least to the greatest voxel of each track."""
+    t, links = _tracks(spark, d)
+    return rounded(se.shortest_ways(t, links, _firsts(t), se.link_cost()))
+
+
+WK = ws.walks("combined")
 
 
-@register("t14_path_points")
+@register("t14_path_points", f"with {WK} select event_id, track_id, step, voxel_id, x::double as x, y::double as y, z::double as z, round(energy, 9) as energy, round(s, 6) as s from wk_st")
 def t14(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
-    return rounded(pa.path_points(w, t))
+    t, _, _, steps = _walked(spark, d)
+    return rounded(pa.path_points(steps, t), 6, energy=9)
 
 
 @register("t20_ends_against_truth")
 def t20(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return rounded(pa.ends_against_truth(w, t, v.hits(spark, d)))
 
 
 @register("t20_comparison_summary")
 def t20b(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return rounded(pa.comparison_summary(pa.ends_against_truth(w, t, v.hits(spark, d))))
 
 
 @register("t21_error_classes")
 def t21(spark: SparkSession, d: str) -> DataFrame:
-    t, links, w = _walked(spark, d)
+    t, links, w, _ = _walked(spark, d)
     return pa.error_classes(w, t, links, v.hits(spark, d)).groupBy("class").agg(F.count("*").alias("n"), F.round(F.avg("d1"), 6).alias("mean_d1"), F.round(F.avg("d2"), 6).alias("mean_d2"))
 
 
 @register("t22_worst_events")
 def t22(spark: SparkSession, d: str) -> DataFrame:
-    t, links, w = _walked(spark, d)
+    t, links, w, _ = _walked(spark, d)
     return rounded(pa.worst_events(pa.error_classes(w, t, links, v.hits(spark, d))))
 
 
 @register("t23_end_quality")
 def t23(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return rounded(pa.end_quality(w, t))
 
 
 @register("b1_sphere_energies")
 def b1(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return rounded(bl.sphere_energies(w, t, 12.0), 9)
 
 
 @register("b2_blob_energies")
 def b2(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
-    return rounded(bl.blob_energies(pa.path_points(w, t), t, 12.0))
+    t, _, _, steps = _walked(spark, d)
+    return rounded(bl.blob_energies(pa.path_points(steps, t), t, 12.0))
 
 
 @register("b3_end_voxels")
 def b3(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
-    return rounded(bl.end_voxel_energies(pa.path_points(w, t), 2), 9)
+    t, _, _, steps = _walked(spark, d)
+    return rounded(bl.end_voxel_energies(pa.path_points(steps, t), 2), 9)
 
 
 @register("b4_variable_spheres")
 def b4(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return bl.variable_spheres(w, t).drop("start_history", "end_history", "blob1_history", "blob2_history")
 
 
@@ -376,58 +403,58 @@ RADII = [5.0, 10.0, 15.0, 20.0]
 
 @register("b5_energies_by_radius")
 def b5(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return rounded(bl.energies_by_radius(w, t, RADII), 9)
 
 
 @register("b6_asymmetry_by_radius")
 def b6(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return rounded(bl.asymmetry_by(bl.energies_by_radius(w, t, RADII), "radius"))
 
 
 @register("b7_end_point_energy")
 def b7(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
-    return rounded(bl.end_point_energy(pa.central_path(pa.path_points(w, t), t, 12.0), 2), 9)
+    t, _, _, steps = _walked(spark, d)
+    return rounded(bl.end_point_energy(pa.central_path(pa.path_points(steps, t), t, 12.0), 2), 9)
 
 
 @register("b8_blob_table")
 def b8(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return rounded(bl.blob_table(w, t, 12.0, "hits", 400.0))
 
 
 @register("b9_path_efficiency")
 def b9(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return rounded(bl.path_efficiency(pa.end_points(w, t), w))
 
 
 @register("b11_end_stability")
 def b11(spark: SparkSession, d: str) -> DataFrame:
     t, links = _tracks(spark, d)
-    one, two = (pa.end_points(pa.walk_tracks(t, links, m), t) for m in ("combined", "mst"))
+    one, two = (pa.end_points(en.find_ends(t, links, m)[0], t) for m in ("combined", "mst"))
     return rounded(pa.end_stability(one, two))
 
 
 @register("b18_clean_blobs")
 def b18(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
+    t, _, w, _ = _walked(spark, d)
     return rounded(bl.clean_blobs(bl.blob_table(w, t, 12.0, "hits"), 20.0, (500.0, 4000.0)))
 
 
 @register("b19_preselection")
 def b19(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
-    b = bl.blob_energies(pa.path_points(w, t), t, 12.0)
+    t, _, _, steps = _walked(spark, d)
+    b = bl.blob_energies(pa.path_points(steps, t), t, 12.0)
     return b.agg(F.count("*").alias("n"), F.count_if(F.col("Eb2") >= 400).alias("n_selected"))
 
 
 @register("k2_reco_kde")
 def k2(spark: SparkSession, d: str) -> DataFrame:
-    t, _, w = _walked(spark, d)
-    return rounded(pr.energy_kde(pa.project_to_path(t, pa.path_points(w, t)), BAND, GRID), 8)
+    t, _, _, steps = _walked(spark, d)
+    return rounded(pr.energy_kde(pa.project_to_path(t, pa.path_points(steps, t)), BAND, GRID), 8)
 
 
 @register("b20_event_analysis")
@@ -438,9 +465,9 @@ def b20(spark: SparkSession, d: str) -> DataFrame:
     t = tr.single_tracks(t)
     out = None
     for m in ("combined", "combined_mst"):
-        w = pa.walk_tracks(t, links, m)
+        w, steps = en.find_ends(t, links, m)
         matched = pa.ends_against_truth(w, t, h).select("event_id", *[F.col(c).alias(f"{c}_{m}") for c in ("d1", "d2", "confidence", "length")])
-        b = bl.blob_energies(pa.path_points(w, t), t, 12.0).select("event_id", *[F.col(c).alias(f"{c}_{m}") for c in ("Eb1", "Eb2", "asymmetry")])
+        b = bl.blob_energies(pa.path_points(steps, t), t, 12.0).select("event_id", *[F.col(c).alias(f"{c}_{m}") for c in ("Eb1", "Eb2", "asymmetry")])
         part = matched.join(b, "event_id")
         out = part if out is None else out.join(part, "event_id")
     return rounded(out)
@@ -451,8 +478,8 @@ def b21(spark: SparkSession, d: str) -> DataFrame:
     """Single-track events: path, density along it, its peaks as columns."""
     t, links = _tracks(spark, d)
     t = tr.single_tracks(t)
-    w = written(pa.walk_tracks(t, links), "walks")
-    c = pr.energy_kde(pa.project_to_path(t, pa.path_points(w, t)), BAND, GRID)
+    w, steps = en.find_ends(t, links)
+    c = pr.energy_kde(pa.project_to_path(t, pa.path_points(steps, t)), BAND, GRID)
     p = rel.peak_columns(pr.peaks(c, 0.2).withColumn("at", F.col("s")), tr.TRACK)
     return rounded(w.select(*tr.TRACK, "confidence", "length").join(p, tr.TRACK))
 
@@ -460,9 +487,9 @@ def b21(spark: SparkSession, d: str) -> DataFrame:
 @register("f13_peak_and_blob_cut")
 def f13(spark: SparkSession, d: str) -> DataFrame:
     t, links = _tracks(spark, d)
-    w = written(pa.walk_tracks(t, links), "walks")
-    c = pr.energy_kde(pa.project_to_path(t, pa.path_points(w, t)), BAND, GRID)
-    p = rel.peak_columns(pr.peaks(c, 0.2).withColumn("at", F.col("s")), tr.TRACK).join(bl.blob_energies(pa.path_points(w, t), t, 12.0), tr.TRACK)
+    w, steps = en.find_ends(t, links)
+    c = pr.energy_kde(pa.project_to_path(t, pa.path_points(steps, t)), BAND, GRID)
+    p = rel.peak_columns(pr.peaks(c, 0.2).withColumn("at", F.col("s")), tr.TRACK).join(bl.blob_energies(pa.path_points(steps, t), t, 12.0), tr.TRACK)
     p = p.withColumn("sample", F.when(F.col("track_id") == 1, "main").otherwise("satellite"))
     return rounded(ef.peak_and_blob_cut(p, "sample", "Eb2", 400.0, lmax=40.0, pmin=0.001, rmin=30.0))
 
@@ -525,4 +552,4 @@ def dense(spark: SparkSession, d: str) -> DataFrame:
     vox = vx.voxelize(v.hits_dense(spark, d), 5.0)
     links = tr.radius_links(vox, 8.0)
     t = tr.make_tracks(vox, links)
-    return rounded(pa.walk_tracks(t, links, "combined").select(*tr.TRACK, "start", "end", "confidence", "length"))
+    return rounded(en.find_ends(t, links)[0].select(*tr.TRACK, "start", "end", "confidence", "length"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksmith.operators.tracks import TRACK
+from tracksmith.operators.voxels import nearest, within
 
 SIDES = ("start", "end")
 
@@ -16,11 +17,21 @@ def _ends(walks: DataFrame, tracks: DataFrame) -> DataFrame:
     return long.join(tracks.select(*TRACK, "voxel_id", *[F.col(c).alias(f"c{c}") for c in "xyz"]), [*TRACK, "voxel_id"]).drop("voxel_id")
 
 
-def _around(walks: DataFrame, tracks: DataFrame) -> DataFrame:
-    """TRACK, side, centre, energy, dist: every voxel of the track against both ends (a join on the track)."""
-    j = _ends(walks, tracks).join(tracks.select(*TRACK, "voxel_id", "x", "y", "z", "energy"), TRACK)
-    d2 = sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0))
-    return j.withColumn("dist", F.sqrt(d2))
+def _around(walks: DataFrame, tracks: DataFrame, radius: float) -> DataFrame:
+    """TRACK, side, cx, cy, cz, energy, dist: the voxels of the track within radius of either end, found by cells around the ends."""
+    ends = _ends(walks, tracks).select(*TRACK, "side", *[F.col(f"c{c}").alias(c) for c in "xyz"])
+    near = within(ends, tracks.select(*TRACK, "x", "y", "z", "energy"), radius, TRACK)
+    return near.select(*[F.col(f"q.{k}").alias(k) for k in TRACK], F.col("q.side").alias("side"), *[F.col(f"q.{c}").alias(f"c{c}") for c in "xyz"], F.col("t.energy").alias("energy"), "dist")
+
+
+def _by_radius(walks: DataFrame, tracks: DataFrame, radii: list[float]) -> DataFrame:
+    """TRACK, side, radius, energy, count of the spheres of rising radii: each voxel is counted once, at the first radius that
+    holds it, and what the spheres gain is added up from radius to radius."""
+    grid = F.array(*[F.lit(float(r)) for r in radii])
+    first = F.size(F.filter(grid, lambda r: r < F.col("dist")))
+    gains = _around(walks, tracks, max(radii)).groupBy(*TRACK, "side", first.alias("first")).agg(F.sum("energy").alias("energy"), F.count("*").alias("count"))
+    held = gains.select(*TRACK, "side", F.explode(F.slice(grid, F.col("first") + 1, len(radii))).alias("radius"), "energy", "count")
+    return held.groupBy(*TRACK, "side", "radius").agg(F.sum("energy").alias("energy"), F.sum("count").alias("count"))
 
 
 def _by_side(long: DataFrame, values: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -40,8 +51,7 @@ def _blob_order(df: DataFrame, values: list[str]) -> DataFrame:
 
 def sphere_energies(walks: DataFrame, tracks: DataFrame, radius: float) -> DataFrame:
     """TRACK, energy, count and centre of the spheres (dist <= radius) about both ends, by side and as blob1, blob2."""
-    inside = F.col("dist") <= radius
-    long = _around(walks, tracks).groupBy(*TRACK, "side").agg(F.coalesce(F.sum(F.when(inside, F.col("energy"))), F.lit(0.0)).alias("energy"), F.count_if(inside).alias("count"), *[F.first(f"c{c}").alias(f"c{c}") for c in "xyz"])
+    long = _around(walks, tracks, radius).groupBy(*TRACK, "side").agg(F.sum("energy").alias("energy"), F.count("*").alias("count"), *[F.first(f"c{c}").alias(f"c{c}") for c in "xyz"])
     values = ["energy", "count", "cx", "cy", "cz"]
     return _blob_order(_by_side(long, values), values)
 
@@ -59,10 +69,14 @@ def blob_energies(points: DataFrame, tracks: DataFrame, radius: float) -> DataFr
     at = F.struct("step", "x", "y", "z")
     ends = points.groupBy(*TRACK).agg(F.min(at).alias("start"), F.max(at).alias("end"))
     long = ends.select(*TRACK, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), *[F.col(f"{s}.{c}").alias(f"c{c}") for c in "xyz"]) for s in SIDES])).alias("e")).select(*TRACK, "e.*")
-    j = long.join(tracks.select(*TRACK, "voxel_id", "x", "y", "z", "energy"), TRACK)
-    j = j.withColumn("dist", F.sqrt(sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0))))
-    near = F.min(F.struct("dist", "voxel_id", "energy"))["energy"]
-    long = j.groupBy(*TRACK, "side").agg((F.coalesce(F.sum(F.when(F.col("dist") <= radius, F.col("energy"))), near) * 1e3).alias("energy"))
+    ends = long.select(*TRACK, "side", *[F.col(f"c{c}").alias(c) for c in "xyz"])
+    own = tracks.select(*TRACK, "voxel_id", "x", "y", "z", "energy")
+    near = within(ends, own, radius, TRACK).groupBy(*[F.col(f"q.{k}").alias(k) for k in TRACK], F.col("q.side").alias("side")).agg(F.sum("t.energy").alias("inside"))
+    found = ends.join(near, [*TRACK, "side"], "left")
+    empty = found.where("inside is null").select(*TRACK, F.col("side").alias("src"), "x", "y", "z")
+    closest = nearest(empty, own.select(*TRACK, F.col("voxel_id").alias("dst"), "x", "y", "z"), 1, TRACK).select(*TRACK, F.col("src").alias("side"), F.col("dst").alias("voxel_id"))
+    closest = closest.join(own.select(*TRACK, "voxel_id", F.col("energy").alias("nearest")), [*TRACK, "voxel_id"]).drop("voxel_id")
+    long = found.join(closest, [*TRACK, "side"], "left").select(*TRACK, "side", (F.coalesce("inside", "nearest") * 1e3).alias("energy"))
     out = _blob_order(_by_side(long, ["energy"]), ["energy"])
     return out.select(*TRACK, F.col("blob1_energy").alias("Eb1"), F.col("blob2_energy").alias("Eb2"), asymmetry(F.col("blob1_energy"), F.col("blob2_energy")).alias("asymmetry"))
 
@@ -78,10 +92,7 @@ def end_voxel_energies(points: DataFrame, n: int) -> DataFrame:
 
 def energies_by_radius(walks: DataFrame, tracks: DataFrame, radii: list[float]) -> DataFrame:
     """TRACK, radius, start_energy, end_energy, blob1_energy, blob2_energy, start_count, end_count for each radius: one pass."""
-    grid = F.array(*[F.lit(float(r)) for r in radii])
-    near = _around(walks, tracks)
-    long = near.withColumn("radius", F.explode(grid)).groupBy(*TRACK, "side", "radius").agg(F.coalesce(F.sum(F.when(F.col("dist") <= F.col("radius"), F.col("energy"))), F.lit(0.0)).alias("energy"), F.count_if(F.col("dist") <= F.col("radius")).alias("count"))
-    return _blob_order(_by_side(long, ["energy", "count"], [*TRACK, "radius"]), ["energy"])
+    return _blob_order(_by_side(_by_radius(walks, tracks, radii), ["energy", "count"], [*TRACK, "radius"]), ["energy"])
 
 
 def asymmetry_by(df: DataFrame, by: str, a: str = "blob1_energy", b: str = "blob2_energy") -> DataFrame:
@@ -97,9 +108,7 @@ def variable_spheres(walks: DataFrame, tracks: DataFrame, seed: float = 3.0, ste
     """
     n = int((most - seed) / step + 1e-9) + 1
     radii = [seed + i * step for i in range(n)]
-    near = _around(walks, tracks).withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
-    inside = F.col("dist") <= F.col("radius")
-    g = near.groupBy(*TRACK, "side", "radius").agg(F.coalesce(F.sum(F.when(inside, F.col("energy"))), F.lit(0.0)).alias("energy"), F.count_if(inside).alias("count"))
+    g = _by_radius(walks, tracks, radii)
     w = Window.partitionBy(*TRACK, "side").orderBy("radius")
     g = g.withColumn("before", F.lag("energy").over(w))
     settled = (F.col("energy") > 0) & (F.col("before") > 0) & (F.abs(F.col("energy") - F.col("before")) / F.col("energy") < change)

@@ -46,10 +46,11 @@ def single_cut(df: DataFrame, x: str, cut: float, signal: str, inclusive: bool =
     return out.withColumn("background_rejection", 1 - F.col("background_eff"))
 
 
-def two_sample_efficiencies(df: DataFrame, x: str, signal: str, cuts: list[float], inclusive: bool = False) -> DataFrame:
-    """cut, eff_signal, eff_background: both samples in one pass."""
-    e = efficiency_vs_cut(df.withColumn("__s", F.col(signal)), x, cuts, inclusive, ["__s"])
-    return e.groupBy("cut").agg(F.max(F.when(F.col("__s"), F.col("efficiency"))).alias("eff_signal"), F.max(F.when(~F.col("__s"), F.col("efficiency"))).alias("eff_background"))
+def two_sample_efficiencies(df: DataFrame, x: str, signal: str, cuts: list[float], inclusive: bool = False, by: list[str] | None = None) -> DataFrame:
+    """by, cut, eff_signal, eff_background: both samples in one pass."""
+    by = by or []
+    e = efficiency_vs_cut(df.withColumn("__s", F.col(signal)), x, cuts, inclusive, [*by, "__s"])
+    return e.groupBy(*by, "cut").agg(F.max(F.when(F.col("__s"), F.col("efficiency"))).alias("eff_signal"), F.max(F.when(~F.col("__s"), F.col("efficiency"))).alias("eff_background"))
 
 
 def figure_of_merit(efficiencies: DataFrame, epsilon: float = 1e-10) -> DataFrame:
@@ -150,9 +151,9 @@ def interpolate(curve: DataFrame, at: list[float], x: str = "threshold", values:
     return seg.select(*by, "at", *[(F.col(v) + share * (F.coalesce(f"__n_{v}", v) - F.col(v))).alias(v) for v in values])
 
 
-def roc_from_curves(curve: DataFrame, at: list[float], by: list[str]) -> DataFrame:
+def roc_from_curves(curve: DataFrame, at: list[float], by: list[str], x: str = "threshold") -> DataFrame:
     """Area under signal efficiency over background efficiency, for each sample's interpolated curve."""
-    r = interpolate(curve, at, by=by)
+    r = interpolate(curve, at, x, by=by)
     w = Window.partitionBy(*by).orderBy("eff_background", "eff_signal", "at")
     step = (F.col("eff_background") - F.lag("eff_background").over(w)) * (F.col("eff_signal") + F.lag("eff_signal").over(w)) / 2
     return r.withColumn("area", step).groupBy(*by).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("auc"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksmith.operators.tracks import TRACK, degrees
-from tracksmith.operators.voxels import distance, nearest, within
+from tracksmith.operators.voxels import nearest, within
 
 def vertex_curvature(tracks: DataFrame, links: DataFrame) -> DataFrame:
     """event_id, voxel_id, curvature: mean of 1 - |cos| over pairs of neighbours, as joins of links with links."""
@@ -142,10 +142,9 @@ def comparison_summary(matched: DataFrame) -> DataFrame:
 def nearest_voxel(points: DataFrame, tracks: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """For each point (keys, name, x, y, z) the nearest voxel of the event: keys, name, voxel_id, track_id, dist."""
     keys = keys or ["event_id"]
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    best = F.min(F.struct(distance("a", "b").alias("dist"), F.col("b.voxel_id").alias("voxel_id"), F.col("b.track_id").alias("track_id"))).alias("m")
-    out = points.alias("a").join(tracks.alias("b"), on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.name").alias("name")).agg(best)
-    return out.select(*keys, "name", "m.voxel_id", "m.track_id", "m.dist")
+    found = nearest(points.select(*keys, F.col("name").alias("src"), "x", "y", "z"), tracks.select(*keys, F.col("voxel_id").alias("dst"), "x", "y", "z"), 1, keys)
+    found = found.select(*keys, F.col("src").alias("name"), F.col("dst").alias("voxel_id"), "dist")
+    return found.join(tracks.select(*keys, "voxel_id", "track_id"), [*keys, "voxel_id"]).select(*keys, "name", "voxel_id", "track_id", "dist")
 
 
 def error_classes(walks: DataFrame, tracks: DataFrame, links: DataFrame, hits: DataFrame) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksmith.operators.components import counted
+from tracksmith.session import broadcast_if_small, written
+
 
 def match_events(sets: dict[str, DataFrame], index: str) -> DataFrame:
     """event_id and for each set the index of the event's last row (greatest index), -1 where absent: full outer joins on event_id."""
@@ -49,7 +52,7 @@ def signal_background(df: DataFrame, sample: str, value: str, signal: str) -> Da
     The signal is one row; it is joined by a constant key.
     """
     one = df.where(F.col(sample) == signal).agg(F.max(value).alias("__s"))
-    rest = df.where(F.col(sample) != signal).join(F.broadcast(one), F.lit(True))
+    rest = df.where(F.col(sample) != signal).join(F.broadcast(one), F.lit(True))  # one row, being an aggregate of all
     inf = F.lit(float("inf"))
     return rest.select(sample, value, F.when(F.col(value) == 0, inf).otherwise(F.col("__s") / F.col(value)).alias("ratio"), F.when(F.col(value) == 0, inf).otherwise(1 / F.col(value)).alias("rejection"))
 
@@ -66,12 +69,48 @@ def yearly(activity: DataFrame, efficiency: DataFrame, key: str = "name", second
     return rows.unionByName(total)
 
 
+#: Parts of an interval that one pass of exact_median() counts, and the rows from which an interval is sorted instead.
+PARTS, FEW_ROWS = 64, 4096
+
+
+def exact_median(df: DataFrame, x: str, by: list[str], few: int = FEW_ROWS) -> DataFrame:
+    """by, median: the mean of the two middle values of each group, exact; null values don't count.
+
+    The interval that holds a middle rank is narrowed: a pass counts its rows in PARTS even parts and goes on with the extent of the
+    values in the part that holds the rank, until these are one value or few rows. A group of any size is partial counts of PARTS
+    rows, never sorted or gathered whole; values that repeat cost no further pass.
+    """
+    rows = written(df.select(*by, F.col(x).cast("double").alias("x")).where("x is not null"), "values")
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    rank = F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)))
+    state = ends.select(*by, rank.alias("rank"), "n", "lo", "hi").distinct().withColumn("wanted", F.col("rank"))
+    cols = [*by, "wanted", "rank", "n", "lo", "hi"]
+    wide = F.col("open")
+    state, n = counted(state.select(*cols, ((F.col("lo") < F.col("hi")) & (F.col("n") > few)).alias("open")), "intervals", "open")
+    settled = [state.where(~wide)]
+    part = F.least(F.lit(PARTS - 1), F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * PARTS))
+    while n:
+        inside = rows.join(broadcast_if_small(state.where(wide).select(*cols), 100_000), by).where("x >= lo and x <= hi")
+        parts = inside.groupBy(*by, "wanted", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "wanted").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        hit = parts.withColumn("before", before).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).withColumn("rank", F.col("rank") - F.col("before"))
+        state, n = counted(hit.select(*cols, ((F.col("lo") < F.col("hi")) & (F.col("n") > few)).alias("open")), "intervals", "open")
+        settled.append(state.where(~wide))
+    last = reduce(DataFrame.unionByName, settled)
+    one = last.where("lo = hi").select(*by, "wanted", F.col("lo").alias("x"))
+    inside = rows.join(broadcast_if_small(last.where("lo < hi").select(*cols), 100_000), by).where("x >= lo and x <= hi")
+    nth = F.row_number().over(Window.partitionBy(*by, "wanted").orderBy("x")) - 1
+    few_rows = inside.withColumn("nth", nth).where(F.col("nth") == F.col("rank")).select(*by, "wanted", "x")
+    return one.unionByName(few_rows).groupBy(*by).agg(F.avg("x").alias("median"))
+
+
 def selection_statistics(df: DataFrame, selected: str, columns: list[str]) -> DataFrame:
     """For selected, rest and all rows, by column: n, mean, std, least, greatest, median; missing values are dropped."""
     long = df.unpivot([selected], [F.col(c).cast("double").alias(c) for c in columns], "variable", "value").where("value is not null and not isnan(value)")
-    g = long.groupingSets([[F.col("variable"), F.col(selected)], [F.col("variable")]], "variable", selected)
-    part = F.when(F.grouping(selected) == 1, "all").when(F.col(selected), "selected").otherwise("rest")
-    return g.agg(part.alias("part"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", 0.5).alias("median")).select("variable", "part", "n", "mean", "std", "min", "max", "median")
+    part = F.explode(F.array(F.lit("all"), F.when(F.col(selected), "selected").otherwise("rest")))
+    long = long.select("variable", part.alias("part"), "value")
+    numbers = long.groupBy("variable", "part").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return numbers.join(exact_median(long, "value", ["variable", "part"]), ["variable", "part"]).select("variable", "part", "n", "mean", "std", "min", "max", "median")
 
 
 def scan_statistics(df: DataFrame, by: str, columns: list[str]) -> DataFrame:

@@ -178,6 +178,11 @@ def consecutive_distances(points: DataFrame, order: str, keys: list[str] | None
     return points.withColumn("dist", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).where("dist is not null")
 
 
+def flat_voxels(tracks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, track_id, voxel_id, x, y, z, energy_kev: positions and energies of all voxels of all tracks, a row each."""
+    return tracks.select(*(keys or ["event_id"]), "track_id", "voxel_id", "x", "y", "z", (F.col("energy") * 1e3).alias("energy_kev"))
+
+
 def track_statistics(voxels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Voxels and energy in keV of each track."""
     return voxels.groupBy(*(keys or ["event_id", "track_id"])).agg(F.count("*").alias("n_voxels"), (F.sum("energy") * 1e3).alias("energy_kev"))

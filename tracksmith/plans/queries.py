@@ -262,6 +262,11 @@ def v6(spark: SparkSession, d: str) -> DataFrame:
     return rounded(vx.track_statistics(tracks(spark, d)))
 
 
+@register("v6_flat_voxels", f"with {track_sql(RADIUS)} select event_id, track_id, voxel_id, x::double as x, y::double as y, z::double as z, round(energy * 1000, 6) as energy_kev from trk")
+def v6b(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(vx.flat_voxels(tracks(spark, d)))
+
+
 def _kernel_sql(axis: str, sigma: float, source: str, name: str) -> str:
     values = ", ".join(f"({o}, {w!r}::double)" for o, w in vx.kernel(sigma, 10.0))
     others = ", ".join(f"i{c}" for c in "xyz" if c != axis)
@@ -622,6 +627,18 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ef.separation(v.hits(spark, d).withColumn("radius", F.col("hit_id") % 5), "energy", "label", "A", "R", ["radius"]))
 
 
+@register(
+    "f10_roc_from_curves",
+    f"with {v.SCORES}, {_CUTS}, e as (select doc_id % 3 as sample, cut, avg((score > cut)::int) filter (signal) as s, avg((score > cut)::int) filter (not signal) as b from scores, cuts group by 1, 2), a as (select (i * 100)::double as a_ from range(101) t(i)), "
+    "r as (select l.sample, a_, l.s + coalesce((a_ - l.cut) / 250 * (u.s - l.s), 0) as s, l.b + coalesce((a_ - l.cut) / 250 * (u.b - l.b), 0) as b from a join e l on l.cut = floor(a_ / 250) * 250 left join e u on u.sample = l.sample and u.cut = l.cut + 250), "
+    "w as (select sample, (b - lag(b) over o) * (s + lag(s) over o) / 2 as area from r window o as (partition by sample order by b, s, a_)) select sample, round(coalesce(sum(area), 0), 6) as auc from w group by 1",
+)
+def f10(spark: SparkSession, d: str) -> DataFrame:
+    """Areas of three samples' interpolated curves at a hundred thresholds."""
+    curves = ef.two_sample_efficiencies(v.scores(spark, d).withColumn("sample", F.col("doc_id") % 3), "score", "signal", CUTS, by=["sample"])
+    return rounded(ef.roc_from_curves(curves, [100.0 * i for i in range(101)], ["sample"], "cut"))
+
+
 @register("f15_cut_flow")
 def f15(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ef.event_selection(v.hits(spark, d), 30.0, 3, (-24.0, -1.0), (0.0, 24.0), (1500.0, 2500.0), 50.0))

@@ -176,14 +176,39 @@ def k3(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pr.maxima(curve(spark, d), keys=EVENT), 8, s=6)
 
 
-@register("k4_peaks")
+def peaks_sql(curve_: str, keys: str) -> str:
+    """CTE pk: the peaks of a curve (keys, i, s, f) with a 0 before and behind it, as profile.peaks() has them at a share of 0.2."""
+    return (
+        f"fl as (select {keys}, i, f from {curve_} union all select {keys}, unnest([-1, max(i) + 1]), 0.0 from {curve_} group by {keys}), "
+        f"tt as (select {keys}, i as k, f as h from (select *, lag(f) over w as p, lead(f) over w as q from fl window w as (partition by {keys} order by i)) where f > p and f > q), "
+        f"wl as (select {keys}, k, h, max(i) filter (f > h and i < k) as a, min(i) filter (f > h and i > k) as b from tt join fl using ({keys}) group by {keys}, k, h), "
+        f"ba as (select {keys}, k, h, h - greatest(min(f) filter (i < k and (a is null or i > a)), min(f) filter (i > k and (b is null or i < b))) as prominence from wl join fl using ({keys}) group by {keys}, k, h), "
+        f"sn as (select {keys}, max(f) - min(f) as span, max(i) as last from {curve_} group by {keys}), "
+        f"bb as (select ba.*, last, h - prominence / 2 as level from ba join sn using ({keys}) where prominence >= 0.2 * span), "
+        f"cr as (select {keys}, k, h, prominence, last, level, max(i) filter (f < level and i < k) as i1, min(i) filter (f < level and i > k) as i2 from bb join fl using ({keys}) group by {keys}, k, h, prominence, last, level), "
+        f"ps as (select cr.*, coalesce(i1 + (level - f1.f) / (g1.f - f1.f), -1.0) as l, coalesce(i2 - 1 + (g2.f - level) / (g2.f - f2.f), last + 1.0) as r from cr "
+        + " ".join(f"left join fl {n} on {' and '.join(f'{n}.{k} = cr.{k}' for k in keys.split(', '))} and {n}.i = {at}" for n, at in (("f1", "i1"), ("g1", "i1 + 1"), ("f2", "i2"), ("g2", "i2 - 1")))
+        + f"), pk as (select {', '.join(f'ps.{k}' for k in keys.split(', '))}, ps.k as i, c.s, c.f, prominence, r - l as width, least(greatest(l, 0), last) as \"left\", least(greatest(r, 0), last) as \"right\", row_number() over (partition by {', '.join(f'ps.{k}' for k in keys.split(', '))} order by prominence desc, ps.k) as rank from ps join {curve_} c on {' and '.join(f'c.{k} = ps.{k}' for k in keys.split(', '))} and c.i = ps.k)"
+    )
+
+
+def peak_columns_sql(keys: str) -> str:
+    """CTE pc: the leftmost and the rightmost peak of each curve as columns."""
+    return f"pc as (select {keys}, count(*) as n_peaks, " + ", ".join(f'{f}("{c}", (s, "left", "right", prominence)) as peak{i}_{c}' for i, f in ((1, "arg_min"), (2, "arg_max")) for c in ("left", "right", "prominence")) + f" from pk group by {keys})"
+
+
+_PEAK_COLS = ", ".join(f"round(peak{i}_{c}, {8 if c == 'prominence' else 5}) as peak{i}_{c}" for i in (1, 2) for c in ("left", "right", "prominence"))
+_PEAK_DIGITS = {"peak1_prominence": 8, "peak2_prominence": 8}
+
+
+@register("k4_peaks", f"with {CURVE}, {peaks_sql('kd8', 'event_id')} select event_id, i, s, f, round(prominence, 8) as prominence, round(width, 5) as width, round(\"left\", 5) as \"left\", round(\"right\", 5) as \"right\", rank from pk")
 def k4(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.peaks(kde(spark, d), 0.2, EVENT))
+    return rounded(pr.peaks(curve(spark, d), 0.2, EVENT), 5, s=6, f=8, prominence=8)
 
 
-@register("p11_peak_columns")
+@register("p11_peak_columns", f"with {CURVE}, {peaks_sql('kd8', 'event_id')}, {peak_columns_sql('event_id')} select event_id, n_peaks, {_PEAK_COLS} from pc")
 def p11(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rel.peak_columns(pr.peaks(kde(spark, d), 0.2, EVENT).withColumn("at", F.col("s")), EVENT))
+    return rounded(rel.peak_columns(pr.peaks(curve(spark, d), 0.2, EVENT).withColumn("at", F.col("s")), EVENT), 5, **_PEAK_DIGITS)
 
 
 HPATH = "hp as (select event_id, greatest(1, ceil(max(s) over (partition by event_id) / 8))::int as n_bins, s, energy from tp), hb as (select event_id, n_bins, least(floor(s / 8)::int, n_bins - 1) as bin, sum(energy) as energy from hp group by 1, 2, 3)"
@@ -344,120 +369,212 @@ def t14(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pa.path_points(steps, t), 6, energy=9)
 
 
-@register("t20_ends_against_truth")
+# SQL of what stands on walked ends
+_C = ("x", "y", "z")
+EP = "ep as (select wk.event_id, wk.track_id, wk.s as vs, wk.e as ve, confidence, length, " + ", ".join(f"{p}.{c} as {c}{p}" for p in "ab" for c in _C) + " from wk join vox a on a.event_id = wk.event_id and a.voxel_id = wk.s join vox b on b.event_id = wk.event_id and b.voxel_id = wk.e)"
+
+
+def _far_sql(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"({c}{a} - {c}{b}) * ({c}{a} - {c}{b})" for c in _C) + ")"
+
+
+MATCHED = (
+    f"{EP}, {TENDS}, q20 as (select ep.*, {_far_sql('a', 'b')} as straight, {_far_sql('a', '1')} as a1, {_far_sql('b', '2')} as b2, {_far_sql('a', '2')} as a2, {_far_sql('b', '1')} as b1 from ep join te using (event_id) where track_id = 1), "
+    "m20 as (select *, case when a1 + b2 <= a2 + b1 then a1 else a2 end as d1, case when a1 + b2 <= a2 + b1 then b2 else b1 end as d2, least(a1 + b2, a2 + b1) as total, case when a1 + b2 <= a2 + b1 then 'direct' else 'crossed' end as pairing from q20)"
+)
+CLASSES = (
+    f"{MATCHED}, tp2 as (select event_id, 1 as i, x1 as x, y1 as y, z1 as z from te union all select event_id, 2, x2, y2, z2 from te), "
+    f"nv as (select t.event_id, i, arg_min(v.voxel_id, (round({ws.gap('t.', 'v.')}, 9), v.voxel_id)) as voxel_id from tp2 t join vox v on v.event_id = t.event_id group by 1, 2), "
+    "nd as (select nv.event_id, max(degree) filter (i = 1) as degree1, max(degree) filter (i = 2) as degree2, max(vd.track_id) filter (i = 1) as t1, max(vd.track_id) filter (i = 2) as t2 from nv join vd on vd.event_id = nv.event_id and vd.voxel_id = nv.voxel_id group by 1), "
+    "ec as (select m.event_id, d1, d2, degree1, degree2, case when straight > 0 then length / straight end as tortuosity, case when greatest(d1, d2) <= 10 then 'correct' when t1 <> t2 then 'disconnected' when degree1 <> 1 and degree2 <> 1 then 'both_not_end' when degree1 <> 1 then 'first_not_end' when degree2 <> 1 then 'second_not_end' when me.n_tips > 2 then 'spurious_ends' else 'wrong_end' end as class "
+    "from m20 m join nd using (event_id) join me on me.event_id = m.event_id and me.track_id = 1)"
+)
+
+
+def _spheres_sql(radii: str, source: str = "ep") -> str:
+    """CTE sph: per track and radius the energies and counts about both ends, as start_ and end_, and blob1_ and blob2_."""
+    inside = lambda p: " + ".join(f"pow(v.{c} - ep.{c}{p}, 2)" for c in _C)
+    sums = ", ".join(f"coalesce(sum(v.energy) filter (sqrt({inside(p)}) <= radius), 0) as {n}_energy, count(*) filter (sqrt({inside(p)}) <= radius) as {n}_count" for p, n in (("a", "start"), ("b", "end")))
+    blob = ", ".join(f"case when {first} then start_{c} else end_{c} end as blob{k}_{c}" for k, first in ((1, "start_energy >= end_energy"), (2, "not (start_energy >= end_energy)")) for c in ("energy", "count"))
+    return f"{EP}, sp0 as (select ep.event_id, ep.track_id, radius, {sums} from {source} ep join vd v on v.event_id = ep.event_id and v.track_id = ep.track_id, (select unnest([{radii}]::double[]) as radius) group by 1, 2, 3), sph as (select *, {blob} from sp0)"
+
+
+_BLOBS = f"{_spheres_sql('12.0')}, bl as (select s.event_id, s.track_id, blob1_energy * 1000 as eb1, blob2_energy * 1000 as eb2, case when blob1_energy + blob2_energy > 0 then abs(blob1_energy - blob2_energy) / (blob1_energy + blob2_energy) else 0 end as asym from sph s)"
+_TABLE = (
+    f"{_spheres_sql('12.0')}, bt as (select 'hits' as source, s.event_id as event, s.track_id, blob1_energy * 1000 as eblob1, blob2_energy * 1000 as eblob2, blob1_count as nblob1, blob2_count as nblob2, confidence, etrk, length as trkl from sph s join ep using (event_id, track_id) join (select event_id, track_id, sum(energy) * 1000 as etrk from vd group by 1, 2) using (event_id, track_id))"
+)
+_TABLE_COLS = "source, event, track_id, round(eblob1, 6) as eblob1, round(eblob2, 6) as eblob2, nblob1, nblob2, round(confidence, 6) as confidence, round(etrk, 6) as etrk, round(trkl, 6) as trkl"
+_D20 = "round(d1, 6) as d1, round(d2, 6) as d2"
+_REASON = "greatest(d1, d2) <= 10 as success, case when greatest(d1, d2) <= 10 then 'correct' when least(d1, d2) <= 10 then 'one_end_wrong' else 'both_ends_wrong' end as reason"
+_STARTS = ", ".join(f"xs.{c}{p} as {n}_c{c}" for p, n in (("a", "start"), ("b", "end")) for c in _C)
+_BLOB_AT = ", ".join(f"case when start_energy >= end_energy {'then' if k == 1 else 'then'} xs.{c}{'a' if k == 1 else 'b'} else xs.{c}{'b' if k == 1 else 'a'} end as blob{k}_c{c}" for k in (1, 2) for c in _C)
+#: Path points of the first and last two steps (one of a path of one).
+_FIRSTS = "pn as (select *, row_number() over w as i, count(*) over (partition by event_id, track_id) as n from wk_st window w as (partition by event_id, track_id order by step)), fe as (select event_id, track_id, sum(energy) filter (i <= least(2, greatest(1, n // 2))) as a, sum(energy) filter (i > n - least(2, greatest(1, n // 2))) as b, max(least(2, greatest(1, n // 2))) as count from pn group by 1, 2)"
+QUALITY = (
+    f"{EP}, qb as (select event_id, track_id, avg(energy) as mean_energy, " + ", ".join(f"min({c}) as lo{c}, max({c}) as hi{c}" for c in _C) + " from vd group by 1, 2), "
+    f"qe as (select ep.*, qb.*, a.energy as es, b.energy as ee, {_far_sql('a', 'b')} as straight, sqrt(" + " + ".join(f"(hi{c} - lo{c}) * (hi{c} - lo{c})" for c in _C) + ") as extent from ep join qb using (event_id, track_id) join vox a on a.event_id = ep.event_id and a.voxel_id = vs join vox b on b.event_id = ep.event_id and b.voxel_id = ve), "
+    "qq as (select *, case when length > 0 then straight / length else 0 end as eff, length / greatest(extent, 1.0) as cover from qe)"
+)
+_ON = lambda p: "(" + " or ".join(f"{c}{p} = lo{c} or {c}{p} = hi{c}" for c in _C) + ")"
+
+
+@register("t20_ends_against_truth", f"with {WK}, {MATCHED} select event_id, {_D20}, round(total, 6) as total, pairing, round(confidence, 6) as confidence, round(length, 6) as length, {_REASON} from m20")
 def t20(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
     return rounded(pa.ends_against_truth(w, t, v.hits(spark, d)))
 
 
-@register("t20_comparison_summary")
+@register("t20_comparison_summary", f"with {WK}, {MATCHED}, g as (select *, greatest(d1, d2) <= 10 as ok from m20) select count(*) as n, count(*) filter (not ok) as n_outliers, round(avg(d1), 6) as mean_d1, round(stddev_samp(d1), 6) as std_d1, round(avg(d2), 6) as mean_d2, round(stddev_samp(d2), 6) as std_d2, round(avg(confidence) filter (ok), 6) as confidence_good, round(avg(confidence) filter (not ok), 6) as confidence_outlier, round(avg(length) filter (ok), 6) as length_good, round(avg(length) filter (not ok), 6) as length_outlier from g")
 def t20b(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
     return rounded(pa.comparison_summary(pa.ends_against_truth(w, t, v.hits(spark, d))))
 
 
-@register("t21_error_classes")
+@register("t21_error_classes", f"with {WK}, {CLASSES} select class, count(*) as n, round(avg(d1), 6) as mean_d1, round(avg(d2), 6) as mean_d2 from ec group by 1")
 def t21(spark: SparkSession, d: str) -> DataFrame:
     t, links, w, _ = _walked(spark, d)
     return pa.error_classes(w, t, links, v.hits(spark, d)).groupBy("class").agg(F.count("*").alias("n"), F.round(F.avg("d1"), 6).alias("mean_d1"), F.round(F.avg("d2"), 6).alias("mean_d2"))
 
 
-@register("t22_worst_events")
+@register("t22_worst_events", f"with {WK}, {CLASSES} select event_id, {_D20}, degree1, degree2, round(tortuosity, 6) as tortuosity, class from ec order by greatest(ec.d1, ec.d2) desc, event_id limit 10")
 def t22(spark: SparkSession, d: str) -> DataFrame:
     t, links, w, _ = _walked(spark, d)
     return rounded(pa.worst_events(pa.error_classes(w, t, links, v.hits(spark, d))))
 
 
-@register("t23_end_quality")
+@register("t23_end_quality", f"with {WK}, {QUALITY} select qq.event_id, qq.track_id, round(eff, 6) as efficiency, round(cover, 6) as coverage, eff < 0.3 or cover < 0.5 as poor, list_filter([case when not (greatest(es, ee) > 1.5 * mean_energy) then 'no_high_energy_end' end, case when confidence < 0.7 then 'low_confidence' end, case when eff < 0.3 then 'low_efficiency' end, case when cover < 0.5 then 'low_coverage' end], lambda i: i is not null) as issues, {_ON('a')} as start_on_box, {_ON('b')} as end_on_box from qq")
 def t23(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
     return rounded(pa.end_quality(w, t))
 
 
-@register("b1_sphere_energies")
+@register("b1_sphere_energies", f"with {WK}, {_spheres_sql('12.0')} select s.event_id, s.track_id, round(start_energy, 9) as start_energy, start_count, {_STARTS}, round(end_energy, 9) as end_energy, end_count, round(blob1_energy, 9) as blob1_energy, blob1_count, round(blob2_energy, 9) as blob2_energy, blob2_count, {_BLOB_AT} from sph s join ep xs on xs.event_id = s.event_id and xs.track_id = s.track_id")
 def b1(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
     return rounded(bl.sphere_energies(w, t, 12.0), 9)
 
 
-@register("b2_blob_energies")
+@register("b2_blob_energies", f"with {WK}, {_BLOBS} select event_id, track_id, round(eb1, 6) as \"Eb1\", round(eb2, 6) as \"Eb2\", round(asym, 6) as asymmetry from bl")
 def b2(spark: SparkSession, d: str) -> DataFrame:
     t, _, _, steps = _walked(spark, d)
     return rounded(bl.blob_energies(pa.path_points(steps, t), t, 12.0))
 
 
-@register("b3_end_voxels")
+@register("b3_end_voxels", f"with {WK}, {_FIRSTS} select event_id, track_id, round(a, 9) as start_energy, round(b, 9) as end_energy, count, round(case when a >= b then a else b end, 9) as blob1_energy, round(case when a >= b then b else a end, 9) as blob2_energy from fe")
 def b3(spark: SparkSession, d: str) -> DataFrame:
     t, _, _, steps = _walked(spark, d)
     return rounded(bl.end_voxel_energies(pa.path_points(steps, t), 2), 9)
 
 
-@register("b4_variable_spheres")
+_RADII4 = ", ".join(str(3 + i) for i in range(8))
+_VARIABLE = (
+    f"{_spheres_sql(_RADII4)}, vs as (select event_id, track_id, radius, 'start' as side, start_energy as energy, start_count as count from sph union all select event_id, track_id, radius, 'end', end_energy, end_count from sph), "
+    "vl as (select *, lag(energy) over (partition by event_id, track_id, side order by radius) as before from vs), "
+    "vt as (select event_id, track_id, side, coalesce(min(radius) filter (energy > 0 and before > 0 and abs(energy - before) / energy < 0.05), 10) as stop from vl group by 1, 2, 3), "
+    "vq as (select event_id, track_id, side, vl.energy, vl.radius, vl.count from vl join vt using (event_id, track_id, side) where radius = stop), "
+    "vw as (select event_id, track_id, " + ", ".join(f"max({c}) filter (side = '{x}') as {x}_{c}" for x in ("start", "end") for c in ("energy", "radius", "count")) + " from vq group by 1, 2)"
+)
+_BLOB4 = ", ".join(f"case when start_energy >= end_energy then {a}_{c} else {b}_{c} end as blob{k}_{c}" for k, a, b in ((1, "start", "end"), (2, "end", "start")) for c in ("energy", "radius", "count"))
+
+
+@register("b4_variable_spheres", f"with {WK}, {_VARIABLE}, v9 as (select * replace (round(start_energy, 9) as start_energy, round(end_energy, 9) as end_energy) from vw) select *, {_BLOB4} from v9")
 def b4(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
-    return bl.variable_spheres(w, t).drop("start_history", "end_history", "blob1_history", "blob2_history")
+    return rounded(bl.variable_spheres(w, t).drop("start_history", "end_history", "blob1_history", "blob2_history"), 9)
 
 
 RADII = [5.0, 10.0, 15.0, 20.0]
 
 
-@register("b5_energies_by_radius")
+@register("b5_energies_by_radius", f"with {WK}, {_spheres_sql('5, 10, 15, 20')} select event_id, track_id, radius, round(start_energy, 9) as start_energy, start_count, round(end_energy, 9) as end_energy, end_count, round(blob1_energy, 9) as blob1_energy, round(blob2_energy, 9) as blob2_energy from sph")
 def b5(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
     return rounded(bl.energies_by_radius(w, t, RADII), 9)
 
 
-@register("b6_asymmetry_by_radius")
+@register("b6_asymmetry_by_radius", f"with {WK}, {_spheres_sql('5, 10, 15, 20')}, a as (select radius, case when blob1_energy + blob2_energy > 0 then abs(blob1_energy - blob2_energy) / (blob1_energy + blob2_energy) else 0 end as x from sph) select radius, count(*) as n, round(avg(x), 6) as mean_asymmetry, round(stddev_samp(x), 6) as std_asymmetry from a group by 1")
 def b6(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
     return rounded(bl.asymmetry_by(bl.energies_by_radius(w, t, RADII), "radius"))
 
 
-@register("b7_end_point_energy")
+_CENTRAL = (
+    f"ce as (select p.event_id, p.track_id, step, sum(v.energy) as energy_sum from wk_st p join vd v on v.event_id = p.event_id and v.track_id = p.track_id and {ws.gap('p.', 'v.')} <= 12 group by 1, 2, 3), "
+    "cn as (select *, row_number() over (partition by event_id, track_id order by step) as i, row_number() over (partition by event_id, track_id order by step desc) as j from ce)"
+)
+
+
+@register("b7_end_point_energy", f"with {WK}, {_CENTRAL} select event_id, track_id, round(sum(energy_sum) filter (i <= 2), 9) as start_energy, round(sum(energy_sum) filter (j <= 2), 9) as end_energy from cn group by 1, 2")
 def b7(spark: SparkSession, d: str) -> DataFrame:
     t, _, _, steps = _walked(spark, d)
     return rounded(bl.end_point_energy(pa.central_path(pa.path_points(steps, t), t, 12.0), 2), 9)
 
 
-@register("b8_blob_table")
+@register("b8_blob_table", f"with {WK}, {_TABLE} select {_TABLE_COLS}, eblob2 >= 400 as \"select\" from bt")
 def b8(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
     return rounded(bl.blob_table(w, t, 12.0, "hits", 400.0))
 
 
-@register("b9_path_efficiency")
+@register("b9_path_efficiency", f"with {WK}, {EP} select event_id, track_id, round(case when {_far_sql('a', 'b')} > 0 then length / {_far_sql('a', 'b')} end, 6) as efficiency from ep")
 def b9(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
     return rounded(bl.path_efficiency(pa.end_points(w, t), w))
 
 
-@register("b11_end_stability")
+_TWO_WALKS = ", ".join([ws.BASE, *ws.NEEDS["combined"], ws.MST, f"wk as (select {ws.FIELDS} from combined)", f"w2 as (select {ws.FIELDS} from mst)"])
+_AT = lambda n, w: f"{n} as (select w.event_id, w.track_id, " + ", ".join(f"{p}.{c} as {c}{k}" for p, k in (("a", "1" if n == "e2" else "a"), ("b", "2" if n == "e2" else "b")) for c in _C) + f" from {w} w join vox a on a.event_id = w.event_id and a.voxel_id = w.s join vox b on b.event_id = w.event_id and b.voxel_id = w.e)"
+
+
+@register("b11_end_stability", f"with {_TWO_WALKS}, {_AT('e1', 'wk')}, {_AT('e2', 'w2')} select event_id, track_id, round(least(greatest({_far_sql('a', '1')}, {_far_sql('b', '2')}), greatest({_far_sql('a', '2')}, {_far_sql('b', '1')})), 6) as displacement from e1 join e2 using (event_id, track_id)")
 def b11(spark: SparkSession, d: str) -> DataFrame:
     t, links = _tracks(spark, d)
     one, two = (pa.end_points(en.find_ends(t, links, m)[0], t) for m in ("combined", "mst"))
     return rounded(pa.end_stability(one, two))
 
 
-@register("b18_clean_blobs")
+@register("b18_clean_blobs", f"with {WK}, {_TABLE} select {_TABLE_COLS}, eblob2 >= 400 as \"select\" from bt where trkl >= 20 and etrk between 500 and 4000 and eblob2 <= 1000 and eblob1 <= 1500")
 def b18(spark: SparkSession, d: str) -> DataFrame:
     t, _, w, _ = _walked(spark, d)
     return rounded(bl.clean_blobs(bl.blob_table(w, t, 12.0, "hits"), 20.0, (500.0, 4000.0)))
 
 
-@register("b19_preselection")
+@register("b19_preselection", f"with {WK}, {_BLOBS} select count(*) as n, count(*) filter (eb2 >= 400) as n_selected from bl")
 def b19(spark: SparkSession, d: str) -> DataFrame:
     t, _, _, steps = _walked(spark, d)
     b = bl.blob_energies(pa.path_points(steps, t), t, 12.0)
     return b.agg(F.count("*").alias("n"), F.count_if(F.col("Eb2") >= 400).alias("n_selected"))
 
 
-@register("k2_reco_kde")
+K2 = (
+    f"pj as (select v.event_id, v.track_id, v.voxel_id, any_value(v.energy) as energy, arg_min(t.s, ({ws.gap('v.', 't.')}, t.step)) as s from vd v join wk_st t on t.event_id = v.event_id and t.track_id = v.track_id group by 1, 2, 3), "
+    f"kt as (select event_id, track_id, max(s) as top, sum(energy) as total from pj group by 1, 2), kg as (select t.event_id, t.track_id, i, any_value(i * top / {GRID - 1}) as s, sum(energy * exp(-0.5 * pow((i * top / {GRID - 1} - pj.s) / {BAND}, 2))) / (any_value(total) * {BAND * math.sqrt(2 * math.pi)!r}) as f from pj join kt t using (event_id, track_id), range({GRID}) g(i) group by 1, 2, 3)"
+)
+
+
+@register("k2_reco_kde", f"with {WK}, {K2} select event_id, track_id, i::int as i, round(s, 8) as s, round(f, 8) as f from kg")
 def k2(spark: SparkSession, d: str) -> DataFrame:
     t, _, _, steps = _walked(spark, d)
     return rounded(pr.energy_kde(pa.project_to_path(t, pa.path_points(steps, t)), BAND, GRID), 8)
 
 
-@register("b20_event_analysis")
+def _event_sql(w: str, m: str) -> str:
+    """CTE w_r: of single-track events the matched ends, confidence, length and blob energies of the walks w, named by the method m."""
+    at = ", ".join(f"{p}.{c} as {c}{p}" for p in "ab" for c in _C)
+    inside = lambda p: " + ".join(f"pow(v.{c} - e.{c}{p}, 2)" for c in _C)
+    return (
+        f"{w}_e as (select w.event_id, w.track_id, confidence, length, {at} from {w} w join vox a on a.event_id = w.event_id and a.voxel_id = w.s join vox b on b.event_id = w.event_id and b.voxel_id = w.e where w.event_id in (select event_id from trk where n_tracks = 1)), "
+        f"{w}_m as (select e.event_id, confidence, length, {_far_sql('a', '1')} as a1, {_far_sql('b', '2')} as b2, {_far_sql('a', '2')} as a2, {_far_sql('b', '1')} as b1 from {w}_e e join te using (event_id)), "
+        f"{w}_s as (select e.event_id, sum(v.energy) filter (sqrt({inside('a')}) <= 12) * 1000 as sa, sum(v.energy) filter (sqrt({inside('b')}) <= 12) * 1000 as sb from {w}_e e join vd v on v.event_id = e.event_id and v.track_id = e.track_id group by 1), "
+        f"{w}_r as (select event_id, round(case when a1 + b2 <= a2 + b1 then a1 else a2 end, 6) as d1_{m}, round(case when a1 + b2 <= a2 + b1 then b2 else b1 end, 6) as d2_{m}, round(confidence, 6) as confidence_{m}, round(length, 6) as length_{m}, "
+        f"round(greatest(sa, sb), 6) as \"Eb1_{m}\", round(least(sa, sb), 6) as \"Eb2_{m}\", round(case when sa + sb > 0 then abs(sa - sb) / (sa + sb) else 0 end, 6) as asymmetry_{m} from {w}_m join {w}_s using (event_id))"
+    )
+
+
+_BOTH_WALKS = ", ".join([ws.BASE, *ws.NEEDS["combined"], ws.MST, ws._combined("combined_mst", True), f"wk as (select {ws.FIELDS} from combined)", f"w2 as (select {ws.FIELDS} from combined_mst)"])
+
+
+@register("b20_event_analysis", f"with {_BOTH_WALKS}, {TENDS}, {_event_sql('wk', 'combined')}, {_event_sql('w2', 'combined_mst')} select * from wk_r join w2_r using (event_id)")
 def b20(spark: SparkSession, d: str) -> DataFrame:
     """Truth and reco ends of single-track events by two methods: a wide row per event."""
     h = v.hits(spark, d)
@@ -473,23 +590,35 @@ def b20(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out)
 
 
-@register("b21_event_profiles")
+def _reco_curve(t: DataFrame, steps: DataFrame) -> DataFrame:
+    """The density along walked paths, rounded as k2 gives it."""
+    return written(rounded(pr.energy_kde(pa.project_to_path(t, pa.path_points(steps, t)), BAND, GRID), 8), "curve")
+
+
+_RECO_PEAKS = f"{K2}, kr as (select event_id, track_id, i::int as i, round(s, 8) as s, round(f, 8) as f from kg), {peaks_sql('kr', 'event_id, track_id')}, {peak_columns_sql('event_id, track_id')}"
+
+
+@register("b21_event_profiles", f"with {WK}, {_RECO_PEAKS} select event_id, track_id, round(confidence, 5) as confidence, round(length, 5) as length, n_peaks, {_PEAK_COLS} from pc join wk using (event_id, track_id) where event_id in (select event_id from trk where n_tracks = 1)")
 def b21(spark: SparkSession, d: str) -> DataFrame:
     """Single-track events: path, density along it, its peaks as columns."""
     t, links = _tracks(spark, d)
     t = tr.single_tracks(t)
     w, steps = en.find_ends(t, links)
-    c = pr.energy_kde(pa.project_to_path(t, pa.path_points(steps, t)), BAND, GRID)
-    p = rel.peak_columns(pr.peaks(c, 0.2).withColumn("at", F.col("s")), tr.TRACK)
-    return rounded(w.select(*tr.TRACK, "confidence", "length").join(p, tr.TRACK))
+    p = rel.peak_columns(pr.peaks(_reco_curve(t, steps), 0.2).withColumn("at", F.col("s")), tr.TRACK)
+    return rounded(w.select(*tr.TRACK, "confidence", "length").join(p, tr.TRACK), 5, **_PEAK_DIGITS)
 
 
-@register("f13_peak_and_blob_cut")
+_PEAK_BLOB = (
+    f"{_RECO_PEAKS}, {_BLOBS}, pb as (select case when track_id = 1 then 'main' else 'satellite' end as sample, peak1_left <= 40 and peak2_prominence >= 0.001 and peak2_right >= 30 as ok, eb2 > 400 as cut from pc join bl using (event_id, track_id)), "
+    "pe as (select sample, count(*) as n, avg(ok::int) as p, coalesce(avg(cut::int) filter (ok), 0) as b from pb group by 1)"
+)
+
+
+@register("f13_peak_and_blob_cut", f"with {WK}, {_PEAK_BLOB} select sample, n, round(p, 6) as eff_peak, round(b, 6) as eff_blob, round(p * b, 6) as efficiency from pe")
 def f13(spark: SparkSession, d: str) -> DataFrame:
     t, links = _tracks(spark, d)
     w, steps = en.find_ends(t, links)
-    c = pr.energy_kde(pa.project_to_path(t, pa.path_points(steps, t)), BAND, GRID)
-    p = rel.peak_columns(pr.peaks(c, 0.2).withColumn("at", F.col("s")), tr.TRACK).join(bl.blob_energies(pa.path_points(steps, t), t, 12.0), tr.TRACK)
+    p = rel.peak_columns(pr.peaks(_reco_curve(t, steps), 0.2).withColumn("at", F.col("s")), tr.TRACK).join(bl.blob_energies(pa.path_points(steps, t), t, 12.0), tr.TRACK)
     p = p.withColumn("sample", F.when(F.col("track_id") == 1, "main").otherwise("satellite"))
     return rounded(ef.peak_and_blob_cut(p, "sample", "Eb2", 400.0, lmax=40.0, pmin=0.001, rmin=30.0))
 
@@ -505,7 +634,15 @@ def e10(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(single, "event_id", "left_semi").select("event_id", "hit_id")
 
 
-@register("h6_category_histograms")
+_CAT = (
+    "ct as (select event_id, track_id, n_tracks, sum(energy) as energy, case when n_tracks = 1 then 'single' when n_tracks = 2 then 'two_' || case when track_id = 1 then 'primary' else 'secondary' end else 'three_' || case when track_id = 1 then 'primary' else 'secondary' end end as category from trk group by 1, 2, 3), "
+    "hv as (" + " union all ".join(f"select category, '{c}' as name, -25.0::double as low, 5.0::double as width, {c}::double as value from trk join ct using (event_id, track_id)" for c in "xyz") + " union all select category, 'energy', 0.0, 0.5, energy from ct), "
+    "hk as (select category, name, floor((value - low) / width)::bigint as bin, count(*)::double as weight from hv where value >= low and value < low + 10 * width group by 1, 2, 3), "
+    "hb as (select category, name, bin, low + bin * width as lo, low + (bin + 1) * width as hi from (select distinct category, name, low, width from hv), range(10) b(bin))"
+)
+
+
+@register("h6_category_histograms", f"with {track_sql(RADIUS)}, {_CAT} select category, bin, lo, hi, (lo + hi) / 2 as center, coalesce(weight, 0.0::double) as weight, name from hb left join hk using (category, name, bin)")
 def h6(spark: SparkSession, d: str) -> DataFrame:
     """Histograms of x, y, z and of event energy (once per track) by category."""
     t = tracks(spark, d)

@@ -19,7 +19,7 @@ def test_exact_median(spark, few):
     groups = {"hot": [rng.gauss(0, 1) for _ in range(3001)], "same": [2.5] * 40, "two": [1.0, 4.0], "one": [7.0], "steps": [float(rng.randrange(3)) for _ in range(500)], "far": [-1e300, 1e300, 0.0, 1e-300]}
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("two", None), ("none", None)]
     rng.shuffle(rows)
-    got = {r["g"]: r["median"] for r in sa.exact_median(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], few).collect()}
+    got = {r["part"]: r["median"] for r in sa.exact_median(spark.createDataFrame(rows, "part string, v double"), "v", ["part"], few).collect()}
     assert got == {k: pytest.approx(statistics.median(v)) for k, v in groups.items()}
 
 

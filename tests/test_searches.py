@@ -1,5 +1,7 @@
 """Searches and end rules over many random graphs at once against brute force in one graph, and literal cases."""
 
+import copy
+
 import brute_graph as g
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from tracksmith.operators import ends as en
 from tracksmith.operators import paths as pa
 from tracksmith.operators import searches as se
 from tracksmith.operators import tracks as tr
+from tracksmith.session import written
 
 VOX = "event_id long, track_id int, voxel_id int, x double, y double, z double, energy double"
 
@@ -108,10 +111,18 @@ def test_long_chain_and_two_parts(spark):
     assert se.shortest_ways(t, links.where("src < 20"), ends).count() == 0
 
 
+@pytest.fixture(scope="module")
+def prepared(many):
+    return en.Tracks(many[1], many[2])
+
+
 @pytest.mark.parametrize("rule", list(g.RULES))
-def test_rule_against_brute_force(many, rule):
-    graphs, t, links = many
-    ends, ways = en.find_ends(t, links, rule)
+def test_rule_against_brute_force(many, prepared, rule):
+    graphs = many[0]
+    one = copy.copy(prepared)  # the rules share the searches made so far
+    one.costs, one.sweeps = [], []
+    ends = written(en.RULES[rule](one), "ends")
+    ways = en.ways(one, ends)
     got, steps = {r["event_id"]: r for r in ends.collect()}, by_event(ways)
     assert len(got) == len(graphs)
     for e, (xyz, energy, ls) in graphs.items():

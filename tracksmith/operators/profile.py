@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksmith.operators.tracks import TRACK
-from tracksmith.session import written
 
 
 def energy_kde(samples: DataFrame, bandwidth: float, n: int = 200, keys: list[str] | None = None) -> DataFrame:
@@ -54,39 +53,30 @@ def peaks(curve: DataFrame, prom_scale: float = 0.1, keys: list[str] | None = No
 
     A peak's prominence is its height over the larger of the lowest points between it and the nearest higher sample (or the
     end) on each side. left, right and width are in grid steps at half prominence, interpolated; left and right clamped to the grid.
-    Peaks under prom_scale of the range go. Curves of a track are bounded (n points), so peaks meet their curve in a join.
+    Peaks under prom_scale of the range go. A curve is a grid (i from 0 without gaps) of a number of points that the caller
+    sets, so it is one array after one shuffle, and each peak looks along it.
     """
     keys = keys or TRACK
-    curve = written(curve, "curve")  # it is read several times
-    pad = curve.groupBy(*keys).agg(F.max("i").alias("n")).select(*keys, F.explode(F.array(F.lit(-1), F.col("n") + 1)).alias("i")).withColumn("f", F.lit(0.0))
-    w = Window.partitionBy(*keys)
-    full = curve.select(*keys, "i", "f").unionByName(pad)
-    o = w.orderBy("i")
-    t = full.withColumn("p", F.lag("f").over(o)).withColumn("q", F.lead("f").over(o))
-    tops = t.where((F.col("f") > F.col("p")) & (F.col("f") > F.col("q"))).select(*keys, F.col("i").alias("k"), F.col("f").alias("h"))
-    j = tops.join(full, keys)
-    higher = F.col("f") > F.col("h")
-    wall = j.groupBy(*keys, "k", "h").agg(F.max(F.when(higher & (F.col("i") < F.col("k")), F.col("i"))).alias("a"), F.min(F.when(higher & (F.col("i") > F.col("k")), F.col("i"))).alias("b"))
-    j = wall.join(full, keys)
-    low = lambda cond: F.min(F.when(cond, F.col("f")))
-    base = j.groupBy(*keys, "k", "h", "a", "b").agg(low((F.col("i") < F.col("k")) & (F.col("a").isNull() | (F.col("i") > F.col("a")))).alias("m1"), low((F.col("i") > F.col("k")) & (F.col("b").isNull() | (F.col("i") < F.col("b")))).alias("m2"))
-    base = base.withColumn("prominence", F.col("h") - F.greatest("m1", "m2"))
-    span = curve.groupBy(*keys).agg((F.max("f") - F.min("f")).alias("span"), F.max("i").alias("last"))
-    base = base.join(span, keys).where(F.col("prominence") >= prom_scale * F.col("span")).withColumn("level", F.col("h") - F.col("prominence") / 2)
-    under = F.col("f") < F.col("level")
-    pts = base.join(full, keys)
-    cross = pts.groupBy(*base.columns).agg(F.max(F.when(under & (F.col("i") < F.col("k")), F.col("i"))).alias("i1"), F.min(F.when(under & (F.col("i") > F.col("k")), F.col("i"))).alias("i2"))
-    at = lambda name, i: full.select(*keys, F.col("i").alias(i), F.col("f").alias(name))
-    cross = cross.withColumn("j1", F.col("i1") + 1).withColumn("j2", F.col("i2") - 1)
-    for name, i in (("f1", "i1"), ("g1", "j1"), ("f2", "i2"), ("g2", "j2")):
-        cross = cross.join(at(name, i), [*keys, i], "left")
-    left = F.coalesce(F.col("i1") + (F.col("level") - F.col("f1")) / (F.col("g1") - F.col("f1")), F.lit(-1.0))
-    right = F.coalesce(F.col("j2") + (F.col("g2") - F.col("level")) / (F.col("g2") - F.col("f2")), F.col("last") + 1.0)
-    out = cross.withColumn("left", left).withColumn("right", right).withColumn("width", F.col("right") - F.col("left"))
-    clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.col("last").cast("double"))
-    out = out.join(curve.select(*keys, F.col("i").alias("k"), "s", "f"), [*keys, "k"])
-    rank = F.row_number().over(w.orderBy(F.col("prominence").desc(), "k"))
-    return out.select(*keys, F.col("k").alias("i"), "s", "f", "prominence", "width", clamp("left").alias("left"), clamp("right").alias("right"), rank.alias("rank"))
+    rows = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "s", "f"))).alias("c"))
+    rows = rows.select(*keys, "c", F.concat(F.array(F.lit(0.0)), F.transform("c", lambda p: p["f"]), F.array(F.lit(0.0))).alias("a"), F.size("c").alias("n"))
+    a, n = F.col("a"), F.col("n")
+    at = lambda q: F.get("a", q)
+    before, behind = (lambda j, ok: F.array_max(F.filter(F.sequence(F.lit(0), j - 1), ok))), (lambda j, ok: F.array_min(F.filter(F.sequence(j + 1, n + 1), ok)))
+    tops = F.filter(F.sequence(F.lit(1), n), lambda j: (at(j) > at(j - 1)) & (at(j) > at(j + 1)))
+    walls = F.transform(tops, lambda j: F.struct(j.alias("j"), F.coalesce(before(j, lambda q: at(q) > at(j)), F.lit(-1)).alias("w"), F.coalesce(behind(j, lambda q: at(q) > at(j)), n + 2).alias("v")))
+    low = lambda p: F.greatest(F.array_min(F.slice(a, p["w"] + 2, p["j"] - 1 - p["w"])), F.array_min(F.slice(a, p["j"] + 2, p["v"] - 1 - p["j"])))
+    rows = rows.withColumn("p", F.transform(walls, lambda p: F.struct(p["j"].alias("j"), (at(p["j"]) - low(p)).alias("prominence"))))
+    f = F.slice(a, 2, n)
+    rows = rows.withColumn("p", F.explode(F.filter("p", lambda p: p["prominence"] >= prom_scale * (F.array_max(f) - F.array_min(f)))))
+    rows = rows.select(*keys, "c", "a", "n", "p.*").withColumn("level", at(F.col("j")) - F.col("prominence") / 2)
+    under = lambda q: at(q) < F.col("level")
+    rows = rows.withColumn("i1", before(F.col("j"), under)).withColumn("i2", behind(F.col("j"), under))
+    left = F.coalesce(F.col("i1") - 1 + (F.col("level") - at(F.col("i1"))) / (at(F.col("i1") + 1) - at(F.col("i1"))), F.lit(-1.0))
+    right = F.coalesce(F.col("i2") - 2 + (at(F.col("i2") - 1) - F.col("level")) / (at(F.col("i2") - 1) - at(F.col("i2"))), n.cast("double"))
+    rows = rows.withColumn("l", left).withColumn("r", right).withColumn("top", F.get("c", F.col("j") - 1))
+    clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), (n - 1).cast("double"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("prominence").desc(), "j"))
+    return rows.select(*keys, F.col("top.i").alias("i"), F.col("top.s").alias("s"), F.col("top.f").alias("f"), "prominence", (F.col("r") - F.col("l")).alias("width"), clamp("l").alias("left"), clamp("r").alias("right"), rank.alias("rank"))
 
 
 def path_histogram(samples: DataFrame, bin_width: float, keys: list[str] | None = None) -> DataFrame:

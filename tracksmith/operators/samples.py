@@ -80,7 +80,8 @@ def exact_median(df: DataFrame, x: str, by: list[str], few: int = FEW_ROWS) -> D
     values in the part that holds the rank, until these are one value or few rows. A group of any size is partial counts of PARTS
     rows, never sorted or gathered whole; values that repeat cost no further pass.
     """
-    rows = written(df.select(*by, F.col(x).cast("double").alias("x")).where("x is not null"), "values")
+    own, by = by, [f"k{i}" for i in range(len(by))]  # own names, so that none clashes
+    rows = written(df.select(*[F.col(c).alias(k) for c, k in zip(own, by, strict=True)], F.col(x).cast("double").alias("x")).where("x is not null"), "values")
     ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     rank = F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)))
     state = ends.select(*by, rank.alias("rank"), "n", "lo", "hi").distinct().withColumn("wanted", F.col("rank"))
@@ -101,7 +102,7 @@ def exact_median(df: DataFrame, x: str, by: list[str], few: int = FEW_ROWS) -> D
     inside = rows.join(broadcast_if_small(last.where("lo < hi").select(*cols), 100_000), by).where("x >= lo and x <= hi")
     nth = F.row_number().over(Window.partitionBy(*by, "wanted").orderBy("x")) - 1
     few_rows = inside.withColumn("nth", nth).where(F.col("nth") == F.col("rank")).select(*by, "wanted", "x")
-    return one.unionByName(few_rows).groupBy(*by).agg(F.avg("x").alias("median"))
+    return one.unionByName(few_rows).groupBy(*by).agg(F.avg("x").alias("median")).select(*[F.col(k).alias(c) for c, k in zip(own, by, strict=True)], "median")
 
 
 def selection_statistics(df: DataFrame, selected: str, columns: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ def random_graph(rng, n):
     xyz = xyz + np.arange(n)[:, None] * 1e-3 * (kind != 1)
     order = rng.permutation(n) if kind != 1 else np.arange(n)
     links = {tuple(sorted((int(order[i]), int(order[rng.integers(max(0, i - 3) if kind < 3 else 0, i)])))) for i in range(1, n)}
-    for _ in range(int(rng.choice([0, 0, 1, n // 2, 2 * n, 4 * n]))):
+    for _ in range(int(rng.choice([0, 0, 1, n // 2, 2 * n, 4 * n])) if n < 40 else 4 * n):
         a, b = rng.integers(0, n, 2)
         if a != b:
             links.add(tuple(sorted((int(a), int(b)))))
@@ -39,7 +39,7 @@ def tables(spark, graphs):
 @pytest.fixture(scope="module")
 def many(spark):
     rng = np.random.default_rng(5)
-    graphs = {e: random_graph(rng, int(rng.integers(1, 16))) for e in range(500)} | {e: random_graph(rng, int(rng.integers(40, 80))) for e in range(500, 512)}
+    graphs = {e: random_graph(rng, int(rng.integers(1, 11))) for e in range(500)} | {e: random_graph(rng, int(rng.integers(40, 70))) for e in range(500, 512)}
     t, links = tables(spark, graphs)
     return graphs, t.cache(), links.cache()
 

@@ -639,7 +639,17 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ef.roc_from_curves(curves, [100.0 * i for i in range(101)], ["sample"], "cut"))
 
 
-@register("f15_cut_flow")
+_SELECTED = (
+    f"with {v.HITS}, e as (select event_id, bool_and(sqrt(x * x + y * y) < 30) as in_r, count(*) as n_hits, bool_and((z > -24 and z < -1) or (z > 0 and z < 24)) as in_z, sum(energy) * 1000 as kev from hits group by 1), "
+    f"p as (select *, 0.5 * ({_ERF_SQL.replace('(u)', '(u1)').replace('-u * u', '-u1 * u1')} - ({_ERF_SQL.replace('(u)', '(u0)').replace('-u * u', '-u0 * u0')})) as share from (select *, (2500 - kev) / 50 / sqrt(2) as u1, (1500 - kev) / 50 / sqrt(2) as u0 from e)), "
+    "n as (select count(*) as n_events, count(*) filter (in_r) as n_radial, count(*) filter (in_r and n_hits >= 3) as n_length, count(*) filter (in_r and n_hits >= 3 and in_z) as n_z, coalesce(sum(share) filter (in_r and n_hits >= 3 and in_z), 0) as n_roi from p), "
+    "q as (select *, "
+    + ", ".join(f"(case when n_{b} > 0 then n_{b} else 0.5 end)::double / (case when n_{a} > 0 then n_{a} else 0.5 end) as eff_{b}" for a, b in (("events", "radial"), ("radial", "length"), ("length", "z"), ("z", "roi")))
+    + " from n)"
+)
+
+
+@register("f15_cut_flow", f"{_SELECTED} select * replace (round(n_roi, 6) as n_roi, round(eff_radial, 6) as eff_radial, round(eff_length, 6) as eff_length, round(eff_z, 6) as eff_z, round(eff_roi, 6) as eff_roi), round(eff_radial * eff_length * eff_z * eff_roi, 6) as eff_total from q")
 def f15(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ef.event_selection(v.hits(spark, d), 30.0, 3, (-24.0, -1.0), (0.0, 24.0), (1500.0, 2500.0), 50.0))
 

@@ -678,7 +678,14 @@ def h13(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hi.with_intervals(hi.poly_fit(v.hits(spark, d), "x", "energy", 2, ["label"]), ["c0", "c1", "c2"]))
 
 
-@register("h14_fit_profile")
+_PROFILE = f"with {v.HITS}, pf as (select least(floor((x + 25) / 5)::bigint, 9) as bin, (-25 + (least(floor((x + 25) / 5), 9) + 0.5) * 5)::double as x, avg(energy) as y from hits where x >= -25 and x < 25 group by 1, 2)"
+_LINE = (
+    "f as (select count(*) as n, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy, regr_sxy(y, x) as sxy, avg(x) as mx, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept from pf) "
+    "select n, round(intercept, 6) as intercept, round(slope, 6) as slope, round(sqrt((syy - slope * sxy) / (n - 2) * (1 / n + mx * mx / sxx)), 6) as intercept_err, round(sqrt((syy - slope * sxy) / (n - 2) / sxx), 6) as slope_err from f"
+)
+
+
+@register("h14_fit_profile", f"{_PROFILE}, {_LINE}")
 def h14(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hi.fit_profile(v.hits(spark, d), "x", "energy", -25.0, 25.0, 10))
 

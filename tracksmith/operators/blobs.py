@@ -41,8 +41,8 @@ def _by_side(long: DataFrame, values: list[str], keys: list[str] | None = None)
 
 
 def _blob_order(df: DataFrame, values: list[str]) -> DataFrame:
-    """Adds blob1_* (the end of larger energy; ties go to the start) and blob2_*."""
-    first = F.col("start_energy") >= F.col("end_energy")
+    """Adds blob1_* (the end of larger energy, compared at 1e-9; ties go to the start) and blob2_*."""
+    first = F.round("start_energy", 9) >= F.round("end_energy", 9)
     for v in values:
         a, b = F.col(f"start_{v}"), F.col(f"end_{v}")
         df = df.withColumn(f"blob1_{v}", F.when(first, a).otherwise(b)).withColumn(f"blob2_{v}", F.when(first, b).otherwise(a))

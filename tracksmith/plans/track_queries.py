@@ -395,7 +395,7 @@ def _spheres_sql(radii: str, source: str = "ep") -> str:
     """CTE sph: per track and radius the energies and counts about both ends, as start_ and end_, and blob1_ and blob2_."""
     inside = lambda p: " + ".join(f"pow(v.{c} - ep.{c}{p}, 2)" for c in _C)
     sums = ", ".join(f"coalesce(sum(v.energy) filter (sqrt({inside(p)}) <= radius), 0) as {n}_energy, count(*) filter (sqrt({inside(p)}) <= radius) as {n}_count" for p, n in (("a", "start"), ("b", "end")))
-    blob = ", ".join(f"case when {first} then start_{c} else end_{c} end as blob{k}_{c}" for k, first in ((1, "start_energy >= end_energy"), (2, "not (start_energy >= end_energy)")) for c in ("energy", "count"))
+    blob = ", ".join(f"case when {first} then start_{c} else end_{c} end as blob{k}_{c}" for k, first in ((1, "round(start_energy, 9) >= round(end_energy, 9)"), (2, "not (round(start_energy, 9) >= round(end_energy, 9))")) for c in ("energy", "count"))
     return f"{EP}, sp0 as (select ep.event_id, ep.track_id, radius, {sums} from {source} ep join vd v on v.event_id = ep.event_id and v.track_id = ep.track_id, (select unnest([{radii}]::double[]) as radius) group by 1, 2, 3), sph as (select *, {blob} from sp0)"
 
 
@@ -407,7 +407,7 @@ _TABLE_COLS = "source, event, track_id, round(eblob1, 6) as eblob1, round(eblob2
 _D20 = "round(d1, 6) as d1, round(d2, 6) as d2"
 _REASON = "greatest(d1, d2) <= 10 as success, case when greatest(d1, d2) <= 10 then 'correct' when least(d1, d2) <= 10 then 'one_end_wrong' else 'both_ends_wrong' end as reason"
 _STARTS = ", ".join(f"xs.{c}{p} as {n}_c{c}" for p, n in (("a", "start"), ("b", "end")) for c in _C)
-_BLOB_AT = ", ".join(f"case when start_energy >= end_energy {'then' if k == 1 else 'then'} xs.{c}{'a' if k == 1 else 'b'} else xs.{c}{'b' if k == 1 else 'a'} end as blob{k}_c{c}" for k in (1, 2) for c in _C)
+_BLOB_AT = ", ".join(f"case when round(start_energy, 9) >= round(end_energy, 9) {'then' if k == 1 else 'then'} xs.{c}{'a' if k == 1 else 'b'} else xs.{c}{'b' if k == 1 else 'a'} end as blob{k}_c{c}" for k in (1, 2) for c in _C)
 #: Path points of the first and last two steps (one of a path of one).
 _FIRSTS = "pn as (select *, row_number() over w as i, count(*) over (partition by event_id, track_id) as n from wk_st window w as (partition by event_id, track_id order by step)), fe as (select event_id, track_id, sum(energy) filter (i <= least(2, greatest(1, n // 2))) as a, sum(energy) filter (i > n - least(2, greatest(1, n // 2))) as b, max(least(2, greatest(1, n // 2))) as count from pn group by 1, 2)"
 QUALITY = (
@@ -474,7 +474,7 @@ _VARIABLE = (
     "vq as (select event_id, track_id, side, vl.energy, vl.radius, vl.count from vl join vt using (event_id, track_id, side) where radius = stop), "
     "vw as (select event_id, track_id, " + ", ".join(f"max({c}) filter (side = '{x}') as {x}_{c}" for x in ("start", "end") for c in ("energy", "radius", "count")) + " from vq group by 1, 2)"
 )
-_BLOB4 = ", ".join(f"case when start_energy >= end_energy then {a}_{c} else {b}_{c} end as blob{k}_{c}" for k, a, b in ((1, "start", "end"), (2, "end", "start")) for c in ("energy", "radius", "count"))
+_BLOB4 = ", ".join(f"case when round(start_energy, 9) >= round(end_energy, 9) then {a}_{c} else {b}_{c} end as blob{k}_{c}" for k, a, b in ((1, "start", "end"), (2, "end", "start")) for c in ("energy", "radius", "count"))
 
 
 @register("b4_variable_spheres", f"with {WK}, {_VARIABLE}, v9 as (select * replace (round(start_energy, 9) as start_energy, round(end_energy, 9) as end_energy) from vw) select *, {_BLOB4} from v9")

@@ -147,3 +147,14 @@ def test_nearest_in_growing_cells(spark):
         got = [(r["event_id"], r["src"], r["dst"]) for r in vx.nearest(q, t, k, ["event_id"], True, few).collect()]
         assert len(got) == len(set(got)) and set(got) == want[k]
     assert vx.nearest(q.where("false"), t.where("false"), 1, ["event_id"], True, 0).count() == 0
+
+
+def test_few_targets_are_not_searched_by_cells(spark):
+    """within() by one join on the keys and by cells finds the same pairs; few targets send no query to 27 cells."""
+    rng = random.Random(5)
+    rows = lambda n, e: [(e, i, *[rng.uniform(-9, 9) for _ in "xyz"]) for i in range(n)]
+    frame = lambda r: spark.createDataFrame([*r, (1, 999, None, 0.0, 0.0)], "event_id long, id int, x double, y double, z double")
+    q, t = frame(rows(20, 1) + rows(20, 2)), frame(rows(40, 1) + rows(90, 2))
+    got = [sorted((r["event_id"], r["q"]["id"], r["t"]["id"], r["dist"]) for r in vx.within(q, t, 4.0, ["event_id"], few).collect()) for few in (0, 64, 1000)]
+    assert got[0] == got[1] == got[2] != []
+    assert "Generate" not in vx.within(q, t, 4.0, ["event_id"], 1000)._jdf.queryExecution().optimizedPlan().toString()

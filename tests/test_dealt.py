@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracksmith.operators import ends, tracks, voxels
+from tracksmith.plans import QUERIES
 from tracksmith.session import dealt_by, written
 
 
@@ -46,3 +47,8 @@ def test_dealt_tables_join_without_shuffle(spark, points):
             assert j.agg(F.sum("n")).first()[0] == vox.count()
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_smoothing_sends_hits_once(spark):
+    out = QUERIES["v8_diffuse_grid"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

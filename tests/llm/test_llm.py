@@ -694,3 +694,32 @@ def test_image_copies_of_odd_pages(spark):
     df = spark.createDataFrame([(i, h, 1, "a") for i, h in rows], "page_id long, html string, pts int, points string")
     got = [(r["id"], r["class_id"]) for r in media.image_copies(media.page_images(df)).collect()]
     assert sorted((x for x in got if x[0]), key=repr) == [(1, 1), (2, 2), (3, 3), (3, 3), (4, 4), (5, 2)] and (None, 3) in got
+
+
+def test_near_descriptors_are_all_found(spark):
+    """Crowds of descriptors with up to 10 changed bits anywhere, whole and in small segments, against all pairs."""
+    rng = np.random.default_rng(6)
+    bits = np.repeat(rng.integers(0, 2, (12, media.BITS)), 40, axis=0)
+    for row in bits:
+        row[rng.choice(media.BITS, rng.integers(0, 11), replace=False)] ^= 1
+    words = np.unique(np.packbits(bits, axis=1).view("<i8"), axis=0)
+    asks = rng.integers(0, 2, len(words)).astype(bool)
+    apart = np.bitwise_count(words.view("<u8")[:, None] ^ words.view("<u8")[None]).sum(2)
+    want = sorted((*words[i].tolist(), *words[j].tolist()) for i, j in np.argwhere((apart > 0) & (apart <= media.NEAR_BITS)) if asks[i])
+    df = spark.createDataFrame([(*w, bool(a)) for w, a in zip(words.tolist(), asks, strict=True)], "lo long, hi long, asks boolean")
+    for segment in (media.SEGMENT, 8):
+        assert sorted(tuple(r) for r in media.near_descriptors(df, segment).collect()) == want and len(want) > 1000
+
+
+def test_copies_with_changed_bits_all_over(spark, monkeypatch):
+    """Descriptors whose changed bits lie in both halves link as the rule says: none is left out."""
+    rows = []
+    for i in range(12):
+        points = media.keypoints(picture(300 + i // 2)).copy()
+        if i % 2:
+            points["bits"][:, [0, 5, 8, 13]] ^= 4
+        rows.append((i, 96, 120, bytearray(picture(320 + i).tobytes()), bytearray(points.tobytes()), len(points)))
+    packed = spark.createDataFrame(rows, "id long, width int, height int, pixels binary, points binary, n int")
+    monkeypatch.setattr(media, "with_keypoints", lambda images: packed)
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in media.image_copies(packed.select("id", "width", "height", "pixels")).collect()}
+    assert got == {i: (i // 2 * 2, 1) for i in range(12)}

@@ -52,3 +52,13 @@ def test_dealt_tables_join_without_shuffle(spark, points):
 def test_smoothing_sends_hits_once(spark):
     out = QUERIES["v8_diffuse_grid"](spark, "/root/testdata/sf0.001")
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+@pytest.mark.parametrize("query", ["b6_asymmetry_by_radius", "b11_end_stability"])
+def test_no_steps_are_made_where_none_are_read(spark, query, monkeypatch):
+    """And each track's tables are made once, however many rules are asked."""
+    made = []
+    own = ends.Tracks.__init__
+    monkeypatch.setattr(ends, "ways", lambda *_: pytest.fail("steps made"))
+    monkeypatch.setattr(ends.Tracks, "__init__", lambda self, *a: (made.append(1), own(self, *a))[1])
+    assert QUERIES[query](spark, "/root/testdata/sf0.001").count() and made == [1]

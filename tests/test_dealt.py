@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracksmith import session
 from tracksmith.operators import ends, tracks, voxels
 from tracksmith.plans import QUERIES
 from tracksmith.session import dealt_by, written
@@ -49,6 +50,23 @@ def test_dealt_tables_join_without_shuffle(spark, points):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("rule", ["combined", "energy"])
+def test_rules_shuffle_nothing(spark, points, rule, monkeypatch):
+    """No table that a rule writes from dealt tables is dealt again."""
+    plans, deal = [], session.together
+    with dealt_by(spark, "event_id", 3):
+        vox = written(points, "points")
+        links = written(tracks.radius_links(vox, 7.5), "links")
+        t = written(tracks.make_tracks(vox, links).drop("track_energy"), "tracks")
+        monkeypatch.setattr(session, "together", lambda df: (plans.append(deal(df)._jdf.queryExecution().executedPlan().toString()), deal(df))[1])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            ends.find_ends(t, links, rule)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and not [p for p in plans if "Exchange" in p]
+
+
 def test_smoothing_sends_hits_once(spark):
     out = QUERIES["v8_diffuse_grid"](spark, "/root/testdata/sf0.001")
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -50,7 +50,7 @@ def test_dealt_tables_join_without_shuffle(spark, points):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("rule", ["combined", "energy"])
+@pytest.mark.parametrize("rule", ["combined", "energy", "mst"])
 def test_rules_shuffle_nothing(spark, points, rule, monkeypatch):
     """No table that a rule writes from dealt tables is dealt again."""
     plans, deal = [], session.together

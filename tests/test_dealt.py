@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracksmith import session
-from tracksmith.operators import ends, tracks, voxels
+from tracksmith.operators import components, ends, tracks, voxels
 from tracksmith.plans import QUERIES
 from tracksmith.session import dealt_by, written
 
@@ -80,3 +80,29 @@ def test_no_steps_are_made_where_none_are_read(spark, query, monkeypatch):
     monkeypatch.setattr(ends, "ways", lambda *_: pytest.fail("steps made"))
     monkeypatch.setattr(ends.Tracks, "__init__", lambda self, *a: (made.append(1), own(self, *a))[1])
     assert QUERIES[query](spark, "/root/testdata/sf0.001").count() and made == [1]
+
+
+@pytest.mark.parametrize("query", ["b15_satellite_distance", "b16_event_statistics", "b17_batch_summary"])
+def test_track_statistics_shuffle_hits_only(spark, query, monkeypatch):
+    """Tracks are made without rounds from tables dealt by event; only hits are sent, and what is summed up over all events."""
+    plans, deal = [], session.together
+    monkeypatch.setattr(session, "together", lambda df: (plans.append(deal(df)._jdf.queryExecution().executedPlan().toString()), deal(df))[1])
+    monkeypatch.setattr(components, "_contracted", lambda *_: pytest.fail("rounds for small events"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 3 and sum(p.count("Exchange") for p in plans) == 1
+    assert last.count("Exchange") == (2 if query.startswith("b17") else 0)
+
+
+def test_components_by_row_or_by_rounds(spark):
+    """Keys of few edges and of many give the same components; repeated and self edges, and keys apart."""
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(12), rng.randrange(12)) for k in range(30) for _ in range(k % 13 + 1)] + [(99, 3, 3), (98, 2, 1), (98, 1, 2)]
+    edges = spark.createDataFrame(rows, "k int, u long, v long")
+    want = [tuple(r) for r in components.connected_components(edges, keys=["k"], few=0).collect()]
+    for few in (3, 64):
+        assert sorted(tuple(r) for r in components.connected_components(edges, keys=["k"], few=few).collect()) == sorted(want)
+    assert (98, 2, 1) in want and not [w for w in want if w[0] == 99]

@@ -156,6 +156,20 @@ def test_literal_tracks(spark):
     assert [bend[1, v] for v in (1, 2, 3, 4)] == pytest.approx([1, 1, 1, 1]) and bend[2, 1] == bend[2, 6] == 0 and bend[2, 4] > 0.5
 
 
+def test_simple_tracks_need_no_search(spark):
+    """One voxel, or two linked ones: their ends come without measures or searches, by each rule that allows it."""
+    graphs = {0: (np.array(ONE[0], float), np.ones(1), []), 1: (np.array([(0, 0, 0), (3, 4, 0)], float), np.ones(2), [(0, 1)])}
+    for rule in ("combined", "combined_mst", "topology", "distance", "curvature", "mst"):
+        t = en.Tracks(*tables(spark, graphs))
+        ends = written(en.RULES[rule](t), "ends")
+        assert t.measures.count() == t.edges.count() == sum(h.count() for h in [*t.hops, *t.costs, *t.sweeps]) == 0
+        got, steps = {r["event_id"]: r for r in ends.collect()}, by_event(en.ways(t, ends))
+        for e, (xyz, energy, ls) in graphs.items():
+            want = g.RULES[rule](g.Graph(xyz, energy, ls))
+            assert (got[e]["start"] - 1, got[e]["end"] - 1, got[e]["length"]) == (want.start, want.end, want.length)
+            assert got[e]["confidence"] == pytest.approx(want.confidence) and [v for _, v, _ in steps[e]] == want.path
+
+
 def test_no_tracks(spark):
     t, links = tables(spark, {0: (np.zeros((1, 3)), np.ones(1), [])})
     links = spark.createDataFrame([], "event_id long, src int, dst int")

@@ -170,6 +170,17 @@ def test_simple_tracks_need_no_search(spark):
             assert got[e]["confidence"] == pytest.approx(want.confidence) and [v for _, v, _ in steps[e]] == want.path
 
 
+def test_later_rules_read_open_tracks_only(spark, monkeypatch):
+    """A track that topology settles is in no table that the rules behind it read."""
+    ring = ([(np.cos(a), np.sin(a), 0) for a in np.arange(9) * 0.7], [(i, (i + 1) % 9) for i in range(9)], np.ones(9))
+    t, links = tables(spark, {i: (np.array(x, float), np.array(e, float), [tuple(sorted(p)) for p in ls]) for i, (x, ls, e) in enumerate([LINE, ring])})
+    read = []
+    rule = en.by_curvature
+    monkeypatch.setattr(en, "by_curvature", lambda own, some: (read.extend({r["event_id"] for r in df.collect()} for df in (own.voxels, own.measures, own.edges)), rule(own, some))[1])
+    en.find_ends(t, links)
+    assert read == [{1}] * 3
+
+
 def test_no_tracks(spark):
     t, links = tables(spark, {0: (np.zeros((1, 3)), np.ones(1), [])})
     links = spark.createDataFrame([], "event_id long, src int, dst int")
